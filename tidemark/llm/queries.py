@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import grouped_split, related_commits
 from tidemark.llm.cooccurrence import cooccurrence
+from tidemark.llm.mixing import mix_report, mix_sources
 from tidemark.llm.subsequences import frequent_subsequences
+from tidemark.llm.tokens import token_counts, token_ids
 from tidemark.session import cut
 
 
@@ -60,9 +62,30 @@ def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d, 0.0).select("repo", F.col("item_a").alias("path_a"), F.col("item_b").alias("path_b"), "n", "n_a", "n_b", "n_ab", F.round("lift", 6).alias("lift"), "llr")
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The token ids of every document by byte_bpe_50k; none for null and empty texts."""
+    return token_ids(_table(spark, d, "documents"), ["doc_id"])
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = cut(token_counts(_table(spark, d, "documents"), ["doc_id", "source"]))
+    targets = _table(spark, d, "mix_targets")
+    return mix_sources(docs, targets), targets
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of every mix of mix_targets, with their shard and number of copies."""
+    return _mixed(spark, d)[0]
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """The share of the tokens each source reached in each mix, beside its target."""
+    return mix_report(*_mixed(spark, d))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_sequences": p2_sequences,
-    "p4_found": p4_found, "p4_pairs": p4_pairs,
+    "p4_found": p4_found, "p4_pairs": p4_pairs, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_report": p9_report,
 }
 
 P1_FOUND = r"""
