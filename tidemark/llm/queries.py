@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import grouped_split, related_commits
 from tidemark.llm.cooccurrence import cooccurrence
+from tidemark.llm.encodings import wrong_encodings
 from tidemark.llm.mixing import mix_report, mix_sources
 from tidemark.llm.subsequences import frequent_subsequences
 from tidemark.llm.tokens import token_counts, token_ids
@@ -83,9 +84,20 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mix_report(*_mixed(spark, d))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with a stretch of text that was decoded with a wrong encoding."""
+    return wrong_encodings(_table(spark, d, "documents")).where("garbled").select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Those documents with their text restored as far as possible and the decodings that went wrong."""
+    return wrong_encodings(_table(spark, d, "documents")).where("garbled").select("doc_id", F.col("restored").alias("text"), F.array_join("chains", "; ").alias("chains"))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_sequences": p2_sequences,
     "p4_found": p4_found, "p4_pairs": p4_pairs, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_report": p9_report,
+    "p10_found": p10_found, "p10_restored": p10_restored,
 }
 
 P1_FOUND = r"""
