@@ -9,6 +9,7 @@ from tidemark.llm.components import grouped_split, related_commits
 from tidemark.llm.cooccurrence import cooccurrence
 from tidemark.llm.encodings import wrong_encodings
 from tidemark.llm.mixing import mix_report, mix_sources
+from tidemark.llm.syntax import fault_rates, unparsable
 from tidemark.llm.subsequences import frequent_subsequences
 from tidemark.llm.tokens import token_counts, token_ids
 from tidemark.session import cut
@@ -63,6 +64,16 @@ def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d, 0.0).select("repo", F.col("item_a").alias("path_a"), F.col("item_b").alias("path_b"), "n", "n_a", "n_b", "n_ab", F.round("lift", 6).alias("lift"), "llr")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """The source files that are not valid in the language of their path."""
+    return unparsable(_table(spark, d, "source_files")).where("fault is not null").select("file_id")
+
+
+def p6_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The share of such files per repository and language."""
+    return fault_rates(unparsable(_table(spark, d, "source_files")))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document by byte_bpe_50k; none for null and empty texts."""
     return token_ids(_table(spark, d, "documents"), ["doc_id"])
@@ -96,7 +107,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_sequences": p2_sequences,
-    "p4_found": p4_found, "p4_pairs": p4_pairs, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_report": p9_report,
+    "p4_found": p4_found, "p4_pairs": p4_pairs, "p6_found": p6_found, "p6_rates": p6_rates, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_report": p9_report,
     "p10_found": p10_found, "p10_restored": p10_restored,
 }
 
