@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.components import grouped_split, related_commits
 from tidemark.llm.cooccurrence import cooccurrence
 from tidemark.llm.encodings import wrong_encodings
+from tidemark.llm.handwritten import not_handwritten
 from tidemark.llm.mixing import mix_report, mix_sources
 from tidemark.llm.syntax import fault_rates, unparsable
 from tidemark.llm.subsequences import frequent_subsequences
@@ -54,6 +55,16 @@ def _pairs(spark: SparkSession, d: str, min_lift: float) -> DataFrame:
     return cooccurrence(rows, "repo", "commit_sha", "file_path", min_count=8, min_lift=min_lift)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The source files nobody wrote by hand in their repository."""
+    return not_handwritten(_table(spark, d, "source_files")).select("file_id")
+
+
+def p3_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Those files with the reason why."""
+    return not_handwritten(_table(spark, d, "source_files"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of files that change together at least 8 times and 4 times as often as by chance."""
     return _pairs(spark, d, 4.0).select("repo", F.col("item_a").alias("path_a"), F.col("item_b").alias("path_b"))
@@ -107,7 +118,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_sequences": p2_sequences,
-    "p4_found": p4_found, "p4_pairs": p4_pairs, "p6_found": p6_found, "p6_rates": p6_rates, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_report": p9_report,
+    "p3_found": p3_found, "p3_reasons": p3_reasons, "p4_found": p4_found, "p4_pairs": p4_pairs, "p6_found": p6_found, "p6_rates": p6_rates, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_report": p9_report,
     "p10_found": p10_found, "p10_restored": p10_restored,
 }
 
