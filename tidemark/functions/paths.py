@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Directories left out of histories; suffixes of files without text.
 IGNORED = [".git", "target", "node_modules", "dist", "build"]
-BINARY = ["png", "jpg", "jpeg", "gif", "ico", "pdf", "zip", "gz", "tar", "exe", "dll", "so", "dylib", "class", "jar", "woff", "woff2", "lock"]
+BINARY = "png jpg jpeg gif webp ico svg pdf zip gz tar mp3 mp4 mov avi wasm lock map".split()
 LANGUAGES = {"rs": "Rust", "py": "Python", "js": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript", "ts": "TypeScript", "tsx": "TSX"}
 MOST_SOURCE_BYTES = 1_000_000
 
@@ -52,39 +52,37 @@ def is_source_candidate(path: Column, size: Column, kind: Column | None = None)
     return ok if kind is None else ok & (kind == "blob")
 
 
-def _is_test(path: Column) -> Column:
-    low = F.lower(path)
-    return (
-        F.exists(parts(path), lambda x: x.isin("test", "tests", "__tests__", "spec", "specs"))
-        | name(low).rlike(r"^test_|_test\.[a-z]+$|\.(test|spec)\.[a-z]+$|_tests?\.rs$")
-    )
-
-
-CONFIG_NAMES = ["package.json", "cargo.toml", "pyproject.toml", "dockerfile", "makefile", "tsconfig.json", ".gitignore", ".env"]
-CONFIG_EXTENSIONS = ["toml", "yml", "yaml", "ini", "cfg", "conf", "json", "env"]
-DOCS_EXTENSIONS = ["md", "rst", "txt", "adoc"]
+def _any(*conditions: Column) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
 
 
 def kind(path: Column) -> Column:
     """test, else config, else docs, else source."""
-    ext = extension(path)
-    return (
-        F.when(_is_test(path), "test")
-        .when(name(F.lower(path)).isin(CONFIG_NAMES) | ext.isin(CONFIG_EXTENSIONS), "config")
-        .when(ext.isin(DOCS_EXTENSIONS) | F.exists(parts(path), lambda x: x.isin("docs", "doc")), "docs")
-        .otherwise("source")
-    )
+    low, file = F.lower(path), name(F.lower(path))
+    test = _any(low.rlike("(^|/)tests?/"), low.contains("__tests__"), file.contains(".test."), file.contains("_test."), file.rlike("^(test_|conftest)"))
+    config = _any(low.contains("config"), low.contains("settings"), file.startswith(".env"), file.rlike(r"\.(env\.example|yml|yaml|toml|ini)$"))
+    docs = _any(low.rlike("(^|/)docs/"), file.rlike(r"\.(md|rst)$"))
+    return F.when(test, "test").when(config, "config").when(docs, "docs").otherwise("source")
 
 
 def kind_of_text(path: Column) -> Column:
-    """The coarser variant of kind that looks at the text of the path only."""
-    low = F.lower(path)
-    return F.when(low.contains("test") | low.contains("spec"), "test").when(extension(path).isin(CONFIG_EXTENSIONS) | low.contains("config"), "config").when(extension(path).isin(DOCS_EXTENSIONS), "docs").otherwise("source")
+    """The coarser variant: test, configuration, documentation or source."""
+    low, file = F.lower(path), name(F.lower(path))
+    test = _any(low.contains("/test"), F.array_contains(F.split(file, r"\."), "test"), file.startswith("test_"))
+    config = _any(low.contains("config"), low.contains("setting"), file.startswith(".env"), file.rlike(r"\.(yml|yaml|toml|ini)$"))
+    docs = _any(low.rlike("(^|/)docs/"), file.endswith(".md"))
+    return F.when(test, "test").when(config, "configuration").when(docs, "documentation").otherwise("source")
 
 
 def kind_shown(path: Column) -> Column:
     """The variant of lists shown to people: test, config or source."""
-    return F.when(_is_test(path), "test").when(extension(path).isin(CONFIG_EXTENSIONS) | name(F.lower(path)).isin(CONFIG_NAMES), "config").otherwise("source")
+    low, file = F.lower(path), name(F.lower(path))
+    test = _any(low.rlike("/tests?/"), low.contains("__tests__"), file.contains(".test."), file.contains("_test."), file.startswith("test_"), file == "conftest.py")
+    config = _any(file.rlike(r"\.(yml|yaml|toml|ini)$"), file.startswith(".env"), low.rlike("/(config|settings)/"), file.isin("config", "settings"))
+    return F.when(test, "test").when(config, "config").otherwise("source")
 
 
 def renamed(path: Column) -> Column:

@@ -192,9 +192,15 @@ def _list(words) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-IS_TEST = """(len(list_intersect(string_split(lower(path), '/'), ['test','tests','__tests__','spec','specs'])) > 0
-  OR regexp_matches(string_split(lower(path), '/')[-1], '^test_|_test\\.[a-z]+$|\\.(test|spec)\\.[a-z]+$|_tests?\\.rs$'))"""
-IS_CONFIG = f"(string_split(lower(path), '/')[-1] IN {_list(paths.CONFIG_NAMES)} OR {_ext('path')} IN {_list(paths.CONFIG_EXTENSIONS)})"
+NAME = "string_split(lower(path), '/')[-1]"
+KIND = f"""CASE WHEN regexp_matches(lower(path), '(^|/)tests?/') OR contains(lower(path), '__tests__') OR contains({NAME}, '.test.') OR contains({NAME}, '_test.') OR regexp_matches({NAME}, '^(test_|conftest)') THEN 'test'
+  WHEN contains(lower(path), 'config') OR contains(lower(path), 'settings') OR starts_with({NAME}, '.env') OR regexp_matches({NAME}, '\\.(env\\.example|yml|yaml|toml|ini)$') THEN 'config'
+  WHEN regexp_matches(lower(path), '(^|/)docs/') OR regexp_matches({NAME}, '\\.(md|rst)$') THEN 'docs' ELSE 'source' END"""
+KIND_OF_TEXT = f"""CASE WHEN contains(lower(path), '/test') OR list_contains(string_split({NAME}, '.'), 'test') OR starts_with({NAME}, 'test_') THEN 'test'
+  WHEN contains(lower(path), 'config') OR contains(lower(path), 'setting') OR starts_with({NAME}, '.env') OR regexp_matches({NAME}, '\\.(yml|yaml|toml|ini)$') THEN 'configuration'
+  WHEN regexp_matches(lower(path), '(^|/)docs/') OR ends_with({NAME}, '.md') THEN 'documentation' ELSE 'source' END"""
+KIND_SHOWN = f"""CASE WHEN regexp_matches(lower(path), '/tests?/') OR contains(lower(path), '__tests__') OR contains({NAME}, '.test.') OR contains({NAME}, '_test.') OR starts_with({NAME}, 'test_') OR {NAME} = 'conftest.py' THEN 'test'
+  WHEN regexp_matches({NAME}, '\\.(yml|yaml|toml|ini)$') OR starts_with({NAME}, '.env') OR regexp_matches(lower(path), '/(config|settings)/') OR {NAME} IN ('config', 'settings') THEN 'config' ELSE 'source' END"""
 TOKENS = "list_filter(regexp_split_to_array(lower({m}), '[^a-z0-9]+'), lambda x: x <> '')"
 FIX = f"coalesce(len(list_intersect({TOKENS.format(m='{m}')}, [{', '.join(repr(x) for x in text.FIX_WORDS)}])) > 0, false)"
 REVERT = f"(coalesce(starts_with(lower(regexp_replace({{m}}, '^\\s+', '')), 'revert'), false) OR coalesce(len(list_intersect({TOKENS.format(m='{m}')}, [{', '.join(repr(x) for x in text.REVERT_WORDS)}])) > 0, false))"
@@ -296,9 +302,7 @@ def sql(select: str, *parts: str) -> str:
 ORACLES = {
     "path_properties": f"""SELECT repo, path, {IGNORED_SQL.format(p='path')} AS ignored, {_ext('path')} AS extension, {_lang('path')} AS language,
       CASE WHEN {PARENT.format(p='path')} = '' THEN '(root)' ELSE {PARENT.format(p='path')} END AS directory,
-      CASE WHEN {IS_TEST} THEN 'test' WHEN {IS_CONFIG} THEN 'config' WHEN {_ext('path')} IN {_list(paths.DOCS_EXTENSIONS)} OR len(list_intersect(string_split(lower(path), '/'), ['docs', 'doc'])) > 0 THEN 'docs' ELSE 'source' END AS kind,
-      CASE WHEN contains(lower(path), 'test') OR contains(lower(path), 'spec') THEN 'test' WHEN {_ext('path')} IN {_list(paths.CONFIG_EXTENSIONS)} OR contains(lower(path), 'config') THEN 'config' WHEN {_ext('path')} IN {_list(paths.DOCS_EXTENSIONS)} THEN 'docs' ELSE 'source' END AS kind_of_text,
-      CASE WHEN {IS_TEST} THEN 'test' WHEN {IS_CONFIG} THEN 'config' ELSE 'source' END AS kind_shown
+      {KIND} AS kind, {KIND_OF_TEXT} AS kind_of_text, {KIND_SHOWN} AS kind_shown
       FROM (SELECT DISTINCT repo, f.filename AS path FROM (SELECT repo, unnest(files) AS f FROM commits))""",
     "message_flags": sql(f"SELECT repo, sha, who, {FIX.format(m='message')} AS is_fix, {REVERT.format(m='message')} AS is_revert, array_to_string({TOKENS.format(m='message')}, ' ') AS tokens, substr(sha, 1, 7) AS short_sha, epoch(try_cast(date AS TIMESTAMPTZ))::BIGINT AS date_epoch FROM c"),
     "source_candidates": f"SELECT file_id, repo, path, NOT ({IGNORED_SQL.format(p='path')}) AND coalesce(octet_length(encode(content)), 0) <= {paths.MOST_SOURCE_BYTES} AND {_ext('path')} NOT IN {_list(paths.BINARY)} AS candidate, {LINES.format(t='content')} AS lines, {_lang('path')} AS language FROM source_files",
