@@ -54,7 +54,8 @@ class Script:
         self.no_arrow: set[int] = set()
         self.no_types: set[int] = set()
         self.function, self.loop = 0, 0
-        self.move(0)
+        at = 1 if text.startswith("\ufeff") else 0
+        self.move((text + "\n").index("\n") if text.startswith("#!", at) else at)
 
     # tokens
     def move(self, at: int) -> None:
@@ -142,8 +143,6 @@ class Script:
 
     # programs and statements
     def check(self) -> None:
-        if self.s.startswith("#!"):
-            self.move(self.s.find("\n") if "\n" in self.s else self.n)
         while self.kind != "eof":
             self.statement(True)
 
@@ -768,8 +767,18 @@ class Script:
     def conditional(self, no_in: bool) -> bool:
         target = self.binary(0, no_in)
         if self.takes("?"):
-            self.assignment()
-            self.need(":")
+            here = self.mark()
+            try:
+                self.assignment()
+                self.need(":")
+            except Bad:
+                # what looked like an arrow function with a return type was not one
+                if not self.ts or here[0] in self.no_arrow or here[2] != "(":
+                    raise
+                self.back(here)
+                self.no_arrow.add(here[0])
+                self.assignment()
+                self.need(":")
             self.assignment(no_in)
             return False
         return target

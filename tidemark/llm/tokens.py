@@ -158,7 +158,7 @@ def _ids(batches: Iterator[pa.RecordBatch], vocabulary, digest: str, pattern: st
         texts = batch.column(batch.num_columns - 1)
         ids = [encode(t.as_py()) for t in texts]
         last = pa.array([len(x) for x in ids], pa.int64()) if count else pa.array(ids, pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], last], names=[*batch.schema.names[:-1], "out"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], last], names=[*batch.schema.names[:-1], "_out"])
 
 
 def _encoded(docs: DataFrame, keep: list[str], text: str, name: str, count: bool, path: str, pattern: str) -> DataFrame:
@@ -171,7 +171,7 @@ def _encoded(docs: DataFrame, keep: list[str], text: str, name: str, count: bool
     kind = "bigint" if count else "array<int>"
     columns = docs.select(*keep, F.col(text).alias("_text"))
     names = [f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[:-1]]
-    return columns.mapInArrow(lambda it: _ids(it, shared, digest, pattern, count), ", ".join([*names, f"out {kind}"])).withColumnRenamed("out", name)
+    return columns.mapInArrow(lambda it: _ids(it, shared, digest, pattern, count), ", ".join([*names, f"_out {kind}"])).withColumnRenamed("_out", name)
 
 
 def token_ids(docs: DataFrame, keep: list[str], text: str = "text", path: str = f"{TOKENIZERS}/{VOCABULARY}", pattern: str = PATTERN) -> DataFrame:
