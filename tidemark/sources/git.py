@@ -48,8 +48,9 @@ def log_text(path: str, most: int = 1000, committer_date: bool = False, subject:
 def _records(text: DataFrame) -> DataFrame:
     """(repo, sha, name, email, date, message, lines) out of a column ``value`` of one record each."""
     f = F.split("value", FIELD)
+    at = lambda i: F.get(f, F.lit(i))
     return text.where(F.size(f) >= 6).select(
-        "repo", F.trim(f[0]).alias("sha"), f[1].alias("name"), f[2].alias("email"), f[3].alias("date"), F.regexp_replace(f[4], r"\s+\z", "").alias("message"), F.filter(F.split(f[5], "\n"), lambda x: x != "").alias("lines"))
+        "repo", F.trim(at(0)).alias("sha"), at(1).alias("name"), at(2).alias("email"), at(3).alias("date"), F.regexp_replace(at(4), r"\s+\z", "").alias("message"), F.filter(F.split(at(5), "\n"), lambda x: x != "").alias("lines"))
 
 
 def parse(numstat: DataFrame, status: DataFrame) -> DataFrame:
