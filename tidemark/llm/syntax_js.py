@@ -51,6 +51,7 @@ class Script:
         self.s, self.n = text, len(text)
         self.ts, self.jsx = language in ("ts", "tsx"), language == "tsx"
         self.pos = 0
+        self.read: dict[int, tuple[int, str, str, int, bool]] = {}
         self.no_arrow: set[int] = set()
         self.no_types: set[int] = set()
         self.function, self.loop = 0, 0
@@ -59,28 +60,28 @@ class Script:
 
     # tokens
     def move(self, at: int) -> None:
-        """Stand before the next token at or after a place."""
-        start = at
-        m = SPACE.match(self.s, at)
-        at = m.end()
-        self.newline = "\n" in self.s[start:at] or "\r" in self.s[start:at] or start == 0
-        self.at = at
+        """Stand before the next token at or after a place; each place is read once."""
+        found = self.read.get(at)
+        if found is None:
+            found = self.read[at] = self.token(at)
+        self.at, self.kind, self.value, self.end, self.newline = found
+
+    def token(self, start: int) -> tuple[int, str, str, int, bool]:
+        s = self.s
+        at = SPACE.match(s, start).end()
+        newline = start == 0 or at > start and ("\n" in s[start:at] or "\r" in s[start:at])
         if at >= self.n:
-            self.kind, self.value, self.end = "eof", "", self.n
-            return
-        m = TOKEN.match(self.s, at)
+            return at, "eof", "", self.n, newline
+        m = TOKEN.match(s, at)
         if not m:
-            c = self.s[at]
-            if c in "\"'":
-                raise Bad("unterminated literal", at)
-            if c == "/":
-                raise Bad("unterminated comment", at)
-            raise Bad("stray sign", at)
-        self.kind, self.value, self.end = m.lastgroup, m.group(), m.end()
-        if self.kind == "p" and self.value == "/" and self.s.startswith("/*", at):
+            c = s[at]
+            raise Bad("unterminated literal" if c in "\"'" else "unterminated comment" if c == "/" else "stray sign", at)
+        kind, value, end = m.lastgroup, m.group(), m.end()
+        if value == "/" and s.startswith("/*", at):
             raise Bad("unterminated comment", at)
-        if self.kind == "num" and self.end < self.n and re.match(r"[$\w]", self.s[self.end]):
+        if kind == "num" and end < self.n and re.match(r"[$\w]", s[end]):
             raise Bad("bad number", at)
+        return at, kind, value, end, newline
 
     def step(self) -> str:
         value = self.value
@@ -105,11 +106,10 @@ class Script:
             self.fail("unbalanced delimiters" if closing else "")
 
     def peek(self) -> tuple[str, str, bool]:
-        here = (self.at, self.kind, self.value, self.end, self.newline)
-        self.move(self.end)
-        out = (self.kind, self.value, self.newline)
-        self.at, self.kind, self.value, self.end, self.newline = here
-        return out
+        found = self.read.get(self.end)
+        if found is None:
+            found = self.read[self.end] = self.token(self.end)
+        return found[1], found[2], found[4]
 
     def mark(self):
         return (self.at, self.kind, self.value, self.end, self.newline)
