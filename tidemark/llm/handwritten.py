@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.syntax import language_of
+from tidemark.session import cut
 
 
 @dataclass(frozen=True)
@@ -133,8 +134,8 @@ def not_handwritten(files: DataFrame, file_id: str = "file_id", path: str = "pat
     data = data | listed
     minified = F.col("_path").rlike(MINIFIED_NAME) | F.col("_text").rlike(PACKED) | (c("space") <= _limit("dense_space")) & ((c("mean_line") >= _limit("dense_mean")) | long_lines) & ~(c("encoded") >= _limit("encoded")) & ~listed
     repeated = repeated & ~minified & ~data
-    f = f.select("_id", "_path", F.sha2("_text", 256).alias("_digest"), F.length("_text").alias("_size"),
-        F.when(generated, "generated").when(vendored, "vendored").when(minified, "minified").when(data, "data").when(repeated, "generated").alias("reason"), vendored.alias("_vendored"))
+    f = cut(f.select("_id", F.sha2("_text", 256).alias("_digest"), F.length("_text").alias("_size"),
+        F.when(generated, "generated").when(vendored, "vendored").when(minified, "minified").when(data, "data").when(repeated, "generated").alias("reason"), vendored.alias("_vendored")))
     originals = f.where("_vendored and _size > 0").select("_digest").distinct()
     rest = f.where("reason is null and _size > 0").join(originals, "_digest", "left_semi").select("_id", F.lit("vendored").alias("reason"))
     return f.where("reason is not null").select("_id", "reason").unionByName(rest).withColumnRenamed("_id", file_id)
