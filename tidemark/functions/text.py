@@ -50,3 +50,10 @@ def epoch(date: Column) -> Column:
 def upper_median(values: Column) -> Column:
     """The element at half the size of the sorted array."""
     return F.when(F.size(values) > 0, F.element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int")))
+
+
+def repository_of(url: Column) -> Column:
+    """owner/name of a forge's address or of owner/name itself; null where it is neither."""
+    bare = F.regexp_replace(F.trim(url), r"(?i)^(https?://)?(www\.)?github\.com/|^git@github\.com:", "")
+    found = F.regexp_extract(bare, r"^([A-Za-z0-9][A-Za-z0-9-]*)/([A-Za-z0-9._-]+?)(\.git)?(/.*)?(\?.*)?(#.*)?$", 0)
+    return F.when(found != "", F.concat_ws("/", F.regexp_extract(bare, r"^([^/]+)/", 1), F.regexp_replace(F.regexp_extract(bare, r"^[^/]+/([^/?#]+)", 1), r"\.git$", "")))

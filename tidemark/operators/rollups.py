@@ -161,3 +161,44 @@ def search(commits: DataFrame, files: DataFrame, text: str, most: int = 10) -> D
     both = f.withColumn("o", F.lit(0).cast("bigint")).unionByName(c.select("repo", "kind", "hit", (-F.col("t0")).alias("o")))
     w = Window.partitionBy("repo").orderBy(F.desc("kind"), "o", "hit")
     return both.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).drop("o")
+
+
+def coupling_filter(pairs: DataFrame, edges: DataFrame | None = None, least: int = 2, directory: str = "", dependent: bool | None = None) -> DataFrame:
+    """Pairs of at least a number of co-changes, in a directory, with or without a dependency either way."""
+    out = pairs.where((F.col("count") >= least) & (F.col("file_a") != F.col("file_b")))
+    if directory:
+        out = out.where(paths.parent(F.col("file_a")).contains(directory) | paths.parent(F.col("file_b")).contains(directory))
+    if dependent is not None:
+        both = edges.select("repo", F.least("source", "target").alias("file_a"), F.greatest("source", "target").alias("file_b")).distinct()
+        out = out.join(both, ["repo", "file_a", "file_b"], "left_semi" if dependent else "left_anti")
+    return out
+
+
+def prediction_filter(scored: DataFrame, label: int | None = None, band: str | None = None, text: str = "") -> DataFrame:
+    """Scored files by predicted label, confidence and a text within the path."""
+    out = scored
+    if label is not None:
+        out = out.where(F.col("predicted") == label)
+    if band:
+        out = out.where(F.col("confidence") == band)
+    return out.where(F.lower("file_path").contains(text.strip().lower())) if text.strip() else out
+
+
+def stamps(commits: DataFrame) -> DataFrame:
+    """(repo, path, stamps): the sorted times of every file's commits, in milliseconds."""
+    return commits.where("ts is not null").select("repo", F.explode("files").alias("path"), (F.col("ts") * 1000).alias("t")).groupBy("repo", "path").agg(F.array_sort(F.collect_list("t")).alias("stamps"))
+
+
+def readiness(structural: DataFrame, historical: DataFrame, temporal: DataFrame) -> DataFrame:
+    """(repo, structural, historical, temporal): how many files have each kind of features."""
+    n = lambda df, name: df.groupBy("repo").agg(F.count(F.lit(1)).alias(name))
+    return n(structural, "structural").join(n(historical, "historical"), "repo", "full").join(n(temporal, "temporal"), "repo", "full").fillna(0)
+
+
+def drivers(files: DataFrame, spots: DataFrame, connected: DataFrame, complex_from: float = 10.0, flagged_from: float = 40.0) -> DataFrame:
+    """(repo, complex_share, hotspot_share, flagged, connected_share) of a repository's files."""
+    n = files.groupBy("repo").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("complexity") >= complex_from).alias("c"))
+    s = spots.groupBy("repo").agg(F.count(F.lit(1)).alias("s"), F.count_if(F.col("score") >= flagged_from).alias("flagged"))
+    k = files.join(connected.select("repo", "path").distinct(), ["repo", "path"], "left_semi").groupBy("repo").agg(F.count(F.lit(1)).alias("k"))
+    share = lambda c: F.least(F.coalesce(F.col(c), F.lit(0)) / F.col("n"), F.lit(1.0))
+    return n.join(s, "repo", "left").join(k, "repo", "left").select("repo", share("c").alias("complex_share"), share("s").alias("hotspot_share"), F.coalesce("flagged", F.lit(0)).alias("flagged"), share("k").alias("connected_share"))
