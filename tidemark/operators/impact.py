@@ -34,7 +34,7 @@ DOMAINS = {
 TECHNOLOGIES = "jwt oauth oauth2 sso postgres postgresql mysql sqlite mongodb mongo redis memcached stripe razorpay redux zustand rest graphql docker kubernetes kafka rabbitmq elasticsearch jest vitest pytest axios express axum tokio react vue angular".split()
 STOPWORDS = "the a an to of in on for with and or from by as is are be our we it its this that these those into over under all new old current existing please".split()
 WEIGHTS = {"semantic": 0.35, "dependency": 0.20, "historical": 0.30, "kind": 0.15}
-DIRECT, FLOOR, HIGH, MEDIUM, LEAST, SCANNED = 0.5, 0.6, 0.5, 0.15, 0.01, 20_000
+DIRECT, FLOOR, HIGH, MEDIUM, LEAST = 0.5, 0.6, 0.5, 0.15, 0.01
 
 
 def terms_of(text: Column) -> Column:
@@ -77,8 +77,8 @@ def path_matches(path: Column, terms: Column) -> Column:
 
 
 def content_matches(content: Column, terms: Column) -> Column:
-    """The terms found in the first 20,000 characters of a text (that many are scanned by definition)."""
-    low = F.lower(F.substring(content, 1, SCANNED))
+    """The terms of more than two characters found anywhere in a text."""
+    low = F.lower(content)
     return F.filter(terms, lambda t: (F.length(t) > 2) & low.contains(t))
 
 

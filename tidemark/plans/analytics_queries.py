@@ -184,7 +184,7 @@ STEMS = "list_transform(string_split(lower(path), '/'), lambda s: string_split(s
 WORDS = f"list_distinct(list_filter(list_concat(flatten(list_transform({STEMS}, lambda s: regexp_split_to_array(s, '[^a-z0-9]+'))), list_transform({STEMS}, lambda s: regexp_replace(s, '[^a-z0-9]+', '', 'g'))), lambda w: length(w) > 1))"
 SEMANTIC = f"""
 sm0 AS (SELECT repo, path, list_filter({TERM_LIST}, lambda t: len(list_filter(words, lambda w: w = t OR (length(w) > 3 AND length(t) > 3 AND (contains(w, t) OR contains(t, w))))) > 0) AS pt,
-  list_filter({TERM_LIST}, lambda t: length(t) > 2 AND contains(lower(content[1:20000]), t)) AS ct FROM (SELECT repo, path, content, {WORDS} AS words FROM src)),
+  list_filter({TERM_LIST}, lambda t: length(t) > 2 AND contains(lower(content), t)) AS ct FROM (SELECT repo, path, content, {WORDS} AS words FROM src)),
 sm AS (SELECT repo, path, least(greatest(len(pt), len(ct)) / 4.0, 1.0)::DOUBLE AS semantic, pt, ct FROM sm0)"""
 V = impact.WEIGHTS
 ITEMS = f"""
