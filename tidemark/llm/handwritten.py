@@ -75,7 +75,7 @@ def layout_statistics(text: Column) -> dict[str, Column]:
     lines = F.split(text, "\r?\n")
     lengths = F.transform(lines, lambda x: F.length(x))
     size = F.greatest(F.length(text), F.lit(1))
-    runs = F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9+/]{40,}={0,2}|(?:\\x[0-9a-fA-F]{2}(?:\\n)?[a-z]{0,10}){8,}|(?:(?:0x[0-9a-fA-F]{1,2}|\d{1,3}), *){24,})"), F.lit(1))
+    runs = F.regexp_extract_all(text, F.lit(r"((?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}+={0,2}|(?:\\x[0-9a-fA-F]{2}(?:\\n)?[a-z]{0,10}){8,}|(?<!\w)(?:(?:0x[0-9a-fA-F]{1,2}|\d{1,3}), *){24,})"), F.lit(1))
     return {
         "max_line": F.array_max(lengths),
         "mean_line": size / F.size(lines),
