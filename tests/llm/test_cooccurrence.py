@@ -47,6 +47,13 @@ def test_like_brute_force(spark, least, lift):
     assert all(abs(got[k][5] - want[k][5]) < 2e-6 for k in want)
 
 
+@pytest.mark.parametrize("least,large", [(2, 3), (5, 3), (9, 4), (60, 2)])
+def test_large_baskets(spark, least, large):
+    rows = data(9)
+    got, want = run(spark, rows, min_count=least, large=large), brute(rows, least, 0.0)
+    assert {k: v[:5] for k, v in got.items()} == {k: v[:5] for k, v in want.items()}
+
+
 def test_small_flushes(spark, monkeypatch):
     rows = data(8)
     monkeypatch.setattr(module, "PAIRS_HELD", 3)

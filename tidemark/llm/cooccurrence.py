@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import ship
+from tidemark.session import cut, ship
 
 PAIRS_HELD = 4_000_000
 PARTS = 8
@@ -111,7 +111,7 @@ def hash_of(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass"))
 
 
-def cooccurrence(rows: DataFrame, scope: str, basket: str, item: str, min_count: int = 1, min_lift: float = 0.0) -> DataFrame:
+def cooccurrence(rows: DataFrame, scope: str, basket: str, item: str, min_count: int = 1, min_lift: float = 0.0, large: int = 2000) -> DataFrame:
     """(scope, item_a, item_b, n, n_a, n_b, n_ab, lift, llr) with item_a < item_b (by bytes).
 
     n baskets in the scope; n_a, n_b, n_ab of them hold a, b, both; an item counts once
@@ -127,12 +127,25 @@ def cooccurrence(rows: DataFrame, scope: str, basket: str, item: str, min_count:
     n = r.groupBy("scope").agg(F.count_distinct("basket").alias("n"))
     counts = r.groupBy("scope", "item").agg(F.count(F.lit(1)).alias("n_item"))
     kept = counts.join(n, "scope").where((F.col("n_item") >= min_count) & (F.col("n_item") * min_lift <= F.col("n")))
-    baskets = r.join(kept.select("scope", "item"), ["scope", "item"], "left_semi").groupBy("scope", "basket").agg(F.array_sort(F.collect_list("item")).alias("items")).where(F.size("items") > 1)
-    parts = baskets.select("scope", "items").mapInArrow(_stripes, "scope string, item string, part int, neighbours array<string>, counts array<bigint>")
-    merged = parts.repartition("scope", "item", "part").select(
-        "scope", "item", "part", F.explode(F.arrays_zip("neighbours", "counts")).alias("x")).groupBy("scope", "item", "part", F.col("x.neighbours").alias("other")).agg(F.sum("x.counts").alias("n_ab"))
-    side = lambda c, name: kept.select("scope", F.col("item").alias(c), F.col("n_item").alias(name))
+    held = r.join(kept.select("scope", "item"), ["scope", "item"], "left_semi")
+    huge = held.groupBy("scope", "basket").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > large).select("scope", "basket")
+    if huge.isEmpty():
+        merged = _merged(held)
+    else:
+        huge = cut(huge)  # at most rows / large baskets
+        few = huge.groupBy("scope").agg(F.count(F.lit(1)).alias("h"))
+        big = cut(held.join(huge, ["scope", "basket"], "left_semi"))
+        small = cut(_merged(held.join(huge, ["scope", "basket"], "left_anti")))
+        key = ["scope", "item", "other"]
+        alone = few.where(F.col("h") >= min_count).select("scope")
+        own = big.join(alone, "scope", "left_semi")
+        right = own.select("scope", "basket", F.col("item").alias("other"))
+        made = own.join(right, ["scope", "basket"]).where("item < other").groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+        asked = small.join(few.where(F.col("h") < min_count), "scope").where(F.col("n_ab") >= min_count - F.col("h")).select(*key)
+        found = asked.join(big, ["scope", "item"]).join(big.select("scope", "basket", F.col("item").alias("other")), ["scope", "basket", "other"]).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+        merged = small.withColumnRenamed("n_ab", "n").unionByName(made).unionByName(found).groupBy(*key).agg(F.sum("n").alias("n_ab"))
     pairs = merged.where(F.col("n_ab") >= min_count).select("scope", F.col("item").alias("item_a"), F.col("other").alias("item_b"), "n_ab")
+    side = lambda c, name: kept.select("scope", F.col("item").alias(c), F.col("n_item").alias(name))
     pairs = pairs.join(side("item_a", "n_a"), ["scope", "item_a"]).join(side("item_b", "n_b"), ["scope", "item_b"]).join(n, "scope")
     pairs = pairs.where(F.col("n_ab") * F.col("n") >= F.lit(min_lift) * F.col("n_a") * F.col("n_b"))
     return pairs.select(
@@ -140,6 +153,14 @@ def cooccurrence(rows: DataFrame, scope: str, basket: str, item: str, min_count:
         (F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b"))).alias("lift"), F.round(_llr(), 6).alias("llr"))
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    """(scope, item, other, n_ab) of distinct rows (scope, basket, item), by stripes."""
+    baskets = rows.groupBy("scope", "basket").agg(F.array_sort(F.collect_list("item")).alias("items")).where(F.size("items") > 1)
+    parts = baskets.select("scope", "items").mapInArrow(_stripes, "scope string, item string, part int, neighbours array<string>, counts array<bigint>")
+    return parts.repartition("scope", "item", "part").select(
+        "scope", "item", "part", F.explode(F.arrays_zip("neighbours", "counts")).alias("x")).groupBy("scope", "item", "part", F.col("x.neighbours").alias("other")).agg(F.sum("x.counts").alias("n_ab")).drop("part")
+
+
 def _llr():
     """2 sum k ln(k n / (row column)) over the four cells."""
     n, a, b, k = F.col("n").cast("double"), F.col("n_a"), F.col("n_b"), F.col("n_ab")
