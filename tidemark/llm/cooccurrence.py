@@ -126,8 +126,8 @@ def cooccurrence(rows: DataFrame, scope: str, basket: str, item: str, min_count:
         "scope is not null and basket is not null and item is not null").distinct()
     n = r.groupBy("scope").agg(F.count_distinct("basket").alias("n"))
     counts = r.groupBy("scope", "item").agg(F.count(F.lit(1)).alias("n_item"))
-    kept = counts.join(n, "scope").where((F.col("n_item") >= min_count) & (F.col("n_item") * min_lift <= F.col("n")))
-    held = r.join(kept.select("scope", "item"), ["scope", "item"], "left_semi")
+    kept = cut(counts.join(n, "scope").where((F.col("n_item") >= min_count) & (F.col("n_item") * min_lift <= F.col("n"))))
+    held = cut(r.join(kept.select("scope", "item"), ["scope", "item"], "left_semi"))
     huge = held.groupBy("scope", "basket").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > large).select("scope", "basket")
     if huge.isEmpty():
         merged = _merged(held)
@@ -145,8 +145,8 @@ def cooccurrence(rows: DataFrame, scope: str, basket: str, item: str, min_count:
         found = asked.join(big, ["scope", "item"]).join(big.select("scope", "basket", F.col("item").alias("other")), ["scope", "basket", "other"]).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
         merged = small.withColumnRenamed("n_ab", "n").unionByName(made).unionByName(found).groupBy(*key).agg(F.sum("n").alias("n_ab"))
     pairs = merged.where(F.col("n_ab") >= min_count).select("scope", F.col("item").alias("item_a"), F.col("other").alias("item_b"), "n_ab")
-    side = lambda c, name: kept.select("scope", F.col("item").alias(c), F.col("n_item").alias(name))
-    pairs = pairs.join(side("item_a", "n_a"), ["scope", "item_a"]).join(side("item_b", "n_b"), ["scope", "item_b"]).join(n, "scope")
+    side = lambda c, name, *more: kept.select("scope", F.col("item").alias(c), F.col("n_item").alias(name), *more)
+    pairs = pairs.join(side("item_a", "n_a", "n"), ["scope", "item_a"]).join(side("item_b", "n_b"), ["scope", "item_b"])
     pairs = pairs.where(F.col("n_ab") * F.col("n") >= F.lit(min_lift) * F.col("n_a") * F.col("n_b"))
     return pairs.select(
         F.col("scope").alias(scope), "item_a", "item_b", "n", "n_a", "n_b", "n_ab",
