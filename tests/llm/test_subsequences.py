@@ -55,6 +55,13 @@ def test_like_brute_force(spark, repeats, longest, block):
     assert got == brute(rows, 4, 0.1, 1, longest, repeats)
 
 
+@pytest.mark.parametrize("long,least,block", [(4, 12, 4096), (5, 8, 6), (3, 40, 4096), (1, 1, 4096)])
+def test_long_sequences(spark, long, least, block):
+    rows = data(2)
+    got = run(spark, rows, min_count=least, min_share=0.1, shortest=1, longest=3, repeats=False, block_size=block, long=long)
+    assert got == brute(rows, least, 0.1, 1, 3, False)
+
+
 def test_nulls_ties_and_nothing(spark):
     rows = [("r", 1, 5, "a", ""), ("r", 1, 5, "b", ""), ("r", None, 5, "c", ""), (None, 1, 5, "a", ""), ("r", 2, None, "a", ""), ("r", 2, 6, None, ""), ("r", 3, 1, "", ""), ("r", 3, 2, "b" * 50_000, "")]
     got = run(spark, rows, min_count=1, shortest=2, longest=2)

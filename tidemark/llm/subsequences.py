@@ -12,6 +12,11 @@ each. Where a scope has several blocks, a pattern frequent in the scope is frequ
 in one of its blocks at least at the same rate; so the union of the blocks' patterns
 holds all, and a second pass counts exactly those in every block. Both passes are
 exact, and no task holds more than its blocks, however large a scope is.
+
+A sequence of more than ``long`` events is in no tree where its scope has fewer such
+sequences than a pattern needs: a frequent pattern then has nearly its whole support in
+the others, so theirs, mined with that much less, are looked up in the long sequences step
+by step with equi-joins and minima.
 """
 
 from __future__ import annotations
@@ -168,7 +173,7 @@ def _counted(held: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
 
 def frequent_subsequences(
     rows: DataFrame, scope: str, sequence: str, time: str, item: str, min_count: int = 1, min_share: float = 0.0,
-    shortest: int = 1, longest: int = 3, repeats: bool = True, block_size: int = 4096,
+    shortest: int = 1, longest: int = 3, repeats: bool = True, block_size: int = 4096, long: int = 20_000,
 ) -> DataFrame:
     """(scope, pattern, support, n): patterns of shortest..longest items, steps at strictly rising times.
 
@@ -176,8 +181,8 @@ def frequent_subsequences(
     min_count and min_share * n of them. With repeats=False a pattern holds no item
     twice. Rows with a null scope, sequence, time or item are left out and make no
     sequence; repeated rows change nothing; items at one time are one step and never
-    follow each other. No rows, no patterns. One sequence's frequent items are held by
-    one task; everything else is split.
+    follow each other. No rows, no patterns. Long sequences are held by one task only
+    where as many of them as a pattern needs are in one scope.
     """
     spark = rows.sparkSession
     ship(spark)
@@ -186,11 +191,21 @@ def frequent_subsequences(
     n = r.groupBy("scope").agg(F.count_distinct("seq").alias("n"))
     need = F.greatest(F.lit(float(min_count)), F.lit(float(min_share)) * F.col("n"), F.lit(1.0))
     frequent = r.groupBy("scope", "item").agg(F.count_distinct("seq").alias("k")).join(n, "scope").where(F.col("k") >= need - 1e-9)
-    kept = r.join(frequent.select("scope", "item"), ["scope", "item"], "left_semi")
-    sequences = kept.groupBy("scope", "seq").agg(F.collect_list(F.struct("t", "item")).alias("e"))
+    kept = cut(r.join(frequent.select("scope", "item"), ["scope", "item"], "left_semi"))
+    giants = kept.groupBy("scope", "seq").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > long).select("scope", "seq")
+    some = not giants.isEmpty()
+    if some:
+        few = giants.groupBy("scope").agg(F.count(F.lit(1)).alias("h")).join(n, "scope").where(F.col("h") < need - 1e-9).select("scope", "h")
+        giants = cut(giants.join(few, "scope"))  # at most rows / long sequences
+        short = kept.join(giants, ["scope", "seq"], "left_anti")
+        n_less = n.join(giants.select("scope", "h").distinct(), "scope", "left").withColumn("h", F.coalesce("h", F.lit(0)))
+    else:
+        short, n_less = kept, n.withColumn("h", F.lit(0))
+    least = F.greatest(need - F.col("h"), F.lit(1.0))
+    sequences = short.groupBy("scope", "seq").agg(F.collect_list(F.struct("t", "item")).alias("e"))
     blocks = F.ceil(F.col("n") / F.lit(float(block_size))).cast("int")
-    sequences = cut(sequences.join(n, "scope").select(
-        "scope", F.col("e.t").cast("array<bigint>").alias("times"), F.col("e.item").alias("items"), (need / F.col("n")).alias("rate"), blocks.alias("blocks"),
+    sequences = cut(sequences.join(n_less, "scope").select(
+        "scope", F.col("e.t").cast("array<bigint>").alias("times"), F.col("e.item").alias("items"), (least / F.col("n")).alias("rate"), blocks.alias("blocks"),
         F.pmod(F.xxhash64(F.col("seq").cast("string")), blocks).cast("int").alias("block")))
     mined = sequences.groupBy("scope", "block").applyInPandas(
         lambda held: _mined(held, shortest, longest, repeats), "scope string, blocks int, pattern array<string>, support bigint")
@@ -200,4 +215,19 @@ def frequent_subsequences(
     counted = sequences.where("blocks > 1").groupBy("scope", "block").cogroup(wanted.groupBy("scope", "block")).applyInPandas(
         lambda held, want: _counted(held, want), "scope string, pattern array<string>, support bigint")
     summed = counted.groupBy("scope", "pattern").agg(F.sum("support").alias("support"))
-    return whole.unionByName(summed).join(n, "scope").where(F.col("support") >= need - 1e-9).select(F.col("scope").alias(scope), "pattern", "support", "n")
+    found = whole.unionByName(summed)
+    if some:
+        found = cut(found)
+        found = found.unionByName(_looked_up(found, giants, kept, longest)).groupBy("scope", "pattern").agg(F.sum("support").alias("support"))
+    return found.join(n, "scope").where(F.col("support") >= need - 1e-9).select(F.col("scope").alias(scope), "pattern", "support", "n")
+
+
+def _looked_up(patterns: DataFrame, giants: DataFrame, events: DataFrame, longest: int) -> DataFrame:
+    """(scope, pattern, support) of patterns in the given sequences: the earliest match of one step after the other."""
+    ev = events.join(giants.select("scope", "seq"), ["scope", "seq"], "left_semi")
+    at = patterns.select("scope", "pattern").join(giants.select("scope", "seq"), "scope").withColumn("at", F.lit(None).cast("bigint"))
+    for i in range(longest):
+        done = at.where(F.size("pattern") <= i)
+        step = at.where(F.size("pattern") > i).withColumn("item", F.get("pattern", F.lit(i))).join(ev, ["scope", "seq", "item"]).where(F.col("at").isNull() | (F.col("t") > F.col("at")))
+        at = step.groupBy("scope", "pattern", "seq").agg(F.min(F.col("t").cast("bigint")).alias("at")).unionByName(done.select("scope", "pattern", "seq", "at"))
+    return at.groupBy("scope", "pattern").agg(F.count(F.lit(1)).alias("support"))
