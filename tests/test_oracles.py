@@ -8,7 +8,7 @@ from tidemark.plans import analytics_queries, history_queries, stream_queries, t
 PLANS = [training, history_queries, analytics_queries, stream_queries]
 QUERIES = {k: v for p in PLANS for k, v in p.QUERIES.items()}
 ORACLES = {k: v for p in PLANS for k, v in p.ORACLES.items()}
-SLOW = {"model_comparison", "ablation", "calibration", "permutation_importance"}
+SLOW = {"time_window_scores", "model_comparison", "ablation", "calibration", "permutation_importance"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 

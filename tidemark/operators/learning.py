@@ -135,3 +135,23 @@ def permutation_importance(model: Model, test: DataFrame, features: list[str] |
         ap = ranking(model.score(left.join(right, ["_b", "_i"]).drop("_h", "_b", "_i")).withColumn("g", F.lit(1)), ["g"]).collect()[0]["average_precision"]
         rows.append((feature, float((base or 0.0) - (ap or 0.0))))
     return spark.createDataFrame(rows, "feature string, loss double")
+
+
+def export(model: Model) -> dict[str, object]:
+    """A fitted logistic regression as plain numbers, in the order of its features, as ``prediction.score`` takes them."""
+    means, scales = zip(*(model.by[c] for c in model.features))
+    return {
+        "features": model.features, "median": [model.fill[c] for c in model.features], "mean": list(means), "scale": list(scales),
+        "coefficient": [float(x) for x in model.model.coefficients], "intercept": float(model.model.intercept),
+    }
+
+
+def cross_validate(rows: DataFrame, windows: DataFrame, kinds: tuple[str, ...] = ("logistic_regression",)) -> DataFrame:
+    """The metrics of each kind of model on each chronological window (repo, fold, commit_sha, part); folds of all repositories together."""
+    both = rows.join(windows, ["repo", "commit_sha"])
+    out = None
+    for fold in [r["fold"] for r in windows.select("fold").distinct().orderBy("fold").collect()]:
+        own = both.where(F.col("fold") == fold)
+        m = compare(own.where("part = 'train'"), own.where("part = 'test'"), kinds).withColumn("fold", F.lit(fold))
+        out = m if out is None else out.unionByName(m)
+    return out
