@@ -67,9 +67,18 @@ class Model:
     def score(self, rows: DataFrame) -> DataFrame:
         """Add probability and predicted to rows, which keep their raw features."""
         keep = [c for c in rows.columns if c not in self.features]
-        data = scale(impute(rows, self.fill), self.by)
-        out = self.model.transform(VectorAssembler(inputCols=self.features, outputCol="features").transform(data))
-        return out.select(*keep, *self.features, vector_to_array("probability")[1].alias("probability")).withColumn("predicted", (F.col("probability") >= 0.5).cast("int"))
+        if self.kind == "logistic_regression":
+            x = export(self)
+            z = F.lit(x["intercept"])
+            for c, m, mean, sd, k in zip(x["features"], x["median"], x["mean"], x["scale"], x["coefficient"]):
+                z = z + (F.coalesce(F.col(c), F.lit(m)) - mean) / sd * k
+            out = rows.select(*keep, *self.features, (1.0 / (1.0 + F.exp(-z))).alias("probability"))
+        else:
+            raw = {c: f"_raw_{i}" for i, c in enumerate(self.features)}
+            data = scale(impute(rows.withColumns({r: F.col(c) for c, r in raw.items()}), self.fill), self.by)
+            out = self.model.transform(VectorAssembler(inputCols=self.features, outputCol="features").transform(data))
+            out = out.select(*keep, *[F.col(r).alias(c) for c, r in raw.items()], vector_to_array("probability")[1].alias("probability"))
+        return out.withColumn("predicted", (F.col("probability") >= 0.5).cast("int"))
 
     def importance(self) -> list[tuple[str, float]]:
         """(feature, weight), heaviest first: absolute coefficients or impurity."""
@@ -102,10 +111,11 @@ def ablation(train: DataFrame, test: DataFrame) -> DataFrame:
     return out
 
 
-def calibrate(scored: DataFrame) -> LogisticRegression:
-    """A sigmoid over the log odds of held-out scores."""
-    odds = _odds(scored)
-    return LogisticRegression(regParam=0.0, maxIter=100).fit(VectorAssembler(inputCols=["_odds"], outputCol="features").transform(odds.select("_odds", F.col("label").cast("double").alias("label"))))
+def calibrate(scored: DataFrame) -> tuple[float, float]:
+    """Slope and intercept of a sigmoid over the log odds of held-out scores."""
+    data = _odds(scored).select("_odds", F.col("label").cast("double").alias("label"))
+    model = LogisticRegression(regParam=0.0, maxIter=100).fit(VectorAssembler(inputCols=["_odds"], outputCol="features").transform(data))
+    return float(model.coefficients[0]), float(model.intercept)
 
 
 def _odds(scored: DataFrame) -> DataFrame:
@@ -113,9 +123,9 @@ def _odds(scored: DataFrame) -> DataFrame:
     return scored.withColumn("_odds", F.ln(p / (1 - p)))
 
 
-def calibrated(model, scored: DataFrame) -> DataFrame:
-    out = model.transform(VectorAssembler(inputCols=["_odds"], outputCol="features").transform(_odds(scored)).withColumnRenamed("probability", "_raw"))
-    return out.select(*[c for c in scored.columns if c not in ("probability", "predicted")], vector_to_array("probability")[1].alias("probability")).withColumn("predicted", (F.col("probability") >= 0.5).cast("int"))
+def calibrated(sigmoid: tuple[float, float], scored: DataFrame) -> DataFrame:
+    p = 1.0 / (1.0 + F.exp(-(F.col("_odds") * sigmoid[0] + sigmoid[1])))
+    return _odds(scored).withColumn("probability", p).withColumn("predicted", (F.col("probability") >= 0.5).cast("int")).drop("_odds")
 
 
 def permutation_importance(model: Model, test: DataFrame, features: list[str] | None = None, seed: int = 42) -> DataFrame:
