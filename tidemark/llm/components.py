@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import discard, written
@@ -41,12 +41,9 @@ def components(edges: DataFrame) -> DataFrame:
     work, at = written(start.where("u <> v").distinct())
     seen = None
     for _ in range(MOST_ROUNDS):
-        state = Observation()
-        step = _star(_star(work, True), False).observe(
-            state, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
-        work, new = written(step)
+        work, new = written(_star(_star(work, True), False))
         discard(spark, at)
-        at, now = new, (state.get["n"], state.get["h"])
+        at, now = new, tuple(work.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0])
         if now == seen or not now[0]:
             break
         seen = now
