@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import paths, text
 from tidemark.operators import history as h
 from tidemark.operators import impact, learning, prediction, ripple, rollups, scoring
 from tidemark.plans.history_queries import EDGES, KIND, KIND_SHOWN, PAIRS, PARENT, PROP_TOP, PROPAGATION, TEMPORAL, TEMPORAL_PAIRS, World, q, sql
@@ -34,6 +35,12 @@ def _files(w: World) -> DataFrame:
     return w.sources.select("repo", "path", "content")
 
 
+def _lines(w: World) -> DataFrame:
+    """(repo, path, lines_of_code) of the latest sources: the line counts of the structural features, so 0 for files of no language."""
+    lines = F.when(paths.language(F.col("path")).isNotNull(), text.line_count(F.col("content"))).otherwise(0)
+    return w.sources.select("repo", "path", lines.cast("bigint").alias("lines_of_code"))
+
+
 def _items(w: World) -> DataFrame:
     return impact.simulate(_files(w), TERMS, w.pairs, h.change_counts(w.changes), w.edges)
 
@@ -109,7 +116,7 @@ QUERIES = {
     "impact_checklist": q(lambda w: impact.checklist(_items(w))),
     "impact_graph": q(lambda w: impact.graph(_items(w))),
     "capability_map": q(lambda w: impact.capabilities(w.changes.select("repo", "path").distinct())),
-    "directory_stats": q(lambda w: rollups.directory_stats(w.changes, w.sources.select("repo", "path", F.lit(0).alias("lines_of_code")))),
+    "directory_stats": q(lambda w: rollups.directory_stats(w.changes, _lines(w))),
     "file_tree": q(lambda w: rollups.tree(w.changes)),
     "weekly_buckets": q(lambda w: rollups.weekly(_commit_stats(w))),
     "pair_trend": q(lambda w: rollups.pair_trend(w.commit_files, h.top(w.pairs, 50, F.desc("count"), F.col("file_a"), F.col("file_b")))),
