@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import FOLDER
+from tidemark.operators import learning
 from tidemark.plans import analytics_queries
 from tidemark.plans.history_queries import World
 
@@ -18,3 +19,36 @@ def test_directory_stats_counts_lines(spark):
     got = {r["repo"]: r["n"] for r in stats.groupBy("repo").agg(F.sum("lines").alias("n")).collect() if r["n"]}
     want = {r["repo"]: r["n"] for r in World(spark, FOLDER).structural.groupBy("repo").agg(F.sum("lines_of_code").alias("n")).collect()}
     assert got == want and sum(got.values()) > 0
+
+
+def test_compare_trains_200_trees_and_rounds(monkeypatch):
+    asked = {}
+
+    class Stop(Exception):
+        pass
+
+    def learner(name):
+        def make(**options):
+            asked[name] = options.get("numTrees", options.get("maxIter"))
+            raise Stop
+
+        return make
+
+    class Rows:
+        def count(self):
+            return 1
+
+        def withColumn(self, *_):
+            return self
+
+    for f in ("medians", "impute", "scaling", "scale", "balanced"):
+        monkeypatch.setattr(learning, f, lambda *_: Rows())
+    monkeypatch.setattr(learning, "cut", lambda x: x)
+    monkeypatch.setattr(learning.F, "col", lambda c: learning.F)
+    monkeypatch.setattr(learning.F, "cast", lambda c: None, raising=False)
+    for name in ("RandomForestClassifier", "GBTClassifier"):
+        monkeypatch.setattr(learning, name, learner(name))
+    for kind in ("random_forest", "gradient_boosting"):
+        with pytest.raises(Stop):
+            learning.compare(None, None, (kind,))
+    assert asked == {"RandomForestClassifier": 200, "GBTClassifier": 200}

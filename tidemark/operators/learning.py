@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.prediction import FEATURES, HISTORICAL, STRUCTURAL, TEMPORAL, confusion, ranking
+from tidemark.session import cut
 
 GROUPS = {
     "all": FEATURES, "structural": STRUCTURAL, "historical": HISTORICAL, "temporal": TEMPORAL,
@@ -60,7 +61,7 @@ class Model:
         elif self.kind == "random_forest":
             learner = RandomForestClassifier(numTrees=self.trees, maxDepth=10, seed=self.seed, weightCol="weight")
         else:
-            learner = GBTClassifier(maxIter=min(self.trees, 50), seed=self.seed, weightCol="weight")
+            learner = GBTClassifier(maxIter=self.trees, seed=self.seed, weightCol="weight")
         self.model = learner.fit(VectorAssembler(inputCols=self.features, outputCol="features").transform(data))
         return self
 
@@ -93,8 +94,9 @@ def metrics(scored: DataFrame, name: str) -> DataFrame:
     return c.join(r, "model").select("model", *[F.coalesce(x, F.lit(0.0)).alias(x) for x in ("precision", "recall", "f1")], "roc_auc", "average_precision", "brier", "tp", "fp", "tn", "fn")
 
 
-def compare(train: DataFrame, test: DataFrame, kinds: tuple[str, ...] = ("logistic_regression", "random_forest", "gradient_boosting"), trees: int = 20) -> DataFrame:
-    """The metrics of each kind of model, trained on train and tested on test."""
+def compare(train: DataFrame, test: DataFrame, kinds: tuple[str, ...] = ("logistic_regression", "random_forest", "gradient_boosting"), trees: int = 200) -> DataFrame:
+    """The metrics of each kind of model, of as many trees or rounds, trained on train and tested on test."""
+    train, test = cut(train), cut(test)
     out = None
     for kind in kinds:
         m = metrics(Model(kind, trees=trees).fit(train).score(test), kind)
