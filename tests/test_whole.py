@@ -1,12 +1,13 @@
 """Queries that did a part of their job: what was missing is there."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import FOLDER
-from tidemark.operators import learning
+from tidemark.operators import learning, prediction
 from tidemark.plans import analytics_queries
 from tidemark.plans.history_queries import World
 
@@ -52,3 +53,22 @@ def test_compare_trains_200_trees_and_rounds(monkeypatch):
         with pytest.raises(Stop):
             learning.compare(None, None, (kind,))
     assert asked == {"RandomForestClassifier": 200, "GBTClassifier": 200}
+
+
+def test_permutation_importance_averages_repeats(spark):
+    rng = random.Random(3)
+    rows = [(i, int(x + rng.gauss(0, 0.5) > 0), x, None if i % 7 == 0 else rng.random()) for i, x in enumerate(rng.gauss(0, 1) for _ in range(400))]
+    df = spark.createDataFrame(rows, "row_id bigint, label int, churn double, noise double").repartition(3)
+    model = learning.Model("logistic_regression", ["churn", "noise"]).fit(df)
+    loss = lambda **o: {r["feature"]: r["loss"] for r in learning.permutation_importance(model, df, **o).collect()}
+    once, five = loss(repeats=1), loss()
+    assert set(five) == {"churn", "noise"} and five["churn"] > 0.2 > abs(five["noise"])
+    assert once["churn"] != five["churn"] and loss() == pytest.approx(five)
+
+
+@needs_tables
+def test_permutation_importance_has_every_feature_of_every_model(spark, monkeypatch):
+    init = learning.Model.__init__
+    monkeypatch.setattr(learning.Model, "__init__", lambda self, kind, features=None, trees=3, seed=42: init(self, kind, features, 3, seed))
+    got = analytics_queries.QUERIES["permutation_importance"](spark, FOLDER).collect()
+    assert {(r["model"], r["feature"]) for r in got} == {(m, f) for m in learning.KINDS for f in prediction.FEATURES} and len(got) == 69

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.prediction import FEATURES, HISTORICAL, STRUCTURAL, TEMPORAL, confusion, ranking
-from tidemark.session import cut
+from tidemark.session import cut, ship
 
+KINDS = ("logistic_regression", "random_forest", "gradient_boosting")
 GROUPS = {
     "all": FEATURES, "structural": STRUCTURAL, "historical": HISTORICAL, "temporal": TEMPORAL,
     "without_structural": HISTORICAL + TEMPORAL, "without_historical": STRUCTURAL + TEMPORAL, "without_temporal": STRUCTURAL + HISTORICAL,
@@ -94,7 +95,7 @@ def metrics(scored: DataFrame, name: str) -> DataFrame:
     return c.join(r, "model").select("model", *[F.coalesce(x, F.lit(0.0)).alias(x) for x in ("precision", "recall", "f1")], "roc_auc", "average_precision", "brier", "tp", "fp", "tn", "fn")
 
 
-def compare(train: DataFrame, test: DataFrame, kinds: tuple[str, ...] = ("logistic_regression", "random_forest", "gradient_boosting"), trees: int = 200) -> DataFrame:
+def compare(train: DataFrame, test: DataFrame, kinds: tuple[str, ...] = KINDS, trees: int = 200) -> DataFrame:
     """The metrics of each kind of model, of as many trees or rounds, trained on train and tested on test."""
     train, test = cut(train), cut(test)
     out = None
@@ -130,23 +131,47 @@ def calibrated(sigmoid: tuple[float, float], scored: DataFrame) -> DataFrame:
     return _odds(scored).withColumn("probability", p).withColumn("predicted", (F.col("probability") >= 0.5).cast("int")).drop("_odds")
 
 
-def permutation_importance(model: Model, test: DataFrame, features: list[str] | None = None, seed: int = 42) -> DataFrame:
-    """(feature, loss): how much average precision falls when a feature's values are dealt out anew.
+PERMUTATION_REPEATS, BLOCK_ROWS = 5, 50_000
 
-    Values move by a seeded hash order within blocks of rows of like hash, so no sort of
-    all rows is needed.
+
+def _permuted(features: list[str], repeats: int, seed: int):
+    """A function that adds to a block's rows, sorted by row_id, each feature's values dealt out anew, as many times as asked."""
+
+    def deal(table):
+        import numpy as np
+
+        table = table.sort_by("row_id")
+        block = table.column("_b")[0].as_py()
+        for k, feature in enumerate(features):
+            values = table.column(feature).combine_chunks()
+            for r in range(repeats):
+                order = np.random.default_rng([seed, block, k, r]).permutation(len(table))
+                table = table.append_column(f"_p{k}_{r}", values.take(order))
+        return table
+
+    return deal
+
+
+def permutation_importance(model: Model, test: DataFrame, features: list[str] | None = None, seed: int = 42, repeats: int = PERMUTATION_REPEATS) -> DataFrame:
+    """(feature, loss): how much average precision falls when a feature's values are dealt out anew, on average over seeded repeats.
+
+    Values move within blocks of about 50,000 rows of like hash (all rows where there are
+    fewer), so no sort of all rows is needed; all features and repeats are scored in one job.
     """
-    base = ranking(model.score(test).withColumn("g", F.lit(1)), ["g"]).collect()[0]["average_precision"]
-    spark, rows = test.sparkSession, []
-    for k, feature in enumerate(features or model.features):
-        a = test.withColumn("_h", F.xxhash64(F.lit(seed + k), "row_id")).withColumn("_b", F.pmod("_h", F.lit(256)))
-        n = Window.partitionBy("_b").orderBy("_h", "row_id")
-        m = Window.partitionBy("_b").orderBy(F.xxhash64(F.lit(seed - k - 1), "row_id"), "row_id")
-        left = a.withColumn("_i", F.row_number().over(n)).drop(feature)
-        right = a.withColumn("_i", F.row_number().over(m)).select("_b", "_i", feature)
-        ap = ranking(model.score(left.join(right, ["_b", "_i"]).drop("_h", "_b", "_i")).withColumn("g", F.lit(1)), ["g"]).collect()[0]["average_precision"]
-        rows.append((feature, float((base or 0.0) - (ap or 0.0))))
-    return spark.createDataFrame(rows, "feature string, loss double")
+    names, spark = features or model.features, test.sparkSession
+    rows = test.select("row_id", "label", *model.features)
+    base = ranking(model.score(rows).withColumn("g", F.lit(1)), ["g"]).collect()[0]["average_precision"]
+    blocks = -(-test.count() // BLOCK_ROWS) or 1
+    cells = [f"_p{k}_{r}" for k in range(len(names)) for r in range(repeats)]
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), "row_id"), F.lit(blocks)))
+    kinds = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), *(f"{c} double" for c in cells)])
+    ship(spark)
+    dealt = rows.groupBy("_b").applyInArrow(_permuted(names, repeats, seed), kinds)
+    each = dealt.select("label", *model.features, F.posexplode(F.array(*cells)).alias("_g", "_v"))
+    moved = {c: F.when(F.floor(F.col("_g") / repeats) == k, F.col("_v")).otherwise(F.col(c)) for k, c in enumerate(names)}
+    ap = {r["_g"]: r["average_precision"] or 0.0 for r in ranking(model.score(each.withColumns(moved).drop("_v")), ["_g"]).collect()}
+    losses = [(c, float((base or 0.0) - sum(ap.get(k * repeats + r, 0.0) for r in range(repeats)) / repeats)) for k, c in enumerate(names)]
+    return spark.createDataFrame(losses, "feature string, loss double")
 
 
 def export(model: Model) -> dict[str, object]:

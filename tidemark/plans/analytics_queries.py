@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tidemark.functions import paths, text
 from tidemark.operators import history as h
 from tidemark.operators import impact, learning, prediction, ripple, rollups, scoring
 from tidemark.plans.history_queries import EDGES, KIND, KIND_SHOWN, PAIRS, PARENT, PROP_TOP, PROPAGATION, TEMPORAL, TEMPORAL_PAIRS, World, q, sql
+from tidemark.session import cut
 from tidemark.sources.history import table
 
 DESCRIPTION = "Replace the session cache with a token queue and search index"
@@ -95,8 +98,9 @@ def _calibration(w: World) -> DataFrame:
 
 
 def _importance(w: World) -> DataFrame:
-    train, test = _train_test(w)
-    return learning.permutation_importance(learning.Model("logistic_regression").fit(train), test, ["previous_change_count", "historical_churn", "coupling"])
+    train, test = (cut(x) for x in _train_test(w))
+    each = [learning.permutation_importance(learning.Model(kind).fit(train), test).select(F.lit(kind).alias("model"), "feature", "loss") for kind in learning.KINDS]
+    return reduce(DataFrame.unionByName, each)
 
 
 def _commit_stats(w: World) -> DataFrame:
