@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.compare import FOLDER
 from tidemark.operators import learning, prediction
-from tidemark.plans import analytics_queries
+from tidemark.plans import analytics_queries, evaluation_queries
 from tidemark.plans.history_queries import World
 
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -72,3 +72,10 @@ def test_permutation_importance_has_every_feature_of_every_model(spark, monkeypa
     monkeypatch.setattr(learning.Model, "__init__", lambda self, kind, features=None, trees=3, seed=42: init(self, kind, features, 3, seed))
     got = analytics_queries.QUERIES["permutation_importance"](spark, FOLDER).collect()
     assert {(r["model"], r["feature"]) for r in got} == {(m, f) for m in learning.KINDS for f in prediction.FEATURES} and len(got) == 69
+
+
+@needs_tables
+def test_ripple_examples_of_every_candidate(spark):
+    key = lambda q: {(r["repo"], r["source"], r["target"]) for r in q.select("repo", "source", "target").distinct().collect()}
+    ranked = analytics_queries.QUERIES["ripple_candidates"](spark, FOLDER).where("rank > 3")
+    assert key(evaluation_queries.QUERIES["ripple_examples"](spark, FOLDER)) & key(ranked)

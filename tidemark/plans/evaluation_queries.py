@@ -50,7 +50,7 @@ def _drivers(w: World) -> DataFrame:
 
 QUERIES = {
     "supporting_triples": q(_triples),
-    "ripple_examples": q(lambda w: examples.ripple_examples(w.commit_files, ripple.candidates(_edges(w), 3))),
+    "ripple_examples": q(lambda w: examples.ripple_examples(w.commit_files, ripple.candidates(_edges(w)))),
     "prediction_examples": q(lambda w: examples.prediction_examples(w.commits)),
     "row_examples": q(lambda w: examples.row_examples(_rows(w))),
     "historical_examples": q(lambda w: examples.examples(w.temporal_top, _top_sequences(w, 50), w.pairs, w.edges).withColumn("sequence", F.array_join("sequence", "|")).withColumn("signals", F.array_join("signals", "|"))),
