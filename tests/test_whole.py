@@ -79,3 +79,11 @@ def test_ripple_examples_of_every_candidate(spark):
     key = lambda q: {(r["repo"], r["source"], r["target"]) for r in q.select("repo", "source", "target").distinct().collect()}
     ranked = analytics_queries.QUERIES["ripple_candidates"](spark, FOLDER).where("rank > 3")
     assert key(evaluation_queries.QUERIES["ripple_examples"](spark, FOLDER)) & key(ranked)
+
+
+@needs_tables
+def test_time_window_scores_has_three_models_in_three_windows(spark, monkeypatch):
+    init = learning.Model.__init__
+    monkeypatch.setattr(learning.Model, "__init__", lambda self, kind, features=None, trees=3, seed=42: init(self, kind, features, 3, seed))
+    got = analytics_queries.QUERIES["time_window_scores"](spark, FOLDER).collect()
+    assert sorted((r["fold"], r["model"]) for r in got) == sorted((k, m) for k in (1, 2, 3) for m in learning.KINDS)

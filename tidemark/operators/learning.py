@@ -183,7 +183,7 @@ def export(model: Model) -> dict[str, object]:
     }
 
 
-def cross_validate(rows: DataFrame, windows: DataFrame, kinds: tuple[str, ...] = ("logistic_regression",)) -> DataFrame:
+def cross_validate(rows: DataFrame, windows: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """The metrics of each kind of model on each chronological window (repo, fold, commit_sha, part); folds of all repositories together."""
     both = rows.join(windows, ["repo", "commit_sha"])
     out = None

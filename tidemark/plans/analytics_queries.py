@@ -148,7 +148,7 @@ QUERIES = {
     "time_windows": q(lambda w: prediction.time_windows(_usable(w))),
     "imputation_and_scaling": q(_imputed),
     "model_comparison": q(lambda w: learning.compare(*_train_test(w))),
-    "time_window_scores": q(lambda w: learning.cross_validate(_flat(w), prediction.time_windows(_usable(w), 2))),
+    "time_window_scores": q(lambda w: learning.cross_validate(_flat(w), prediction.time_windows(_usable(w)))),
     "ablation": q(lambda w: learning.ablation(*_train_test(w))),
     "calibration": q(_calibration),
     "permutation_importance": q(_importance),
