@@ -2,10 +2,18 @@
 
 Plan. Items that can be in no result are dropped first: an item in fewer than
 ``min_count`` baskets, or (n_ab <= min(n_a, n_b)) in more than n / min_lift of its
-scope's n baskets. So the hottest items never enter a pair. Each task turns its
-baskets into stripes (item -> neighbours with counts), merging them in memory as it
-goes; a stripe is sent in parts by a hash of the neighbour, so no key's stripe has
-to be held whole; parts are merged after one shuffle on (item, part).
+scope's n baskets. So the hottest items never enter a pair. Baskets are dealt out in
+units of at most about ``chunk`` items on either side: a larger basket is cut by a hash
+of its items into chunks, and every two chunks are a unit, so no task holds a basket.
+Each task turns its units into stripes (item -> neighbours with counts), merging
+``PAIRS_HELD`` pairs at a time in memory; a stripe is sent in parts by a hash of the
+neighbour, so no key's stripe has to be held whole; parts are merged after one shuffle
+on (item, part).
+
+Of the baskets larger than a chunk the ``min_count - 1`` largest of a scope make no
+stripes: a pair needs a further basket, so it is in the stripes of the others, and is
+then counted in these few by two equi-joins. A single basket with a large part of all
+rows therefore costs no more than its rows and the pairs others have.
 """
 
 from __future__ import annotations
@@ -13,111 +21,140 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import cut, ship
 
-PAIRS_HELD = 4_000_000
+#: Pairs and item places that a task turns into stripes at a time.
+PAIRS_HELD, PLACES_HELD = 2_000_000, 1_000_000
 PARTS = 8
+#: Where a chi-squared variable with one degree of freedom lies with a chance of 1 in 1000.
+SIGNIFICANT = 10.828
 
 
-def _pairs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j), i < j within each basket, of flattened baskets of these sizes."""
-    start = np.r_[0, np.cumsum(sizes)[:-1]]
-    end = np.repeat(start + sizes, sizes)
-    i = np.arange(int(sizes.sum()))
-    n = end - i - 1
-    left = np.repeat(i, n)
-    first = np.r_[0, np.cumsum(n)[:-1]]
-    return left, left + 1 + np.arange(int(n.sum())) - np.repeat(first, n)
+def _pairs(left: np.ndarray, right: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) to pair, at most about ``most`` at a time.
+
+    left and right are the numbers of places of both sides of each unit in the flattened
+    places (all left sides, then all right sides). A unit without a right side pairs
+    each place with the later ones of its left side.
+    """
+    n_left = int(left.sum())
+    start = np.r_[0, np.cumsum(left)[:-1]]
+    unit = np.repeat(np.arange(len(left)), left)
+    own = right[unit] == 0
+    place = np.arange(n_left)
+    first = np.where(own, place + 1, n_left + np.r_[0, np.cumsum(right)[:-1]][unit])
+    n = np.where(own, (start + left)[unit] - place - 1, right[unit])
+    ends = np.cumsum(n)
+    lo = 0
+    while lo < n_left:
+        done = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, done + most, side="right")))
+        part = n[lo:hi]
+        total = int(part.sum())
+        if total:
+            before = np.r_[0, np.cumsum(part)[:-1]]
+            yield np.repeat(place[lo:hi], part), np.arange(total) + np.repeat(first[lo:hi] - before, part)
+        lo = hi
+
+
+def _encode(scopes: pa.Array, units: pa.Array, others: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, pa.Array]:
+    """Places as codes of (scope, item) in the order of scope and item; each code's scope, its item's code; the items."""
+    scopes = scopes.dictionary_encode()
+    names = pa.concat_arrays([units.flatten(), others.flatten()]).dictionary_encode()
+    words = names.dictionary
+    by_bytes = pc.sort_indices(words.cast(pa.binary())).to_numpy()
+    rank = np.empty(len(words), np.int64)
+    rank[by_bytes] = np.arange(len(words))
+    item = rank[names.indices.to_numpy()]
+    sizes = np.r_[np.diff(units.offsets.to_numpy()), np.diff(others.offsets.to_numpy())]
+    scope = np.repeat(np.tile(scopes.indices.to_numpy(), 2), sizes).astype(np.int64)
+    # both factors are below the places held, so their product is far from the end of int64
+    codes, place = np.unique(scope * max(1, len(words)) + item, return_inverse=True)
+    return place, scopes.dictionary, codes // max(1, len(words)), codes % max(1, len(words)), words.take(pa.array(by_bytes))
+
+
+def _stripe_batches(a: np.ndarray, b: np.ndarray, n: np.ndarray, scopes: pa.Array, scope_of: np.ndarray, item_of: np.ndarray, words: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Counted pairs of codes, sorted by both, as parts of stripes."""
+    part_of = (pd.util.hash_array(np.asarray(words.to_pylist(), object), categorize=False) % PARTS).astype(np.int64)[item_of]
+    part = part_of[b]
+    order = np.lexsort((b, part, a))
+    a, b, n, part = a[order], b[order], n[order], part[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (part[1:] != part[:-1])]
+    first = np.r_[np.flatnonzero(new), len(a)]
+    for at in range(0, len(first) - 1, 4096):
+        edge = first[at : at + 4097]
+        inside = slice(edge[0], edge[-1])
+        offsets = pa.array((edge - edge[0]).astype(np.int32))
+        key = edge[:-1]
+        yield pa.RecordBatch.from_arrays(
+            [
+                scopes.take(pa.array(scope_of[a[key]])), words.take(pa.array(item_of[a[key]])), pa.array(part[key].astype(np.int32)),
+                pa.ListArray.from_arrays(offsets, words.take(pa.array(item_of[b[inside]]))), pa.ListArray.from_arrays(offsets, pa.array(n[inside])),
+            ],
+            names=["scope", "item", "part", "neighbours", "counts"],
+        )
 
 
 def _stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (scope, items sorted) to parts of stripes."""
-    held: list[tuple[pa.Array, pa.Array]] = []
-    due = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        scopes = pa.concat_arrays([s for s, _ in held]).dictionary_encode()
-        baskets = pa.concat_arrays([b for _, b in held])
-        names = baskets.flatten().dictionary_encode()
-        order = np.empty(len(names.dictionary), np.int64)  # codes in the order of the names
-        order[pc.sort_indices(names.dictionary.cast(pa.binary())).to_numpy()] = np.arange(len(names.dictionary))
-        words = names.dictionary.take(pa.array(np.argsort(order)))
-        item = order[names.indices.to_numpy()]
-        sizes = np.diff(baskets.offsets.to_numpy())
-        scope = np.repeat(scopes.indices.to_numpy(), sizes).astype(np.int64)
-        # the pairs of a slice of baskets at a time, so that one large basket cannot fill the memory
-        keys, sums = np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
-        start = np.r_[0, np.cumsum(sizes)]
-        n = len(words)
-        lo = 0
-        while lo < len(sizes):
-            hi, pairs = lo, 0
-            while hi < len(sizes) and (hi == lo or pairs + sizes[hi] * (sizes[hi] - 1) // 2 <= PAIRS_HELD):
-                pairs += int(sizes[hi]) * (int(sizes[hi]) - 1) // 2
-                hi += 1
-            left, right = _pairs(sizes[lo:hi])
-            at = start[lo]
-            code = (scope[at + left] * n + item[at + left]) * n + item[at + right]
-            u, c = np.unique(code, return_counts=True)
-            part = np.stack([u // n // n, u // n % n, u % n], 1)
-            keys, sums = np.r_[keys, part], np.r_[sums, c]
-            lo = hi
-        code = (keys[:, 0] * n + keys[:, 1]) * n + keys[:, 2]
-        u, inverse = np.unique(code, return_inverse=True)
-        total = np.bincount(inverse, sums, len(u)).astype(np.int64) if len(u) else sums
-        s, a, b = u // n // n, u // n % n, u % n
-        # parts by a stable hash of the neighbour's name
-        crc = np.fromiter((hash_of(w) % PARTS for w in words.to_pylist()), np.int64, n)
-        part = crc[b] if n else b
-        by = np.lexsort((b, part, a, s))
-        s, a, b, part, total = s[by], a[by], b[by], part[by], total[by]
-        new = np.r_[True, (s[1:] != s[:-1]) | (a[1:] != a[:-1]) | (part[1:] != part[:-1])] if len(s) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        offsets = pa.array(np.r_[first, len(s)].astype(np.int32))
-        for at in range(0, len(first), 4096):
-            to = min(at + 4096, len(first))
-            f = first[at:to]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    scopes.dictionary.take(pa.array(s[f])), words.take(pa.array(a[f])), pa.array(part[f].astype(np.int32)),
-                    pa.ListArray.from_arrays(pc.subtract(offsets.slice(at, to - at + 1), offsets[at]), words.take(pa.array(b[f[0]:offsets[to].as_py()]))),
-                    pa.ListArray.from_arrays(pc.subtract(offsets.slice(at, to - at + 1), offsets[at]), pa.array(total[f[0]:offsets[to].as_py()])),
-                ],
-                names=["scope", "item", "part", "neighbours", "counts"],
-            )
+    """Batches of units (scope, items, other items or none) to parts of stripes.
 
+    Units are taken PLACES_HELD places at a time and their pairs PAIRS_HELD at a time;
+    pairs are merged over all units taken at a time as long as few enough differ.
+    """
+
+    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [pa.concat_arrays([h.column(i) for h in held]) for i in range(3)]
+        place, scopes, scope_of, item_of, words = _encode(*columns)
+        m = len(scope_of)
+        left, right = (np.diff(columns[i].offsets.to_numpy()).astype(np.int64) for i in (1, 2))
+        codes, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if len(codes):
+                yield from _stripe_batches(codes // m, codes % m, sums, scopes, scope_of, item_of, words)
+
+        for i, j in _pairs(left, right, PAIRS_HELD):
+            a, b = place[i], place[j]
+            new, n = np.unique(np.minimum(a, b) * m + np.maximum(a, b), return_counts=True)
+            both, at = np.unique(np.r_[codes, new], return_inverse=True)
+            codes, sums = both, np.bincount(at, np.r_[sums, n], len(both)).astype(np.int64)
+            if len(codes) > PAIRS_HELD:
+                yield from out()
+                codes, sums = codes[:0], sums[:0]
+        yield from out()
+
+    held, due = [], 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        sizes = np.diff(batch.column(1).offsets.to_numpy()).astype(np.int64)
-        held.append((batch.column(0), batch.column(1)))
-        due += int((sizes * (sizes - 1) // 2).sum())
-        if due > PAIRS_HELD:
-            yield from flush()
-            held, due = [], 0
+        sizes = np.diff(batch.column(1).offsets.to_numpy()).astype(np.int64) + np.diff(batch.column(2).offsets.to_numpy())
+        ends = np.cumsum(sizes)
+        lo = 0
+        while lo < batch.num_rows:
+            done = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, done + PLACES_HELD - due, side="right")))
+            held.append(batch.slice(lo, hi - lo))
+            due += int(ends[hi - 1]) - done
+            lo = hi
+            if due >= PLACES_HELD:
+                yield from flush(held)
+                held, due = [], 0
     if held:
-        yield from flush()
-
-
-def hash_of(word: str) -> int:
-    """A hash that is the same in every worker."""
-    import zlib
+        yield from flush(held)
 
-    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
 
-
-def cooccurrence(rows: DataFrame, scope: str, basket: str, item: str, min_count: int = 1, min_lift: float = 0.0, large: int = 2000) -> DataFrame:
+def cooccurrence(rows: DataFrame, scope: str, basket: str, item: str, min_count: int = 1, min_lift: float = 0.0, min_llr: float = 0.0, chunk: int = 1024) -> DataFrame:
     """(scope, item_a, item_b, n, n_a, n_b, n_ab, lift, llr) with item_a < item_b (by bytes).
 
     n baskets in the scope; n_a, n_b, n_ab of them hold a, b, both; an item counts once
     per basket. lift = n_ab n / (n_a n_b); llr is the log-likelihood ratio (G squared,
     rounded to 6 places) of the pair against independence. Only pairs with
-    n_ab >= min_count and lift >= min_lift; the default keeps all that occur. Rows with
+    n_ab >= min_count, lift >= min_lift and llr >= min_llr (``SIGNIFICANT`` is the bound
+    for a chance of 1 in 1000); the defaults keep all that occur. Rows with
     a null scope, basket or item are left out (they make no basket); empty strings are
     ordinary items. Repeated rows change nothing. No rows, no pairs.
     """
@@ -128,35 +165,43 @@ def cooccurrence(rows: DataFrame, scope: str, basket: str, item: str, min_count:
     counts = r.groupBy("scope", "item").agg(F.count(F.lit(1)).alias("n_item"))
     kept = cut(counts.join(n, "scope").where((F.col("n_item") >= min_count) & (F.col("n_item") * min_lift <= F.col("n"))))
     held = cut(r.join(kept.select("scope", "item"), ["scope", "item"], "left_semi"))
-    huge = held.groupBy("scope", "basket").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > large).select("scope", "basket")
-    if huge.isEmpty():
-        merged = _merged(held)
-    else:
-        huge = cut(huge)  # at most rows / large baskets
-        few = huge.groupBy("scope").agg(F.count(F.lit(1)).alias("h"))
-        big = cut(held.join(huge, ["scope", "basket"], "left_semi"))
-        small = cut(_merged(held.join(huge, ["scope", "basket"], "left_anti")))
-        key = ["scope", "item", "other"]
-        alone = few.where(F.col("h") >= min_count).select("scope")
-        own = big.join(alone, "scope", "left_semi")
-        right = own.select("scope", "basket", F.col("item").alias("other"))
-        made = own.join(right, ["scope", "basket"]).where("item < other").groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-        asked = small.join(few.where(F.col("h") < min_count), "scope").where(F.col("n_ab") >= min_count - F.col("h")).select(*key)
-        found = asked.join(big, ["scope", "item"]).join(big.select("scope", "basket", F.col("item").alias("other")), ["scope", "basket", "other"]).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-        merged = small.withColumnRenamed("n_ab", "n").unionByName(made).unionByName(found).groupBy(*key).agg(F.sum("n").alias("n_ab"))
+    merged = _merged(held, min_count, chunk)
     pairs = merged.where(F.col("n_ab") >= min_count).select("scope", F.col("item").alias("item_a"), F.col("other").alias("item_b"), "n_ab")
     side = lambda c, name, *more: kept.select("scope", F.col("item").alias(c), F.col("n_item").alias(name), *more)
     pairs = pairs.join(side("item_a", "n_a", "n"), ["scope", "item_a"]).join(side("item_b", "n_b"), ["scope", "item_b"])
     pairs = pairs.where(F.col("n_ab") * F.col("n") >= F.lit(min_lift) * F.col("n_a") * F.col("n_b"))
-    return pairs.select(
+    out = pairs.select(
         F.col("scope").alias(scope), "item_a", "item_b", "n", "n_a", "n_b", "n_ab",
         (F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b"))).alias("lift"), F.round(_llr(), 6).alias("llr"))
-
-
-def _merged(rows: DataFrame) -> DataFrame:
-    """(scope, item, other, n_ab) of distinct rows (scope, basket, item), by stripes."""
-    baskets = rows.groupBy("scope", "basket").agg(F.array_sort(F.collect_list("item")).alias("items")).where(F.size("items") > 1)
-    parts = baskets.select("scope", "items").mapInArrow(_stripes, "scope string, item string, part int, neighbours array<string>, counts array<bigint>")
+    return out.where(F.col("llr") >= min_llr) if min_llr > 0 else out
+
+
+def _merged(rows: DataFrame, min_count: int, chunk: int) -> DataFrame:
+    """(scope, item, other, n_ab) of distinct rows (scope, basket, item): every pair that can have min_count baskets, by stripes."""
+    none = F.array().cast("array<string>")
+    large = cut(rows.groupBy("scope", "basket").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > chunk))  # at most rows / chunk baskets
+    if large.isEmpty():
+        return _counted(rows.groupBy("scope", "basket").agg(F.collect_list("item").alias("items")).where(F.size("items") > 1).select("scope", "items", none.alias("others")))
+    first = Window.partitionBy("scope").orderBy(F.desc("k"), "basket")
+    back = cut(large.withColumn("_k", F.row_number().over(first)).where(F.col("_k") < min_count).drop("_k"))  # fewer than min_count a scope
+    chunks = F.ceil(F.col("k") / chunk).cast("int")
+    dealt = rows.join(large, ["scope", "basket"], "left").join(back.select("scope", "basket"), ["scope", "basket"], "left_anti").withColumn("m", F.coalesce(chunks, F.lit(1))).withColumn(
+        "c", F.pmod(F.xxhash64("item"), F.col("m")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("o")).withColumn("lo", F.least("c", "o")).withColumn("hi", F.greatest("c", "o"))
+    units = dealt.groupBy("scope", "basket", "lo", "hi").agg(
+        F.collect_list(F.when(F.col("c") == F.col("lo"), F.col("item"))).alias("items"), F.collect_list(F.when(F.col("c") != F.col("lo"), F.col("item"))).alias("others"))
+    # two chunks are a unit of their own pairs only if both have items
+    stripes = cut(_counted(units.where((F.col("lo") == F.col("hi")) & (F.size("items") > 1) | (F.size("items") > 0) & (F.size("others") > 0)).select("scope", "items", "others")))
+    h = back.groupBy("scope").agg(F.count(F.lit(1)).alias("h"))
+    asked = stripes.join(h, "scope").where(F.col("n_ab") >= min_count - F.col("h"))
+    members = rows.join(back.select("scope", "basket"), ["scope", "basket"], "left_semi")
+    key = ["scope", "item", "other"]
+    more = asked.select(*key).join(members, ["scope", "item"]).join(members.withColumnRenamed("item", "other"), ["scope", "basket", "other"]).groupBy(*key).agg(F.count(F.lit(1)).alias("n_ab"))
+    return stripes.unionByName(more).groupBy(*key).agg(F.sum("n_ab").alias("n_ab"))
+
+
+def _counted(units: DataFrame) -> DataFrame:
+    """(scope, item, other, n_ab) of units (scope, items, others)."""
+    parts = units.mapInArrow(_stripes, "scope string, item string, part int, neighbours array<string>, counts array<bigint>")
     return parts.repartition("scope", "item", "part").select(
         "scope", "item", "part", F.explode(F.arrays_zip("neighbours", "counts")).alias("x")).groupBy("scope", "item", "part", F.col("x.neighbours").alias("other")).agg(F.sum("x.counts").alias("n_ab")).drop("part")
 

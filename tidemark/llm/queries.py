@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import grouped_split, related_commits
-from tidemark.llm.cooccurrence import cooccurrence
+from tidemark.llm.cooccurrence import SIGNIFICANT, cooccurrence
 from tidemark.llm.encodings import wrong_encodings
 from tidemark.llm.handwritten import not_handwritten
 from tidemark.llm.mixing import mix_report, mix_sources
@@ -50,9 +50,9 @@ def p2_sequences(spark: SparkSession, d: str) -> DataFrame:
     return found.select("repo", *[F.col("pattern")[i].alias(f"path_{i + 1}") for i in range(3)], F.col("support").alias("n_series"))
 
 
-def _pairs(spark: SparkSession, d: str, min_lift: float) -> DataFrame:
+def _pairs(spark: SparkSession, d: str, min_lift: float, **more) -> DataFrame:
     rows = _table(spark, d, "dataset_rows").where("label = 1").select("repo", "commit_sha", "file_path")
-    return cooccurrence(rows, "repo", "commit_sha", "file_path", min_count=8, min_lift=min_lift)
+    return cooccurrence(rows, "repo", "commit_sha", "file_path", min_count=8, min_lift=min_lift, **more)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -75,6 +75,11 @@ def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d, 0.0).select("repo", F.col("item_a").alias("path_a"), F.col("item_b").alias("path_b"), "n", "n_a", "n_b", "n_ab", F.round("lift", 6).alias("lift"), "llr")
 
 
+def p4_significant(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of files that change together more often than by chance, as their log-likelihood ratio tells (a chance below 1 in 1000)."""
+    return _pairs(spark, d, 1.0, min_llr=SIGNIFICANT).select("repo", F.col("item_a").alias("path_a"), F.col("item_b").alias("path_b"), "n_ab", "llr")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The source files that are not valid in the language of their path."""
     return unparsable(_table(spark, d, "source_files")).where("fault is not null").select("file_id")
@@ -118,7 +123,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_sequences": p2_sequences,
-    "p3_found": p3_found, "p3_reasons": p3_reasons, "p4_found": p4_found, "p4_pairs": p4_pairs, "p6_found": p6_found, "p6_rates": p6_rates, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_report": p9_report,
+    "p3_found": p3_found, "p3_reasons": p3_reasons, "p4_found": p4_found, "p4_pairs": p4_pairs, "p4_significant": p4_significant, "p6_found": p6_found, "p6_rates": p6_rates, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_report": p9_report,
     "p10_found": p10_found, "p10_restored": p10_restored,
 }
 
@@ -173,4 +178,5 @@ ORACLES = {
     "p2_found": f"SELECT repo, path_1, path_2, path_3 FROM ({P2_SEQUENCES})",
     "p4_found": P4_COUNTS + " SELECT repo, path_a, path_b FROM y WHERE n_ab * n >= 4 * n_a * n_b",
     "p4_pairs": P4_COUNTS + f" SELECT *, round(n_ab * n / (n_a * n_b)::DOUBLE, 6) AS lift, round(2 * ({LLR}), 6) AS llr FROM y",
+    "p4_significant": P4_COUNTS + f" SELECT * FROM (SELECT repo, path_a, path_b, n_ab, round(2 * ({LLR}), 6) AS llr FROM y WHERE n_ab * n >= n_a * n_b) WHERE llr >= {SIGNIFICANT}",
 }
