@@ -1,6 +1,11 @@
+import glob
+import os
+
 import pytest
 
 from tidemark.llm.syntax import fault, fault_rates, unparsable
+from tidemark.llm.syntax_js import Bad
+from tidemark.llm.syntax_python import Python
 
 GOOD = {
     "Python": ["", "\ufeffx = 1\n", "f'{a!r:>{w}} {b[\"k\"]}'\n", "s = '''it's\n=======\n'''\n", "match x:\n    case [a, *_]:\n        pass\n", "type X = int\n", "# <<<<<<< ours\n", 'r"\\\\"', "f'{x:{{}}}'\n" if False else "f'{{}}'\n", "async def f():\n    return [x async for x in y]\n"],
@@ -42,6 +47,44 @@ def test_deep_and_long():
     assert fault("let a = 1;\n" * 20_000, "JavaScript") is None
 
 
+def test_nesting_is_read_or_told():
+    for n in (6_000, 50_000):
+        assert fault("x = " + "[" * n + "1" + "]" * n + ";", "JavaScript") is None and fault("x = " + "[" * n + "1 1" + "]" * n + ";", "JavaScript")
+        assert fault("fn f() { let x = " + "[" * n + "1" + "]" * n + "; }", "Rust") is None and fault("fn f() { let x = " + "[" * n + "1 1" + "]" * n + "; }", "Rust")
+    assert fault("x = " + "[" * 5_000 + "1" + "]" * 5_000, "Python") == "nested too deep"
+    assert fault("x = " + "[" * 600_000 + "1" + "]" * 600_000 + ";", "JavaScript") == "nested too deep"
+
+
+JUMPS = {
+    "Python": (["while x:\n    break\n", "def f():\n    return 1\n"], ["return 1\n", "break\n", "nonlocal x\n", "def f():\n    continue\n", "class A:\n    return 1\n"]),
+    "JavaScript": (
+        ["for (;;) break", "switch (a) { case 1: break }", "a: { break a }", "a: for (;;) { for (;;) continue a }", "with (a) b", "for (;;) { switch (a) { default: continue } }"],
+        ["break;", "continue;", "switch (a) { case 1: continue }", "for (;;) { function f() { break } }", "for (;;) break a", "a: { () => { break a } }", "with (a) break", "class A { static { return } }"]),
+    "Rust": (["fn f() { break }"], []),
+}
+
+
+@pytest.mark.parametrize("language", JUMPS)
+def test_jumps(language):
+    good, bad = JUMPS[language]
+    assert [fault(t, language) for t in good] == [None] * len(good)
+    assert all(fault(t, language) for t in bad), [t for t in bad if not fault(t, language)]
+
+
+BLOCKS = ["def f", "def f()", "for x in y", "if x:\n    y\n  z", "x\n  y", "try:\n    x\n", "try:\n    x\ny", "else:\n    x", "if x:\n    y\nz\nelse:\n    w", "x = y if z", "a b", "x = a +", "f(a,\n  b c)", "if x:\n", "while x:\n    # y\n", "x = (a +)", "\tif x:\n        y"]
+
+
+@pytest.mark.parametrize("text", BLOCKS)
+def test_python_stack_tells_without_the_interpreter(text):
+    with pytest.raises(Bad):
+        Python(text).check()
+
+
+def test_python_stack_lets_the_library_pass():
+    for path in sorted(glob.glob(os.path.join(os.path.dirname(os.__file__), "*.py")))[:120]:
+        Python(open(path, encoding="utf-8", newline="").read()).check()
+
+
 def test_reasons():
     assert fault("x\n<<<<<<< a\n", "JavaScript") == "merge conflict" and fault("f(", "JavaScript") in ("premature end", "unbalanced delimiters") and fault("'a", "JavaScript") == "unterminated literal"
 

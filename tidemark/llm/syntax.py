@@ -2,13 +2,16 @@
 
 Each language has a lexer with a pushdown stack, which tells unterminated literals,
 unbalanced delimiters, premature ends and merge-conflict markers; for Rust and the
-scripts it drives a parser of the language's grammar, for Python the interpreter's
-own grammar is asked after it.
+scripts it drives a parser of the language's grammar, for Python one of blocks and
+statements, after which the interpreter's own grammar is asked.
+
+Invalid is what the languages' own front ends call a syntax error: so a return, break
+or continue with nothing around it counts in Python and the scripts, whose standards
+make them early errors, and does not in Rust, whose grammar has them anywhere.
 """
 
 from __future__ import annotations
 
-import ast
 import re
 import sys
 import warnings
@@ -19,19 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.syntax_js import Bad, Script
+from tidemark.llm.syntax_python import MARKER, Python
 from tidemark.llm.syntax_rust import Rust
 from tidemark.session import ship
 
 # The language of a path's extension.
 LANGUAGES = {"rs": "Rust", "py": "Python", "js": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript", "ts": "TypeScript", "tsx": "TSX"}
 SCRIPTS = {"JavaScript": "js", "TypeScript": "ts", "TSX": "tsx"}
-MARKER = re.compile(r"(?:<{7}|={7}|>{7}|\|{7})(?=[ \r\n]|\Z)")
-LIMIT = 20_000
-
-PLAIN = re.compile(r"""[^\S\n]+|\#[^\n]*|[^\W\d]\w*|\d[\w.]*|[^\w\s"'()\[\]{}\#]""")
-QUOTE = re.compile(r"""(?i)(?P<prefix>[rubf]|br|rb|fr|rf)?(?P<quote>\"{3}|'{3}|"|')""")
-BODY = {q: re.compile(rf"(?:[^\\{q[0]}{'' if len(q) == 3 else chr(92) + 'n'}]|\\.{'|' + q[0] + '(?!' + q[0] * 2 + ')' if len(q) == 3 else ''})*", re.S) for q in ('"', "'", '"""', "'''")}
-PAIRS = {"(": ")", "[": "]", "{": "}"}
+#: Calls the parsers may hold at once (on the heap, about 250 bytes each): some 300,000 nested levels.
+LIMIT = 2_000_000
+#: The least Python whose own grammar has the last word on Python files.
+GRAMMAR = (3, 13)
 
 
 def language_of(path):
@@ -43,86 +44,22 @@ def language_of(path):
     return out
 
 
-def python_tokens(text: str) -> None:
-    """Run the lexer over Python: strings, formatted strings and delimiters on one stack."""
-    at, n, line = 0, len(text), True
-    stack: list[tuple[str, int]] = []  # a closing delimiter, or the quote of an open formatted string
-    while at < n:
-        if stack and stack[-1][0][0] in "\"'":
-            quote = stack[-1][0]
-            while at < n:
-                if text.startswith(quote, at):
-                    stack.pop()
-                    at += len(quote)
-                    break
-                c = text[at]
-                if c in "{}" and text[at : at + 2] == c * 2:
-                    at += 2
-                elif c == "{":
-                    stack.append(("}", at))
-                    at += 1
-                    break
-                elif c == "\n" and len(quote) == 1:
-                    raise Bad("unterminated literal", stack[-1][1])
-                else:
-                    at += 2 if c == "\\" and text[at + 1 : at + 2] not in ("{", "}") else 1
-            continue
-        c = text[at]
-        if c == "\n":
-            at, line = at + 1, True
-            continue
-        if line and MARKER.match(text, at):
-            raise Bad("merge conflict", at)
-        line = False
-        field = len(stack) > 1 and stack[-1][0] == "}" and stack[-2][0][0] in "\"'"
-        if field and c == ":":  # a format specification: formatted text again, up to the field's end
-            depth = 0
-            while at < n and (depth or text[at] != "}"):
-                depth += {"{": 1, "}": -1}.get(text[at], 0)
-                if text[at] == "\n" and len(stack[-2][0]) == 1:
-                    raise Bad("unterminated literal", stack[-2][1])
-                at += 1
-            continue
-        m = QUOTE.match(text, at)
-        if m:
-            quote = m.group("quote")
-            if "f" in (m.group("prefix") or "").lower():
-                stack.append((quote, at))
-                at = m.end()
-                continue
-            end = BODY[quote].match(text, m.end()).end()
-            if not text.startswith(quote, end):
-                raise Bad("unterminated literal", at)
-            at = end + len(quote)
-        elif c in PAIRS:
-            stack.append((PAIRS[c], at))
-            at += 1
-        elif c in ")]}":
-            if not stack or stack[-1][0] != c:
-                raise Bad("unbalanced delimiters", at)
-            stack.pop()
-            at += 1
-        else:
-            m = PLAIN.match(text, at)
-            at = m.end() if m else at + 1
-    if stack:
-        raise Bad("unterminated literal" if stack[-1][0][0] in "\"'" else "unbalanced delimiters", stack[-1][1])
-
-
 def fault(text: str | None, language: str | None) -> str | None:
     """What is wrong with a text in a language; null where nothing is (or nothing can be told)."""
     if not text or language is None:
         return None
+    if language == "Python" and sys.version_info < GRAMMAR:
+        raise RuntimeError(f"Python files are read by the grammar of {GRAMMAR}, which this worker's Python is too old for")
     if text[0] == "﻿":
         text = text[1:]
     if sys.getrecursionlimit() < LIMIT:
         sys.setrecursionlimit(LIMIT)
     try:
         if language == "Python":
-            python_tokens(text)
+            Python(text).check()
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore")
-                ast.parse(text)
+                compile(text, "text", "exec", dont_inherit=True)
         elif language == "Rust":
             Rust(text).check()
         else:
@@ -131,11 +68,11 @@ def fault(text: str | None, language: str | None) -> str | None:
         at = text.rfind("\n", 0, e.at + 1) + 1
         return "merge conflict" if MARKER.match(text, at) or MARKER.match(text, max(0, e.at)) else e.why
     except SyntaxError as e:
-        return "premature end" if "expected an indented block" in str(e) or "unexpected EOF" in str(e) else "unexpected token"
+        return "nested too deep" if "too many" in str(e) else "premature end" if "expected an indented block" in str(e) or "unexpected EOF" in str(e) else "unexpected token"
     except ValueError:
         return "stray sign"
     except (RecursionError, MemoryError):
-        return None
+        return "nested too deep"
     return None
 
 
@@ -150,8 +87,9 @@ def unparsable(files: DataFrame, file_id: str = "file_id", repo: str = "repo", p
 
     language is that of the extension; fault says what makes the content invalid in it
     and is null where it is valid. Empty content and a leading byte-order mark are
-    valid; contents are read whole; repeated rows count each; a text nested deeper than
-    20,000 levels is let pass. No shuffle.
+    valid; contents are read whole; repeated rows count each. A text nested deeper than
+    can be read (in Rust and the scripts some 300,000 levels, in Python what the
+    interpreter takes) has the fault "nested too deep". No shuffle.
     """
     ship(files.sparkSession)
     kinds = {c: files.schema[c].dataType.simpleString() for c in (file_id, repo)}

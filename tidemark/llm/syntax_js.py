@@ -54,7 +54,7 @@ class Script:
         self.read: dict[int, tuple[int, str, str, int, bool]] = {}
         self.no_arrow: set[int] = set()
         self.no_types: set[int] = set()
-        self.function, self.loop = 0, 0
+        self.function, self.loop, self.switch, self.labels = 0, 0, 0, ()
         at = 1 if text.startswith("\ufeff") else 0
         self.move((text + "\n").index("\n") if text.startswith("#!", at) else at)
 
@@ -112,10 +112,15 @@ class Script:
         return found[1], found[2], found[4]
 
     def mark(self):
-        return (self.at, self.kind, self.value, self.end, self.newline)
+        return (self.at, self.kind, self.value, self.end, self.newline, self.inside())
 
     def back(self, mark) -> None:
-        self.at, self.kind, self.value, self.end, self.newline = mark
+        self.at, self.kind, self.value, self.end, self.newline, inside = mark
+        self.function, self.loop, self.switch, self.labels = inside
+
+    def inside(self) -> tuple:
+        """How many functions, loops and switches are open, and the labels a break may name."""
+        return self.function, self.loop, self.switch, self.labels
 
     def tries(self, rule) -> bool:
         here = self.mark()
@@ -177,9 +182,12 @@ class Script:
             elif self.value not in RESERVED:
                 kind, value, newline = self.peek()
                 if value == ":" and kind == "p":
+                    labels = self.labels
+                    self.labels = (*labels, self.step())
                     self.step()
-                    self.step()
-                    return self.statement()
+                    self.statement()
+                    self.labels = labels
+                    return None
                 if self.value == "async" and value == "function" and not newline:
                     self.step()
                     self.step()
@@ -336,10 +344,11 @@ class Script:
         self.body()
         return None
 
-    def body(self) -> None:
-        self.function += 1
+    def body(self, function: bool = True) -> None:
+        outside = self.inside()
+        self.function, self.loop, self.switch, self.labels = self.function + 1 if function else 0, 0, 0, ()
         self.block()
-        self.function -= 1
+        self.function, self.loop, self.switch, self.labels = outside
 
     def signature(self) -> None:
         self.type_parameters()
@@ -409,7 +418,7 @@ class Script:
                 break
             if self.value == "static" and value == "{":
                 self.step()
-                return self.block()
+                return self.body(False)
             self.step()
         star = self.takes("*")
         if self.ts and self.sees("[") and self.tries(self.index_signature):
@@ -466,7 +475,9 @@ class Script:
         self.loop -= 1
 
     def s_with(self) -> None:
-        self.s_while()
+        self.step()
+        self.parenthesized()
+        self.statement()
 
     def s_do(self) -> None:
         self.step()
@@ -511,9 +522,13 @@ class Script:
         self.semicolon()
 
     def s_break(self) -> None:
-        self.step()
+        at, word = self.at, self.step()
         if self.kind == "id" and not self.newline:
+            if self.value not in self.labels:
+                self.fail("jump out of nothing")
             self.name()
+        elif not self.loop and not (word == "break" and self.switch):
+            raise Bad("jump out of nothing", at)
         self.semicolon()
 
     s_continue = s_break
@@ -548,6 +563,7 @@ class Script:
         self.step()
         self.parenthesized()
         self.need("{")
+        self.switch += 1
         while not self.takes("}"):
             if self.takes("case"):
                 self.expression()
@@ -556,6 +572,7 @@ class Script:
             self.need(":")
             while not self.sees("case", "default", "}"):
                 self.statement()
+        self.switch -= 1
 
     def s_enum(self):
         if not self.ts:
@@ -750,9 +767,7 @@ class Script:
                 self.fail()
             self.step()
 
-        depth = self.function, self.loop
         if not self.tries(head):
-            self.function, self.loop = depth
             self.no_arrow.add(here)
             return False
         self.arrow_body(no_in)
