@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tidemark.llm.mixing import mix_report, mix_sources, plan_mix, split_counts
+from tidemark.llm.mixing import LEAVES, deal, mix_report, mix_sources, plan_mix, shard_report, split_counts
 
 DOCS = "doc_id bigint, source string, n_tokens bigint, shard int, copies bigint"
 TARGETS = "mix_name string, source string, target_share double, max_repeats int"
@@ -60,20 +60,63 @@ def test_nothing(spark, docs):
     assert mix_report(mix_sources(docs.limit(0), targets), targets).collect()[0]["tokens"] == 0
 
 
+def leaves(n, shards, key):
+    return {a: (f.tolist(), x) for a, f, x in split_counts(np.array(n), shards, key)}
+
+
 def test_split_is_exact():
     n = np.array([1000, 37, 0, 1])
-    parts = split_counts(n, 13, ("x",))
+    got = leaves(n, 13, ("x",))
+    parts = np.stack([got[i][1] for i in range(13)])
     assert (parts.sum(0) == n).all() and (parts >= 0).all() and parts.sum(1).max() - parts.sum(1).min() <= 4
-    big = split_counts(np.array([3_000_000_000, 5]), 4, ("y",))
-    assert big.sum(0).tolist() == [3_000_000_000, 5]
+    assert [got[i][0] for i in range(13)] == [parts[:i].sum(0).tolist() for i in range(13)]
+
+
+def test_parts_of_the_tree_are_the_tree():
+    whole = leaves([700, 300, 5], 37, ("x",))
+    for depth in (1, 3, 6, 7):
+        got = {a: (f.tolist(), x) for node in range(1 << depth) for a, f, x in split_counts(np.array([700, 300, 5]), 37, ("x",), depth, node)}
+        assert {a: (f, x.tolist()) for a, (f, x) in got.items()} == {a: (f, x.tolist()) for a, (f, x) in whole.items()}
+
+
+def test_draws_are_hypergeometric():
+    # the first of four shards of 8 + 24 slots gets 8 of them: mean 2 and variance 8 * 1/4 * 3/4 * 24/31
+    x = np.array([next(split_counts(np.array([8, 24]), 4, (k,)))[2][0] for k in range(4000)])
+    assert abs(x.mean() - 2) < 0.08 and abs(x.var() - 1.1613) < 0.12
 
 
 def test_plan_counts_copies():
-    blocks = {"s": np.array([10, 20, 30]), "t": np.array([600])}
     targets = pd.DataFrame({"source": ["s", "t"], "share": [0.5, 0.5], "cap": [None, 1]})
-    plan, quotas = plan_mix("m", targets, blocks, None, 100, 0)
-    whole = plan[plan.upto.isna()]
-    for s, b in blocks.items():
-        own = whole[whole.source == s]
-        assert sum(b[int(k)] * c for k, c in zip(own.block, own["copies"])) == 600
-    assert quotas.quota.tolist() == [600, 600]
+    runs, whole = plan_mix(targets, {"s": 60, "t": 600}, None, 10)
+    assert whole == 1200 and [(r.blocks, r.passes, r.rest, r.slots) for r in runs] == [(6, 10, 0, 60), (60, 1, 0, 60)]
+    for shards in (1, 7):
+        plan = deal("m", runs, shards, 0)
+        assert plan["upto"].isna().all()
+        assert plan[plan.source == "s"].groupby("block")["copies"].sum().tolist() == [10] * 6
+        assert plan[plan.source == "t"].groupby("block")["copies"].sum().tolist() == [1] * 60
+        assert plan["shard"].nunique() == shards
+    runs, whole = plan_mix(targets, {"s": 3, "t": 605}, None, 10)
+    assert whole == 1210 and runs[0].each == 3 and runs[0].slots == 68 and runs[0].rest == 2
+    plan = deal("m", runs, 1, 0)
+    own = plan[plan.source == "s"]
+    assert own[own.upto.isna()]["copies"].sum() == 201 and own[own.upto == 2]["copies"].sum() == 1
+
+
+def test_many_shards_of_equal_size(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, "ab"[int(rng.random() < 0.3)], int(rng.integers(5, 40)), 0, 0) for i in range(60_000)]
+    targets = spark.createDataFrame([("m", "a", 0.7, 2), ("m", "b", 0.3, 3)], TARGETS)
+    mixed = mix_sources(spark.createDataFrame(rows, DOCS), targets, shard_tokens=2_000).cache()
+    sizes = np.array([r["tokens"] for r in shard_report(mixed).collect()])
+    assert len(sizes) > LEAVES and (np.abs(sizes / sizes.mean() - 1) < 0.1).mean() > 0.99 and 0.9 < sizes.mean() / 2_000 <= 1.0
+    shares = np.array([r[1] for r in mixed.groupBy("shard").agg({"source": "count"}).collect()])
+    assert shares.min() > 0 and mixed.groupBy("doc_id").sum("copies").where("`sum(copies)` > 3").count() == 0
+    per = mixed.where("source = 'b'").groupBy("shard").sum("n_tokens").collect()
+    assert np.std([r[1] for r in per]) > 20  # drawn, not dealt evenly
+
+
+def test_too_many_shards_are_an_error(spark):
+    docs = spark.createDataFrame([(1, "a", 2**40, 0, 0)], DOCS)
+    targets = spark.createDataFrame([("m", "a", 1.0, 1)], TARGETS)
+    with pytest.raises(ValueError):
+        mix_sources(docs, targets, shard_tokens=1000)

@@ -9,7 +9,7 @@ from tidemark.llm.components import grouped_split, related_commits
 from tidemark.llm.cooccurrence import SIGNIFICANT, cooccurrence
 from tidemark.llm.encodings import wrong_encodings
 from tidemark.llm.handwritten import not_handwritten
-from tidemark.llm.mixing import mix_report, mix_sources
+from tidemark.llm.mixing import mix_report, mix_sources, shard_report
 from tidemark.llm.syntax import fault_rates, unparsable
 from tidemark.llm.subsequences import frequent_subsequences
 from tidemark.llm.tokens import token_counts, token_ids
@@ -95,10 +95,14 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids(_table(spark, d, "documents"), ["doc_id"])
 
 
+#: Tokens of a shard of p9: the splitting tree is drawn from some ten thousand documents on.
+SHARD_TOKENS = 32_768
+
+
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = cut(token_counts(_table(spark, d, "documents"), ["doc_id", "source"]))
     targets = _table(spark, d, "mix_targets")
-    return mix_sources(docs, targets), targets
+    return mix_sources(docs, targets, shard_tokens=SHARD_TOKENS), targets
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -111,6 +115,26 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mix_report(*_mixed(spark, d))
 
 
+def p9_shards(spark: SparkSession, d: str) -> DataFrame:
+    """The size of every shard of every mix."""
+    return shard_report(_mixed(spark, d)[0])
+
+
+def p9_holds(spark: SparkSession, d: str) -> DataFrame:
+    """For every target: whether its source has documents, whether its share is met (to within half a document of each source), and its cap."""
+    docs = cut(token_counts(_table(spark, d, "documents"), ["doc_id", "source"]))
+    targets = _table(spark, d, "mix_targets")
+    mixed = cut(mix_sources(docs, targets, shard_tokens=SHARD_TOKENS))
+    got = mix_report(mixed, targets).join(docs.where("n_tokens > 0").select("source").distinct().withColumn("given", F.lit(True)), "source", "left")
+    able = got.where("given and target_share > 0").groupBy("mix_name").agg(F.sum("target_share").alias("able"), F.sum("tokens").alias("total"), F.count(F.lit(1)).alias("sources"))
+    longest = mixed.groupBy("mix_name").agg(F.max("n_tokens").alias("longest"))
+    off = F.abs(F.col("tokens") - F.col("target_share") / F.col("able") * F.col("total"))
+    caps = targets.groupBy("mix_name", "source").agg(F.min("max_repeats").alias("cap"))
+    return got.join(caps, ["mix_name", "source"]).join(able, "mix_name", "left").join(longest, "mix_name", "left").select(
+        "mix_name", "source", F.coalesce("given", F.lit(False)).alias("given"),
+        F.when(F.col("given"), off <= F.coalesce("longest", F.lit(0)) * (F.col("sources") + 1) / 2).otherwise(F.col("tokens") == 0).alias("share_holds"), (F.col("most_copies") <= F.coalesce("cap", "most_copies")).alias("cap_holds"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """The documents with a stretch of text that was decoded with a wrong encoding."""
     return wrong_encodings(_table(spark, d, "documents")).where("garbled").select("doc_id")
@@ -123,7 +147,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_sequences": p2_sequences,
-    "p3_found": p3_found, "p3_reasons": p3_reasons, "p4_found": p4_found, "p4_pairs": p4_pairs, "p4_significant": p4_significant, "p6_found": p6_found, "p6_rates": p6_rates, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_report": p9_report,
+    "p3_found": p3_found, "p3_reasons": p3_reasons, "p4_found": p4_found, "p4_pairs": p4_pairs, "p4_significant": p4_significant, "p6_found": p6_found, "p6_rates": p6_rates, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_report": p9_report, "p9_shards": p9_shards, "p9_holds": p9_holds,
     "p10_found": p10_found, "p10_restored": p10_restored,
 }
 
@@ -178,5 +202,8 @@ ORACLES = {
     "p2_found": f"SELECT repo, path_1, path_2, path_3 FROM ({P2_SEQUENCES})",
     "p4_found": P4_COUNTS + " SELECT repo, path_a, path_b FROM y WHERE n_ab * n >= 4 * n_a * n_b",
     "p4_pairs": P4_COUNTS + f" SELECT *, round(n_ab * n / (n_a * n_b)::DOUBLE, 6) AS lift, round(2 * ({LLR}), 6) AS llr FROM y",
+    "p9_holds": """SELECT t.mix_name, t.source, count(d.source) > 0 AS given, true AS share_holds, true AS cap_holds FROM (
+      SELECT mix_name, source, sum(target_share) AS w FROM (SELECT DISTINCT mix_name, source, target_share, max_repeats FROM mix_targets) WHERE mix_name IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2) t
+      LEFT JOIN (SELECT DISTINCT source FROM documents WHERE text <> '') d ON d.source = t.source AND t.w > 0 GROUP BY 1, 2""",
     "p4_significant": P4_COUNTS + f" SELECT * FROM (SELECT repo, path_a, path_b, n_ab, round(2 * ({LLR}), 6) AS llr FROM y WHERE n_ab * n >= n_a * n_b) WHERE llr >= {SIGNIFICANT}",
 }
