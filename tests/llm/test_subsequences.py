@@ -1,6 +1,7 @@
 import random
+import time
 from collections import Counter
-from itertools import product
+from itertools import groupby, product
 
 import numpy as np
 import pytest
@@ -70,9 +71,44 @@ def test_nulls_ties_and_nothing(spark):
 
 
 def test_tree_positions():
-    sequences = [(np.array([0, 1, 2]), np.array([0, 1, 2])), (np.array([0, 1]), np.array([0, 1])), (np.array([0, 0, 1]), np.array([0, 1, 2]))]
-    tree = PatternTree(sequences, 3)
+    tree = PatternTree(np.array([0, 0, 0, 1, 1, 2, 2, 2]), np.array([0, 1, 2, 0, 1, 0, 0, 1]), np.array([0, 1, 2, 0, 1, 0, 1, 2]), 3)
     assert tree.support(tree.first(0)) == 3 and tree.support(tree.below(tree.first(0), 1)) == 2 and tree.support(tree.below(tree.first(0), 2)) == 2
     code = {"a": 0, "b": 1, "c": 2}
     assert count_patterns(tree, code, [["a", "b", "c"], ["b", "c"], ["a", "x"], ["a", "c"]]).tolist() == [1, 2, 0, 2]
     assert Counter(tree.count.tolist())[1] >= 1
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_tree_is_the_sequences(seed):
+    rng = random.Random(seed)
+    rows = sorted({(s, rng.randrange(4), rng.randrange(3)) for s in range(30) for _ in range(rng.randrange(1, 6))})
+    tree = PatternTree(*(np.array(c) for c in zip(*rows)), 3)
+    item = np.empty(len(tree.count), np.int64)
+    for i, nodes in enumerate(tree.header):
+        item[nodes] = i
+    own = Counter(tuple((t, i) for _, t, i in g) for _, g in groupby(rows, key=lambda r: r[0]))
+    prefixes = Counter()
+    for q, k in own.items():
+        for m in range(1, len(q) + 1):
+            prefixes[q[:m]] += k
+    got, above = Counter(), []
+    for node in range(len(tree.count)):
+        while above and tree.last[above[-1]] < node:
+            above.pop()
+        above.append(node)
+        got[tuple((int(tree.step[x]), int(item[x])) for x in above)] += int(tree.count[node])
+    assert got == prefixes
+
+
+def test_blocks_by_events(spark):
+    rows = data(6)
+    got = run(spark, rows, min_count=4, min_share=0.1, shortest=1, longest=3, repeats=False, block_events=40)
+    assert got == brute(rows, 4, 0.1, 1, 3, False)
+
+
+def test_tree_of_many_events_is_quick():
+    n, each = 400, 5_000
+    rng = np.random.default_rng(0)
+    began = time.time()
+    tree = PatternTree(np.repeat(np.arange(n), each), np.tile(np.arange(each), n), rng.integers(0, 50, n * each), 50)
+    assert time.time() - began < 20 and tree.support(tree.first(7)) == n

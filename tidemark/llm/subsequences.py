@@ -7,69 +7,60 @@ comparisons. Mining keeps for a pattern the topmost nodes where it first ends an
 follows the header link of each item to the topmost nodes below them in a later
 step: no tree is ever rebuilt.
 
-Scale. A scope's sequences go to blocks of about ``block_size`` by a hash, one tree
-each. Where a scope has several blocks, a pattern frequent in the scope is frequent
+Scale. A scope's sequences go to blocks of about ``block_size`` sequences and
+``block_events`` events, whichever are fewer, by a hash, one tree each. Where a scope has
+several blocks, a pattern frequent in the scope is frequent
 in one of its blocks at least at the same rate; so the union of the blocks' patterns
 holds all, and a second pass counts exactly those in every block. Both passes are
 exact, and no task holds more than its blocks, however large a scope is.
 
-A sequence of more than ``long`` events is in no tree where its scope has fewer such
-sequences than a pattern needs: a frequent pattern then has nearly its whole support in
-the others, so theirs, mined with that much less, are looked up in the long sequences step
-by step with equi-joins and minima.
+Of a scope's sequences of more than ``long`` events the longest, up to half as many as a
+pattern needs, are in no tree: a frequent pattern then has at least half its support in
+the others, so theirs, mined with that much less, are looked up in these long sequences,
+one step after the other for each shared prefix, by running minima over time.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import cut, ship
 
 
 class PatternTree:
-    """The prefix tree of sequences of (step, item) events, sorted by step and item."""
-
-    def __init__(self, sequences: list[tuple[np.ndarray, np.ndarray]], n_items: int):
-        # preorder comes from sorting the sequences: equal prefixes become neighbours
-        keys = sorted(tuple(zip(s.tolist(), i.tolist())) for s, i in sequences)
-        item, step, count, depth, path = [], [], [], [], []
-        previous: tuple = ()
-        for key in keys:
-            same = 0
-            for x, y in zip(previous, key):
-                if x != y:
-                    break
-                same += 1
-            del path[same:]
-            for node in path:
-                count[node] += 1
-            for s, i in key[same:]:
-                path.append(len(item))
-                depth.append(len(path))
-                item.append(i)
-                step.append(s)
-                count.append(1)
-            previous = key
-        n = len(item)
-        self.step, self.count = np.array(step, np.int64), np.array(count, np.int64)
-        self.last = np.arange(n)
-        stack: list[int] = []
-        for node in range(n):
-            while stack and depth[stack[-1]] >= depth[node]:
-                self.last[stack.pop()] = node - 1
-            stack.append(node)
-        for node in stack:
-            self.last[node] = n - 1
-        items = np.array(item, np.int64)
+    """The prefix tree of sequences of events, given as flat columns sorted by sequence, step and item."""
+
+    def __init__(self, sequence: np.ndarray, step: np.ndarray, item: np.ndarray, n_items: int):
+        # an event's code orders as (step, item) does; sequences sorted by their codes have equal prefixes side by side
+        events, code = np.unique(step * max(1, n_items) + item, return_inverse=True)
+        edges = np.r_[np.flatnonzero(np.r_[True, sequence[1:] != sequence[:-1]]), len(sequence)] if len(sequence) else np.zeros(1, np.int64)
+        raw = code.astype(">u4").tobytes()
+        order = sorted(range(len(edges) - 1), key=lambda k: raw[4 * edges[k] : 4 * edges[k + 1]])
+        made, count, last = [], np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+        path, previous, n = np.zeros(0, np.int64), code[:0], 0
+        for k in order:
+            own = code[edges[k] : edges[k + 1]]
+            m = min(len(own), len(previous))
+            apart = np.flatnonzero(own[:m] != previous[:m])
+            same = int(apart[0]) if len(apart) else m
+            last[path[same:]] = n - 1
+            path = np.r_[path[:same], np.arange(n, n + len(own) - same)]
+            made.append(own[same:])
+            count[path] += 1
+            n += len(own) - same
+            previous = own
+        last[path] = n - 1
+        node = events[np.concatenate(made)] if made else events
+        self.step, self.count, self.last = node // max(1, n_items), count[:n], last[:n]
+        items = node % max(1, n_items)
         by_item = np.argsort(items, kind="stable")
         edges = np.searchsorted(items[by_item], np.arange(n_items + 1))
-        self.header = [by_item[edges[i]:edges[i + 1]] for i in range(n_items)]
+        self.header = [by_item[edges[i] : edges[i + 1]] for i in range(n_items)]
 
     def topmost(self, nodes: np.ndarray) -> np.ndarray:
         """Of nodes in preorder those with none of the others above."""
@@ -143,15 +134,15 @@ def count_patterns(tree: PatternTree, code: dict[str, int], patterns: list[list[
 
 
 def _load(held: pd.DataFrame) -> tuple[PatternTree, list[str]]:
-    items = sorted({x for row in held["items"] for x in row})
-    code = {x: i for i, x in enumerate(items)}
-    sequences = []
-    for times, names in zip(held["times"], held["items"]):
-        steps = np.unique(np.asarray(times, np.int64), return_inverse=True)[1]
-        c = np.fromiter((code[x] for x in names), np.int64, len(names))
-        order = np.lexsort((c, steps))
-        sequences.append((steps[order], c[order]))
-    return PatternTree(sequences, len(items)), items
+    sequence = np.repeat(np.arange(len(held)), [len(x) for x in held["items"]])
+    item, names = pd.factorize(np.concatenate([np.asarray(x, object) for x in held["items"]]), sort=True)
+    time = np.concatenate([np.asarray(x, np.int64) for x in held["times"]])
+    order = np.lexsort((item, time, sequence))
+    sequence, time, item = sequence[order], time[order], item[order].astype(np.int64)
+    fresh = np.r_[True, sequence[1:] != sequence[:-1]]
+    later = np.cumsum(np.r_[True, fresh[1:] | (time[1:] != time[:-1])])
+    step = later - later[fresh][np.cumsum(fresh) - 1]  # from 0 in each sequence
+    return PatternTree(sequence, step, item, len(names)), list(names)
 
 
 def _mined(held: pd.DataFrame, shortest: int, longest: int, repeats: bool) -> pd.DataFrame:
@@ -173,7 +164,7 @@ def _counted(held: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
 
 def frequent_subsequences(
     rows: DataFrame, scope: str, sequence: str, time: str, item: str, min_count: int = 1, min_share: float = 0.0,
-    shortest: int = 1, longest: int = 3, repeats: bool = True, block_size: int = 4096, long: int = 20_000,
+    shortest: int = 1, longest: int = 3, repeats: bool = True, block_size: int = 4096, block_events: int = 1_000_000, long: int = 20_000,
 ) -> DataFrame:
     """(scope, pattern, support, n): patterns of shortest..longest items, steps at strictly rising times.
 
@@ -181,35 +172,31 @@ def frequent_subsequences(
     min_count and min_share * n of them. With repeats=False a pattern holds no item
     twice. Rows with a null scope, sequence, time or item are left out and make no
     sequence; repeated rows change nothing; items at one time are one step and never
-    follow each other. No rows, no patterns. Long sequences are held by one task only
-    where as many of them as a pattern needs are in one scope.
+    follow each other. No rows, no patterns. Times are taken as bigint. A task holds a
+    block, and no sequence is cut: besides the long ones that are looked up, the
+    sequences of a scope have to fit a task one by one.
     """
     spark = rows.sparkSession
     ship(spark)
-    r = rows.select(F.col(scope).alias("scope"), F.col(sequence).alias("seq"), F.col(time).alias("t"), F.col(item).alias("item")).where(
+    r = rows.select(F.col(scope).alias("scope"), F.col(sequence).alias("seq"), F.col(time).cast("bigint").alias("t"), F.col(item).alias("item")).where(
         "scope is not null and seq is not null and t is not null and item is not null").distinct()
     n = r.groupBy("scope").agg(F.count_distinct("seq").alias("n"))
     need = F.greatest(F.lit(float(min_count)), F.lit(float(min_share)) * F.col("n"), F.lit(1.0))
     frequent = r.groupBy("scope", "item").agg(F.count_distinct("seq").alias("k")).join(n, "scope").where(F.col("k") >= need - 1e-9)
     kept = cut(r.join(frequent.select("scope", "item"), ["scope", "item"], "left_semi"))
-    giants = kept.groupBy("scope", "seq").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > long).select("scope", "seq")
-    some = not giants.isEmpty()
-    if some:
-        few = giants.groupBy("scope").agg(F.count(F.lit(1)).alias("h")).join(n, "scope").where(F.col("h") < need - 1e-9).select("scope", "h")
-        giants = cut(giants.join(few, "scope"))  # at most rows / long sequences
-        short = kept.join(giants, ["scope", "seq"], "left_anti")
-        n_less = n.join(giants.select("scope", "h").distinct(), "scope", "left").withColumn("h", F.coalesce("h", F.lit(0)))
-    else:
-        short, n_less = kept, n.withColumn("h", F.lit(0))
-    least = F.greatest(need - F.col("h"), F.lit(1.0))
+    order = Window.partitionBy("scope").orderBy(F.desc("k"), "seq")
+    giants = cut(kept.groupBy("scope", "seq").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > long).join(n, "scope").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= (need - 1) / 2).select("scope", "seq"))
+    some = not giants.isEmpty()  # at most rows / long sequences
+    short = kept.join(giants, ["scope", "seq"], "left_anti") if some else kept
+    sizes = n.join(giants.groupBy("scope").agg(F.count(F.lit(1)).alias("h")), "scope", "left").withColumn("h", F.coalesce("h", F.lit(0))) if some else n.withColumn("h", F.lit(0))
+    sizes = sizes.join(short.groupBy("scope").agg(F.count(F.lit(1)).alias("events")), "scope")
     sequences = short.groupBy("scope", "seq").agg(F.collect_list(F.struct("t", "item")).alias("e"))
-    blocks = F.ceil(F.col("n") / F.lit(float(block_size))).cast("int")
-    sequences = cut(sequences.join(n_less, "scope").select(
-        "scope", F.col("e.t").cast("array<bigint>").alias("times"), F.col("e.item").alias("items"), (least / F.col("n")).alias("rate"), blocks.alias("blocks"),
+    blocks = F.ceil(F.greatest(F.col("n") / float(block_size), F.col("events") / float(block_events))).cast("int")
+    sequences = cut(sequences.join(sizes, "scope").select(
+        "scope", F.col("e.t").alias("times"), F.col("e.item").alias("items"), (F.greatest(need - F.col("h"), F.lit(1.0)) / F.col("n")).alias("rate"), blocks.alias("blocks"),
         F.pmod(F.xxhash64(F.col("seq").cast("string")), blocks).cast("int").alias("block")))
-    mined = sequences.groupBy("scope", "block").applyInPandas(
-        lambda held: _mined(held, shortest, longest, repeats), "scope string, blocks int, pattern array<string>, support bigint")
-    mined = cut(mined)
+    mined = cut(sequences.groupBy("scope", "block").applyInPandas(
+        lambda held: _mined(held, shortest, longest, repeats), "scope string, blocks int, pattern array<string>, support bigint"))
     whole = mined.where("blocks = 1").select("scope", "pattern", "support")
     wanted = mined.where("blocks > 1").select("scope", "pattern", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).distinct()
     counted = sequences.where("blocks > 1").groupBy("scope", "block").cogroup(wanted.groupBy("scope", "block")).applyInPandas(
@@ -223,11 +210,26 @@ def frequent_subsequences(
 
 
 def _looked_up(patterns: DataFrame, giants: DataFrame, events: DataFrame, longest: int) -> DataFrame:
-    """(scope, pattern, support) of patterns in the given sequences: the earliest match of one step after the other."""
-    ev = events.join(giants.select("scope", "seq"), ["scope", "seq"], "left_semi")
-    at = patterns.select("scope", "pattern").join(giants.select("scope", "seq"), "scope").withColumn("at", F.lit(None).cast("bigint"))
-    for i in range(longest):
-        done = at.where(F.size("pattern") <= i)
-        step = at.where(F.size("pattern") > i).withColumn("item", F.get("pattern", F.lit(i))).join(ev, ["scope", "seq", "item"]).where(F.col("at").isNull() | (F.col("t") > F.col("at")))
-        at = step.groupBy("scope", "pattern", "seq").agg(F.min(F.col("t").cast("bigint")).alias("at")).unionByName(done.select("scope", "pattern", "seq", "at"))
-    return at.groupBy("scope", "pattern").agg(F.count(F.lit(1)).alias("support"))
+    """(scope, pattern, support) of patterns in the given sequences: the earliest place of each prefix, a step at a time.
+
+    Prefixes shared by patterns are looked up once, and only in sequences that hold the
+    prefix before; a step is a running minimum over the events of one item, latest first.
+    """
+    ev = cut(events.join(giants, ["scope", "seq"], "left_semi"))
+    firsts = ev.groupBy("scope", "seq", "item").agg(F.min("t").alias("at"))
+    prefix = lambda k: patterns.where(F.size("pattern") >= k).select("scope", F.slice("pattern", 1, k).alias("prefix")).distinct()
+    at = prefix(1).withColumn("item", F.col("prefix")[0]).join(firsts, ["scope", "item"]).select("scope", "seq", "prefix", "at")
+    out = []
+    later = Window.partitionBy("scope", "seq", "item").orderBy(F.expr("-t")).rangeBetween(Window.unboundedPreceding, -1)
+    for k in range(1, longest + 1):
+        held = at.groupBy("scope", F.col("prefix").alias("pattern")).agg(F.count(F.lit(1)).alias("support"))
+        out.append(held.join(patterns.where(F.size("pattern") == k).select("scope", "pattern").distinct(), ["scope", "pattern"], "left_semi"))
+        if k < longest:
+            longer = prefix(k + 1).select("scope", F.col("prefix").alias("longer"), F.slice("prefix", 1, k).alias("prefix"), F.get("prefix", F.lit(k)).alias("item"))
+            asks = at.join(longer, ["scope", "prefix"]).select("scope", "seq", "item", F.col("at").alias("t"), F.col("longer").alias("prefix"), F.lit(None).cast("bigint").alias("e"))
+            both = asks.unionByName(ev.select("scope", "seq", "item", "t", F.lit(None).cast("array<string>").alias("prefix"), F.col("t").alias("e")))
+            at = both.withColumn("at", F.min("e").over(later)).where("prefix is not null and at is not null").select("scope", "seq", "prefix", "at")
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found
