@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.operators.asof import PersistentTree, known_at_event, latest_known
+from tidemark.operators.asof import PersistentTree, _in_blocks, known_at_event, latest_known
 
 FACTS = "fact_id bigint, e string, f string, valid bigint, known bigint, v bigint, w bigint, row_id bigint"
 EVENTS = "row_id bigint, e string, f string, t bigint, v bigint"
@@ -42,6 +42,22 @@ def test_like_brute_force(spark, block_rows, batch_rows):
     assert run(spark, facts, events, block_rows=block_rows, batch_rows=batch_rows) == brute(facts, events)
 
 
+@pytest.mark.parametrize("block_rows", [3, 50])
+def test_one_entity_holds_nearly_all_and_one_time_most_of_it(spark, block_rows):
+    rng = random.Random(5)
+    time = lambda: 30 if rng.random() < 0.7 else rng.choice([29, 31, rng.randrange(60)])
+    facts = [(i, "hot" if rng.random() < 0.95 else "e1", "f", time(), time(), rng.randrange(9), i, 0) for i in range(250)]
+    events = [(i, "hot", "f", time(), 0) for i in range(250)] + [(900, "e1", "f", 31, 0)]
+    assert run(spark, facts, events, block_rows=block_rows) == brute(facts, events)
+
+
+def test_blocks_are_bounded(spark):
+    rows = spark.range(30_000).selectExpr(
+        "case when id % 3 = 0 then 'hot' else concat('e', id % 977) end as _e0", "id % 2 = 0 as _fact", "case when id % 7 < 4 then 1000 else cast(pow(id % 1013, 3) as bigint) end as _at", "id as _tie").selectExpr("*", "_at as _valid", "_at as _known")
+    sizes = _in_blocks(rows, ["_e0"], [], [], 500).groupBy("_e0", "_lo", "_sub").count().collect()
+    assert max(r["count"] for r in sizes) < 700 and sum(r["_e0"] == "hot" for r in sizes) > 20
+
+
 def test_nulls_ties_and_repeats(spark):
     facts = [(1, "a", "b", 5, 5, 1, 1, 0), (2, "a", "b", 5, 5, 2, 2, 0), (2, "a", "b", 5, 5, 2, 2, 0), (None, "a", "b", 5, 6, 3, None, 0), (4, None, "b", 1, 1, 9, 9, 0), (5, "a", "b", None, 1, 9, 9, 0), (6, "a", "b", 9, 1, 7, 7, 0)]
     events = [(1, "a", "b", 6, 0), (2, "a", "b", 7, 0), (3, "a", "b", 5, 0), (4, None, "b", 9, 0), (5, "a", None, 9, 0), (6, "a", "b", None, 0), (7, "a", "b", 9, 0), (8, "a", "b", 10, 0), (9, "x" * 50_000, "", 10, 0)]

@@ -5,10 +5,12 @@ see facts with both times strictly before its own, and of those the one with the
 largest valid time, then known time, then id.
 
 Plan. A fact is usable from ``avail = max(valid, known)`` on. Each entity's time
-line is cut into blocks at quantiles of ``avail`` when the entity has more facts
+line is cut into blocks at quantiles of ``avail`` while a block has more facts
 and events than ``block_rows``; a block holds the facts that become usable in it,
 its events and one carried fact, the best of all earlier blocks. No task holds
-more than its blocks, however hot an entity is. Blocks are hashed to partitions,
+more than its blocks, however hot an entity is; cut points reach the rows by joins
+salted over the rows of a block, and a block of one time, whose facts none of its own
+events may see, is dealt out by hash. Blocks are hashed to partitions,
 one shuffle of facts and events together; in a partition all blocks of a batch
 share one path-copied persistent search tree (a shard's tree): version t of the
 tree holds the t facts first known, an event takes its known-time root and
@@ -25,7 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import ship
+from tidemark.session import cut, ship
+
+#: Parts into which a block is cut at a time, and into which its rows are salted in joins.
+FAN, SALT = 32, 64
+FIRST = -(2**63)
 
 
 class PersistentTree:
@@ -187,7 +193,7 @@ def known_at_event(
     null. Repeated facts and events do no harm. Empty inputs give an empty or an
     all-default result. Extra columns of either side are ignored, so their names
     may clash. All facts of an entity's block, plus one carried fact, are in one
-    task: at most ``block_rows`` facts and events, unless that many share one time.
+    task: at most ``block_rows`` facts and events.
     """
     spark = events.sparkSession
     ship(spark)
@@ -212,29 +218,9 @@ def known_at_event(
         whole = whole & F.col(c).isNotNull()
     both = f.unionByName(e.where(F.col("_at").isNotNull())).where(whole)
 
-    # hot entities: at most total / block_rows of them, so their cut points fit a broadcast
-    sizes = both.groupBy(*ids).agg(F.count(F.lit(1)).alias("_n"))
-    hot = [r for r in sizes.where(F.col("_n") > block_rows).collect()]
-    if hot:
-        entities = spark.createDataFrame([tuple(r[c] for c in ids) for r in hot], both.select(*ids).schema)
-        most = max(r["_n"] for r in hot) // block_rows + 1
-        cuts = both.join(F.broadcast(entities), ids).groupBy(*ids).agg(
-            F.percentile_approx("_at", [i / most for i in range(1, most)] or [0.5], 10_000).alias("_cuts"))
-        both = both.join(F.broadcast(cuts), ids, "left").withColumn(
-            "_part", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("_at"))), F.lit(0))).drop("_cuts")
-        # what an earlier block leaves to the later ones: its best fact
-        best = both.where(F.col("_fact") & F.col("_part").isNotNull()).join(F.broadcast(entities), ids).groupBy(*ids, "_part").agg(
-            F.max(F.struct("_valid", "_known", "_tie", *names)).alias("_best"))
-        spans = Window.partitionBy(*ids).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-        parts = both.join(F.broadcast(entities), ids).select(*ids, "_part").distinct()
-        carried = parts.join(best, [*ids, "_part"], "left").withColumn("_b", F.max("_best").over(spans)).where("_b is not null").select(
-            *ids, F.lit(True).alias("_fact"), F.greatest("_b._valid", "_b._known").alias("_at"), "_b._valid", "_b._known", "_b._tie", *[f"_b.{n}" for n in names], *[F.lit(None).cast("bigint").alias(n) for n in kept], "_part")
-        both = both.unionByName(carried)
-    else:
-        both = both.withColumn("_part", F.lit(0))
-
-    block = F.xxhash64(*ids, "_part")  # only spreads and orders; equality is by the exact key below
-    exact = F.concat_ws("\x1f", *[F.regexp_replace(F.col(c).cast("string"), "\x1f", "\x1f\x1f") for c in ids], F.col("_part").cast("string"))
+    both = _in_blocks(both, ids, names, kept, block_rows)
+    block = F.xxhash64(*ids, "_lo", "_sub")  # only spreads and orders; equality is by the exact key below
+    exact = F.concat_ws("\x1f", *[F.regexp_replace(F.col(c).cast("string"), "\x1f", "\x1f\x1f") for c in ids], F.col("_lo").cast("string"), F.col("_sub").cast("string"))
     flat = both.select(block.alias("_h"), exact.alias("_block"), "_fact", "_valid", "_known", "_tie", *names, *kept)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     flat = flat.repartition(n, "_h").sortWithinPartitions("_h", "_block").drop("_h")
@@ -252,3 +238,47 @@ def _all_set(columns: list[str]):
     for c in columns:
         cond = cond & F.col(c).isNotNull()
     return cond
+
+
+def _salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+
+
+def _in_blocks(both: DataFrame, ids: list[str], names: list[str], kept: list[str], block_rows: int) -> DataFrame:
+    """Facts and events with the block they are in: the first time of its span (_lo) and a part of it (_sub), with the carried facts.
+
+    Blocks of more than ``block_rows`` rows are cut at quantiles of their times, and just
+    after their first time, until each is small enough or of one time; the latter are
+    dealt to parts by hash. Only rows of entities that are too large for one block are
+    written and read again.
+    """
+    key = [*ids, "_lo"]
+    both = both.withColumn("_lo", F.lit(FIRST)).withColumn("_sub", F.lit(0))
+
+    def too_large(rows: DataFrame) -> DataFrame:  # at most rows / block_rows of them
+        return cut(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"), F.max("_at").alias("_to")).where(F.col("_n") > block_rows))
+
+    large = too_large(both)
+    if large.isEmpty():
+        return both
+    salt = F.pmod(F.xxhash64("_tie", "_at"), F.lit(SALT)).cast("int")
+    tagged = both.withColumn("_salt", salt).join(_salted(large.select(*ids)).withColumn("_hot", F.lit(True)), [*ids, "_salt"], "left")
+    cold = tagged.where("_hot is null").drop("_hot", "_salt")
+    hot = cut(tagged.where("_hot").drop("_hot"))
+    while not (wide := large.where("_from < _to")).isEmpty():
+        inside = hot.join(_salted(wide.select(*key)), [*key, "_salt"], "left_semi")
+        cuts = cut(inside.groupBy(*key).agg(F.array_append(F.percentile_approx("_at", [i / FAN for i in range(1, FAN)], 10_000), F.min("_at") + 1).alias("_cuts")))
+        hot = hot.join(_salted(cuts), [*key, "_salt"], "left").withColumn("_lo", F.coalesce(F.array_max(F.filter("_cuts", lambda c: c <= F.col("_at"))), F.col("_lo"))).drop("_cuts")
+        hot = cut(hot)
+        large = too_large(hot)
+    if not large.isEmpty():
+        parts = large.select(*key, F.ceil(F.col("_n") / block_rows).cast("int").alias("_parts"))
+        hot = cut(hot.join(_salted(parts), [*key, "_salt"], "left").withColumn("_sub", F.pmod(F.xxhash64(F.lit(1), "_tie", "_known"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts"))
+    hot = hot.drop("_salt")
+    # what the earlier blocks leave to a block: their best fact
+    best = hot.groupBy(*key).agg(F.max(F.when(F.col("_fact"), F.struct("_valid", "_known", "_tie", *names))).alias("_best"), F.max("_sub").alias("_last"))
+    earlier = Window.partitionBy(*ids).orderBy("_lo").rowsBetween(Window.unboundedPreceding, -1)
+    carried = best.withColumn("_b", F.max("_best").over(earlier)).where("_b is not null").select(
+        *ids, F.lit(True).alias("_fact"), F.greatest("_b._valid", "_b._known").alias("_at"), "_b._valid", "_b._known", "_b._tie", *[f"_b.{n}" for n in names], *[F.lit(None).cast("bigint").alias(n) for n in kept],
+        "_lo", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("_sub"))
+    return cold.unionByName(hot).unionByName(carried)
