@@ -1,6 +1,7 @@
 from tidemark.llm.handwritten import not_handwritten
 
 CODE = "import { base } from './a';\n\nexport function f(items, limit = 3) {\n  return items.filter((x) => x.n > limit);\n}\n"
+CODE_PY = "def f(items, limit=3):\n    return [x for x in items if x.n > limit]\n"
 FILES = [
     (1, "src/a.js", CODE, None),
     (2, "src/b.js", "// Code generated by x v1.2. DO NOT EDIT.\n" + CODE, "generated"),
@@ -27,13 +28,22 @@ FILES = [
     (23, "src/s.py", "\n".join(f"# shared terms apply to this {i}" for i in range(60)) + "\n#\n# @generated by tool\n\nx = 1\n", "generated"),
     (24, "src/t.js", "// Copyright 2024 the own authors. Licensed under the terms in LICENSE.\n" + CODE, None),
     (25, "other/empty.ts", "", None),
+    (26, "src/u.py", CODE_PY + "\n# Generated on 2024-01-01 by tool. Do not modify by hand.\n", "generated"),
+    (27, "src/v.js", CODE + "\n/*\n * Fichier généré par tool, ne pas modifier.\n */\n\n", "generated"),
+    (28, "src/w.py", CODE_PY + 'HEAD = """\n# Code generated by tool. DO NOT EDIT.\n"""\n', None),
+    (29, "src/x.js", "[][(![]+[])[+[]]+(![]+[])[!+[]+!+[]]+\n" * 20 + ("(!![]+[])[+[]]+" * 10 + "\n") * 40, "minified"),
+    (30, "src/y.ts", "export const a = '" + "Zm9vYmFy" * 100 + "';\n", "data"),
+    (31, "src/z.rs", "fn f(){let x=a;" + "let y=x+b;g(y, x);" * 200 + "}\n", "minified"),
 ]
+EVIDENCE = {2: ["notice"], 5: ["place"], 6: ["copy"], 8: ["layout"], 14: ["place"], 29: ["layout"], 30: ["layout"], 31: ["layout"]}
 
 
 def test_files(spark):
     df = spark.createDataFrame([(i, "r", p, c, "x", "y") for i, p, c, _ in FILES], "file_id bigint, repo string, path string, content string, reason string, language string")
     got = {r["file_id"]: r["reason"] for r in not_handwritten(df).collect()}
     assert got == {i: r for i, _, _, r in FILES if r}
+    spoke = {r["file_id"]: r["evidence"] for r in not_handwritten(df).collect()}
+    assert {i: spoke[i] for i in EVIDENCE} == EVIDENCE
 
 
 def test_each_fetched_row_counts(spark):
