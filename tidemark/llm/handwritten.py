@@ -32,6 +32,7 @@ class Layout:
     dense_space: float = 0.10  # ... with no more white space than this
     packed: float = 0.33  # so few letters and digits are left where names are packed into signs ...
     packed_mean: float = 60.0  # ... in lines of this mean length
+    letters_mean: float = 45.0  # the mean line length from which the share of letters tells something
     blob: float = 0.86  # so many are there only in encoded data
     numbers: float = 0.36  # number literals among the words
     least_numbers: int = 80
@@ -80,47 +81,51 @@ def leading_comment(text: Column) -> Column:
     return F.regexp_extract(text, block, 1)
 
 
-def closing_comment(lines: Column) -> Column:
+def closing_comment(text: Column, lines: Column) -> Column:
     """The comment lines after the last code, of a text's lines: those behind the last line that is neither blank nor a comment."""
-    is_code = F.transform(lines, lambda x: ~x.rlike(r"^\s*(?:(?://|#(?!\[|!\[)|\*|/\*).*)?$"))
-    behind = F.coalesce(F.array_position(F.reverse(is_code), F.lit(True)).cast("int"), F.lit(0)) - 1
-    return F.when(behind > 0, F.slice(lines, F.size(lines) - behind + 1, behind)).otherwise(F.array().cast("array<string>"))
+    is_code = F.transform(F.reverse(lines), lambda x: ~x.rlike(r"^\s*+(?:(?://|#(?!\[|!\[)|\*|/\*).*)?$"))
+    behind = F.coalesce(F.array_position(is_code, F.lit(True)).cast("int"), F.lit(0)) - 1
+    last = F.substring_index(F.rtrim(F.rtrim(text, F.lit("\r\n\t ")), F.lit(" \r\n\t")), "\n", -1)
+    none = F.array().cast("array<string>")
+    return F.when(last.rlike(r"^\s*+(//|#|\*|/\*)") | F.endswith(last, F.lit("*/")), F.when(behind > 0, F.slice(lines, F.size(lines) - behind + 1, behind)).otherwise(none)).otherwise(none)
 
 
-def _count(text: Column, signs: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, signs, ""))
+def _at_least(text: Column, signs: str, n: int) -> Column:
+    """Whether a text has n of some signs; the pattern stops at the n-th."""
+    return text.rlike(rf"\A(?:[^{signs}]*+[{signs}]){{{n}}}") if n > 0 else F.lit(True)
 
 
-def layout_statistics(text: Column, lines: Column, layout=None) -> dict[str, Column]:
+def layout_statistics(text: Column, lines: Column, language: bool = True) -> dict[str, Column]:
     """Statistics of a text and its lines, each a column; with the limits of a language the costly ones only where they can matter.
 
-    numbers and words are null where there are too few digits for data, encoded is 0 where no
-    run can be long enough, rows 0 where there are too few separators, shapes null where
-    there are too few lines to repeat.
+    Then numbers and words are null where there are too few digits or quotes for data and no long lines,
+    space and alnum where lines are short, rows 0 where there are too few separators, encoded 0 where no
+    run can be long enough, shapes null where there are too few lines to repeat.
     """
-    limit = layout or (lambda name: F.lit(0))
+    limit = _limit if language else (lambda name: F.lit(0))
+    least = min(x.least_numbers for x in LAYOUTS.values()) if language else 0
     lengths = F.transform(lines, lambda x: F.length(x))
     size = F.greatest(F.length(text), F.lit(1))
     n = F.size(lines)
-    digits, quotes, separators = _count(text, "0123456789"), _count(text, "\"'"), _count(text, ",;|\t")
+    long, mean = F.array_max(lengths), size / n
+    wide = long >= limit("long_line")
+    many_digits, many_quotes = _at_least(text, "0-9", least), _at_least(text, "\"'", 2 * least)
     runs = F.regexp_extract_all(text, F.lit(r"((?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}+={0,2}|(?:\\x[0-9a-fA-F]{2}(?:\\n)?[a-z]{0,10}){8,}|(?<!\w)(?:(?:0x[0-9a-fA-F]{1,2}|\d{1,3}), *){24,})"), F.lit(1))
-    row = r"^\s*[\[({]?\s*(?:(?:-?\d[\d.eE+-]*|0x[0-9a-fA-F]+|\"[^\"]*\"|'[^']*'|\w+) *[,;|\t] *){2,}(?:-?[\w.]+|\"[^\"]*\")?\s*[\])}]?[,;]?\s*$"
-    space = size - F.length(F.translate(text, " \t\r\n\f", ""))
-    long = F.array_max(lengths)
-    could_be_run = (long >= 40) & (size >= limit("least_size")) & (text.rlike(r"[A-Za-z0-9+/]{40}|\\x[0-9a-fA-F]{2}") | (digits >= 24) & (separators >= 24))
+    row = r"^\s*+[\[({]?\s*+(?:(?:-?\d[\d.eE+-]*+|\"[^\"]*+\"|'[^']*+'|\w++) *+[,;|\t] *+){2,}(?:-?[\w.]++|\"[^\"]*+\")?\s*+[\])}]?[,;]?\s*+$"
+    could_be_run = (long >= 40) & (size >= limit("least_size")) & (F.contains(text, F.lit("\\x")) | many_digits | text.rlike(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}"))
     return {
         "max_line": long,
-        "mean_line": size / n,
-        "space": space / size,
-        "alnum": F.when(size >= limit("least_size"), F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")) / size),
-        "words": F.when((digits >= limit("least_numbers")) | (quotes >= 2 * limit("least_numbers")) | (long >= limit("long_line")), F.regexp_count(text, F.lit(r"\w+"))),
-        "numbers": F.when((digits >= limit("least_numbers")) | (long >= limit("long_line")), F.regexp_count(text, F.lit(r"(?<![\w.])-?(?:0x[0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?)(?![\w.])"))),
-        "quoted": F.when(quotes >= 2 * limit("least_numbers"), F.regexp_count(text, F.lit(r"\"[^\"\n]*\" *,|'[^'\n]*' *,"))),
+        "mean_line": mean,
+        "space": F.when((mean >= limit("dense_mean")) | wide, (size - F.length(F.translate(text, " \t\r\n\f", ""))) / size),
+        "alnum": F.when((size >= limit("least_size")) & (mean >= limit("letters_mean")), F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")) / size),
+        "words": F.when(many_digits | many_quotes | wide, F.regexp_count(text, F.lit(r"\w++"))),
+        "numbers": F.when(many_digits | wide, F.regexp_count(text, F.lit(r"(?<![\w.])-?(?:0x[0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?)(?![\w.])"))),
+        "quoted": F.when(many_quotes, F.regexp_count(text, F.lit(r"\"[^\"\n]*+\" *,|'[^'\n]*+' *,"))),
         "encoded": F.when(could_be_run, F.aggregate(runs, F.lit(0), lambda a, x: a + F.length(x)) / size).otherwise(0.0),
-        "rows": F.when((separators >= 2 * limit("least_rows")) & (separators >= 2 * limit("rows") * n), F.size(F.filter(lines, lambda x: x.rlike(row)))).otherwise(0),
+        "rows": F.when(_at_least(text, ",;|\\t", 2 * min(x.least_rows for x in LAYOUTS.values()) if language else 0), F.size(F.filter(lines, lambda x: x.rlike(row)))).otherwise(0),
         "n_lines": n,
-        "shapes": F.when(n >= limit("least_lines"), F.size(F.array_distinct(F.transform(lines, lambda x: F.regexp_replace(x, r"\w+", "w"))))),
-        "long_share": F.when(long >= limit("long_line"), F.aggregate(F.filter(lengths, lambda k: k >= limit("long_line")), F.lit(0), lambda a, k: a + k) / size).otherwise(0.0),
+        "shapes": F.when(n >= limit("least_lines"), F.size(F.array_distinct(F.transform(lines, lambda x: F.regexp_replace(x, r"\w++", "w"))))),
+        "long_share": F.when(wide, F.aggregate(F.filter(lengths, lambda k: k >= limit("long_line")), F.lit(0), lambda a, k: a + k) / size).otherwise(0.0),
     }
 
 
@@ -144,9 +149,9 @@ def not_handwritten(files: DataFrame, file_id: str = "file_id", path: str = "pat
     whole.
     """
     f = files.select(F.col(file_id).alias("_id"), F.col(path).alias("_path"), F.col(content).alias("_text"), language_of(F.col(path)).alias("language")).where("language is not null and _text is not null")
-    f = f.withColumn("_lines", F.split(F.translate("_text", "\r", ""), "\n")).withColumn("_head", leading_comment(F.col("_text")))
-    notes = F.concat(F.filter(F.split("_head", "\n"), lambda x: ~x.rlike(MENTION)), closing_comment(F.col("_lines")))
-    f = f.select("*", *[column.alias(f"_{name}") for name, column in layout_statistics(F.col("_text"), F.col("_lines"), _limit).items()])
+    f = f.withColumn("_lines", F.split("_text", "\n")).withColumn("_head", leading_comment(F.col("_text")))
+    notes = F.concat(F.filter(F.split("_head", "\n"), lambda x: ~x.rlike(MENTION)), closing_comment(F.col("_text"), F.col("_lines")))
+    f = f.select("*", *[column.alias(f"_{name}") for name, column in layout_statistics(F.col("_text"), F.col("_lines")).items()])
     c = lambda name: F.col(f"_{name}")
     said = lambda column: F.coalesce(column, F.lit(False))
     long_lines = (c("long_share") >= _limit("long_share")) | (c("max_line") >= _limit("longest"))
@@ -159,7 +164,7 @@ def not_handwritten(files: DataFrame, file_id: str = "file_id", path: str = "pat
         | (c("rows") >= _limit("least_rows")) & (c("rows") >= _limit("rows") * c("n_lines"))
         | long_lines & (c("space") > _limit("dense_space")) & (c("numbers") >= 0.2 * c("words")) & (c("words") > 0)
     ) | listed
-    dense = (c("space") <= _limit("dense_space")) & ((c("mean_line") >= _limit("dense_mean")) | long_lines)
+    dense = said((c("space") <= _limit("dense_space")) & ((c("mean_line") >= _limit("dense_mean")) | long_lines))
     packed = (c("alnum") <= _limit("packed")) & (c("mean_line") >= _limit("packed_mean"))
     minified = said(F.col("_text").rlike(PACKED) | dense & ~encoded & ~listed | packed)
     endless = (c("max_line") >= _limit("longest")) & (c("space") <= _limit("code_space"))
