@@ -82,30 +82,36 @@ def temporal(changed: DataFrame, pairs: DataFrame, edges: DataFrame, follow: Dat
         zero("change_order_count"), zero("propagation_frequency"), zero("followup_frequency"), zero("historical_rework_frequency"))
 
 
-def dataset(changed: DataFrame, known: DataFrame, window: int = MONTH) -> DataFrame:
+#: Parts of a repository's known files, so that its commits and files do not meet on one key.
+PARTS = 32
+
+
+def dataset(changed: DataFrame, known: DataFrame, window: int = MONTH, times: bool = False) -> DataFrame:
     """(repo, sha, ts, path, label, six features): every commit's changed files (1) and the known files it left alone (0).
 
     known (repo, path) are the files with structural features. A file is known at a
     commit if it changed strictly before. Features are the state strictly before the
     commit's time, from one running state per file: changes and commits are laid on
-    one time line per file and the last state is carried forward.
+    one time line per file and the last state is carried forward. With times also
+    first_ts, last_ts and week_changes, of the changes before and of those at most a week before.
     """
-    c = changed.where("ts is not null").join(known.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
-    states = after(changed, window).join(known.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
-    first = c.groupBy("repo", "path").agg(F.min("ts").alias("first_ts"))
-    commits = changed.where("ts is not null").select("repo", "sha", "ts").distinct()
-    negatives = commits.join(first, "repo").where("first_ts < ts").select("repo", "sha", "ts", "path").join(c.select("repo", "sha", "path").distinct(), ["repo", "sha", "path"], "left_anti").withColumn("label", F.lit(0))
-    positives = c.select("repo", "sha", "ts", "path").distinct().withColumn("label", F.lit(1))
-    ask = positives.unionByName(negatives)
-    names = ["previous_change_count", "historical_churn", "contributor_count", "last_ts", "historical_cochange_frequency"]
+    paths = known.select("repo", "path").distinct()
+    c = changed.where("ts is not null").join(paths, ["repo", "path"], "left_semi")
+    states = after(changed, window).join(paths, ["repo", "path"], "left_semi")
+    first = c.groupBy("repo", "path").agg(F.min("ts").alias("first_ts")).withColumn("part", F.pmod(F.xxhash64("path"), F.lit(PARTS)).cast("int"))
+    commits = changed.where("ts is not null").select("repo", "sha", "ts").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    left_alone = commits.join(first, ["repo", "part"]).where("first_ts < ts").select("repo", "sha", "ts", "path", F.lit(0).alias("label"))
+    ask = c.select("repo", "sha", "ts", "path", F.lit(1).alias("label")).unionByName(left_alone).groupBy("repo", "path", "sha", "ts").agg(F.max("label").alias("label"))
+    names = ["previous_change_count", "historical_churn", "contributor_count", "first_ts", "last_ts", "historical_cochange_frequency"]
     both = states.select("repo", "path", "ts", F.lit(None).cast("string").alias("sha"), F.lit(None).cast("int").alias("label"), F.struct("ts", *names).alias("s"), "n_changes").unionByName(
         ask.select("repo", "path", "ts", "sha", "label", F.lit(None).cast(f"struct<ts:bigint,{','.join(n + ':bigint' for n in names)}>").alias("s"), F.lit(0).cast("bigint").alias("n_changes")))
     line = Window.partitionBy("repo", "path").orderBy("ts")
     state = F.max("s").over(line.rangeBetween(Window.unboundedPreceding, -1))
-    recent = F.coalesce(F.sum("n_changes").over(line.rangeBetween(-window, -1)), F.lit(0))
-    got = both.select("repo", "sha", "ts", "path", "label", state.alias("s"), recent.alias("r")).where("label is not null")
+    recent = lambda secs: F.coalesce(F.sum("n_changes").over(line.rangeBetween(-secs, -1)), F.lit(0))
+    got = both.select("repo", "sha", "ts", "path", "label", state.alias("s"), recent(window).alias("r"), *([recent(WEEK).alias("week_changes")] if times else [])).where("label is not null")
     zero = lambda n: F.coalesce(F.col(f"s.{n}"), F.lit(0)).alias(n)
-    return got.select("repo", "sha", "ts", "path", "label", *[zero(n) for n in names if n != "last_ts"], (F.col("ts") - F.col("s.last_ts")).alias("time_since_last_change_secs"), (F.col("r") / float(window)).alias("recent_change_frequency"))
+    more = ["s.first_ts", "s.last_ts", "week_changes"] if times else []
+    return got.select("repo", "sha", "ts", "path", "label", *[zero(n) for n in names if n not in ("first_ts", "last_ts")], (F.col("ts") - F.col("s.last_ts")).alias("time_since_last_change_secs"), (F.col("r") / float(window)).alias("recent_change_frequency"), *more)
 
 
 def after(changed: DataFrame, window: int = MONTH) -> DataFrame:
@@ -118,7 +124,7 @@ def after(changed: DataFrame, window: int = MONTH) -> DataFrame:
     line = Window.partitionBy("repo", "path").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = lambda x: F.coalesce(F.sum(x).over(line), F.lit(0)).cast("bigint")
     return at.join(seen, ["repo", "path", "ts"], "left").select(
-        "repo", "path", "ts", "n_changes", total("n_changes").alias("previous_change_count"), total("n_churn").alias("historical_churn"), total("n_who").alias("contributor_count"), F.col("ts").alias("last_ts"), total("n_pairs").alias("historical_cochange_frequency"))
+        "repo", "path", "ts", "n_changes", total("n_changes").alias("previous_change_count"), total("n_churn").alias("historical_churn"), total("n_who").alias("contributor_count"), F.min("ts").over(line).alias("first_ts"), F.col("ts").alias("last_ts"), total("n_pairs").alias("historical_cochange_frequency"))
 
 
 __all__ = ["after", "change_counts", "cochange", "dataset", "file_times", "prefix", "snapshot", "temporal"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import paths, text
 from tidemark.operators import dependencies as dep
-from tidemark.operators import features, scoring, structure
+from tidemark.operators import features, prefix, scoring, structure
 from tidemark.operators import history as h
 from tidemark.sources.history import BASE_SQL, IGNORED_SQL, changes, commit_files, load, table
 
@@ -131,6 +131,19 @@ def _temporal_features(w: World) -> DataFrame:
     return features.temporal(w.changes, w.temporal_top, w.propagation_top, follow, again)
 
 
+def _measured(w: World) -> DataFrame:
+    """The structural features that need no parser, of every latest source in a known language."""
+    zero = lambda c, name: F.coalesce(F.col(c), F.lit(0)).alias(name)
+    s = w.sources.where(paths.language(F.col("path")).isNotNull() & F.col("content").isNotNull()).select("repo", "path", F.octet_length("content").cast("bigint").alias("file_size_bytes"), text.line_count(F.col("content")).cast("bigint").alias("lines_of_code"))
+    return s.join(w.metrics, ["repo", "path"], "left").select("repo", "path", "file_size_bytes", "lines_of_code", zero("incoming", "incoming_dependencies"), zero("outgoing", "outgoing_dependencies"), zero("coupling", "coupling"), zero("incoming", "num_dependents"))
+
+
+def _temporal_prefix(w: World) -> DataFrame:
+    """The frequencies of temporal features as they were strictly before each commit."""
+    times = w.changes.where("ts is not null").select("repo", F.col("ts").alias("t")).distinct()
+    return prefix.temporal_features(w.commit_files, w.changes, w.edges, times)
+
+
 def _first(df: DataFrame, n: int, *order) -> DataFrame:
     return h.top(df, n, *order)
 
@@ -171,6 +184,9 @@ QUERIES = {
     "historical_features_prefix": q(lambda w: features.prefix(w.changes)),
     "file_times": q(lambda w: features.file_times(w.changes)),
     "temporal_features": q(_temporal_features),
+    "dataset_rows_full": q(lambda w: prefix.full_dataset(w.commit_files, w.changes, w.edges, w.structural)),
+    "dataset_rows_prefix": q(lambda w: prefix.full_dataset(w.commit_files, w.changes, w.edges, _measured(w))),
+    "temporal_features_prefix": q(_temporal_prefix),
     "dataset_rows_built": q(lambda w: features.dataset(w.changes, w.changes.select("repo", "path"))),
 }
 
@@ -289,6 +305,29 @@ size AS (SELECT repo, sha, count(*) AS n FROM ch GROUP BY repo, sha),
 pre AS (SELECT k.repo, k.path, k.ts, count(o.path) AS previous_change_count, coalesce(sum(o.additions + o.deletions), 0)::BIGINT AS historical_churn, count(DISTINCT o.who) AS contributor_count, k.ts - max(o.ts) AS time_since_last_change_secs,
     count(*) FILTER (WHERE o.ts >= k.ts - {h.MONTH}) / {h.MONTH}.0::DOUBLE AS recent_change_frequency, coalesce(sum(o.n - 1), 0)::BIGINT AS historical_cochange_frequency
   FROM {{keys}} k LEFT JOIN (SELECT ch.*, size.n FROM ch JOIN size USING (repo, sha)) o ON o.repo = k.repo AND o.path = k.path AND o.ts < k.ts GROUP BY k.repo, k.path, k.ts)"""
+REWORK_PAIRS = TEMPORAL.format(w=h.TWO_WEEKS).replace("cpw AS", "cpr AS")
+# what was strictly before each time, list by list: everything seen by a time is counted for it again
+LISTS = f"""
+tm AS (SELECT DISTINCT repo, ts AS t FROM ch WHERE ts IS NOT NULL),
+td AS (SELECT repo, r_ts AS seen, source, target, count(*) AS n FROM (SELECT repo, r_ts, source, unnest(r_files) AS target FROM (SELECT repo, r_ts, unnest(l_files) AS source, r_files FROM cpw)) WHERE source <> target GROUP BY ALL),
+tq AS (SELECT tm.repo, t, source, target, sum(n)::BIGINT AS total FROM tm JOIN td ON td.repo = tm.repo AND td.seen < tm.t GROUP BY tm.repo, t, source, target QUALIFY row_number() OVER (PARTITION BY tm.repo, t ORDER BY sum(n) DESC, source, target) <= 50),
+cd AS (SELECT a.repo, a.ts AS seen, least(a.path, b.path) AS source, greatest(a.path, b.path) AS target, count(*) AS n FROM ch a JOIN ch b ON a.repo = b.repo AND a.sha = b.sha AND a.pos < b.pos WHERE a.ts IS NOT NULL GROUP BY ALL),
+pq AS (SELECT repo, t, source, target, sum(n)::BIGINT AS strength FROM (
+    SELECT tm.repo, t, source, target, n FROM tm JOIN cd ON cd.repo = tm.repo AND cd.seen < tm.t
+    UNION ALL SELECT tm.repo, t, source, target, 1 FROM tm JOIN edges USING (repo) WHERE source <> target AND NOT starts_with(target, '$')
+    UNION ALL SELECT repo, t, source, target, total FROM tq) GROUP BY repo, t, source, target QUALIFY row_number() OVER (PARTITION BY repo, t ORDER BY sum(n) DESC, source, target) <= 100),
+since AS (SELECT repo, a, b, min(seen) AS since FROM (SELECT repo, source AS a, target AS b, seen FROM cd UNION ALL SELECT repo, target, source, seen FROM cd UNION ALL SELECT repo, a, b, -1 FROM uses) GROUP BY ALL),
+lk AS (SELECT x.repo, l_sha, r_sha, min(since) AS linked FROM (SELECT repo, l_sha, r_sha, a, unnest(r_files) AS b FROM (SELECT repo, l_sha, r_sha, unnest(l_files) AS a, r_files FROM cpr)) x JOIN since USING (repo, a, b) GROUP BY ALL),
+cl AS (SELECT cpr.*, {FIX.format(m='r_message')} AS fix, len(list_intersect(l_files, r_files)) > 0 AS overlap, linked FROM cpr LEFT JOIN lk USING (repo, l_sha, r_sha)),
+fv AS (SELECT *, CASE WHEN overlap OR fix THEN r_ts ELSE greatest(r_ts, linked) END AS seen FROM cl WHERE delay <= {h.WEEK} AND (overlap OR fix OR linked IS NOT NULL)),
+fl AS (SELECT tm.repo, t, list_distinct(list_concat(l_files, r_files)) AS files FROM tm JOIN fv ON fv.repo = tm.repo AND fv.seen < tm.t QUALIFY row_number() OVER (PARTITION BY tm.repo, t ORDER BY delay, l_sha, r_sha) <= 100),
+rv AS (SELECT repo, r_ts AS seen, delay, unnest(list_intersect(l_files, r_files)) AS file, l_sha, r_sha FROM cl WHERE overlap
+    UNION ALL SELECT repo, greatest(r_ts, linked), delay, r_files[1], l_sha, r_sha FROM cl WHERE NOT overlap AND fix AND linked IS NOT NULL),
+rl AS (SELECT tm.repo, t, file FROM tm JOIN rv ON rv.repo = tm.repo AND rv.seen < tm.t QUALIFY row_number() OVER (PARTITION BY tm.repo, t ORDER BY delay, file, l_sha, r_sha) <= 100),
+lists AS (SELECT repo, t, path, sum(a)::BIGINT AS recent_change_sequence_count, sum(b)::BIGINT AS propagation_frequency, sum(c)::BIGINT AS followup_frequency, sum(d)::BIGINT AS historical_rework_frequency FROM (
+    SELECT repo, t, source AS path, total AS a, 0 AS b, 0 AS c, 0 AS d FROM tq UNION ALL SELECT repo, t, target, 0, 0, 0, 0 FROM tq
+    UNION ALL SELECT repo, t, source, 0, strength, 0, 0 FROM pq UNION ALL SELECT repo, t, target, 0, strength, 0, 0 FROM pq
+    UNION ALL SELECT repo, t, unnest(files), 0, 0, 1, 0 FROM fl UNION ALL SELECT repo, t, file, 0, 0, 0, 1 FROM rl) GROUP BY ALL)"""
 FOLLOW_COLUMNS = "repo, source_sha, followup_sha, delay_seconds, reason, evidence_type"
 FOLLOW_TOP = "(SELECT * FROM followups QUALIFY row_number() OVER (PARTITION BY repo ORDER BY delay_seconds, source_sha, followup_sha) <= 100)"
 REWORK_TOP = "(SELECT * FROM rework QUALIFY row_number() OVER (PARTITION BY repo ORDER BY delay_seconds, file, initial_sha, rework_sha) <= 100)"
@@ -347,6 +386,22 @@ ORACLES = {
       fq AS (SELECT repo, path, count(*) AS n FROM (SELECT repo, unnest(list_distinct(list_concat(source_files, followup_files))) AS path FROM {FOLLOW_TOP}) GROUP BY 1, 2),
       rq AS (SELECT repo, file AS path, count(*) AS n FROM {REWORK_TOP} GROUP BY 1, 2),
       k AS (SELECT repo, source AS path FROM tp50 UNION SELECT repo, target FROM tp50 UNION SELECT repo, path FROM p UNION SELECT repo, path FROM fq UNION SELECT repo, path FROM rq)"""),
+    "temporal_features_prefix": sql("SELECT * FROM lists", PAIRS, TEMPORAL.format(w=h.WEEK), EDGES, LINKS, REWORK_PAIRS, LISTS),
+    "dataset_rows_prefix": sql(f"""SELECT a.repo, a.sha, a.ts, a.path, a.label, ms.* EXCLUDE (repo, path), pre.* EXCLUDE (repo, path, ts), coalesce(l.recent_change_sequence_count, 0) AS recent_change_sequence_count,
+      CASE WHEN l.path IS NULL THEN 0 ELSE n_files - CASE WHEN previous_change_count > 0 THEN 1 ELSE 0 END END AS previous_files_changed_count, CASE WHEN l.path IS NULL THEN 0 ELSE week_changes END AS change_window_count,
+      CASE WHEN l.path IS NOT NULL AND previous_change_count > 1 THEN (last_ts - first_ts) // (previous_change_count - 1) END AS avg_change_delay_seconds, CASE WHEN l.path IS NULL THEN 0 ELSE coalesce(tt.change_order_count, 0) END AS change_order_count,
+      coalesce(l.propagation_frequency, 0) AS propagation_frequency, coalesce(l.followup_frequency, 0) AS followup_frequency, coalesce(l.historical_rework_frequency, 0) AS historical_rework_frequency
+      FROM a JOIN ms USING (repo, path) JOIN pre ON pre.repo = a.repo AND pre.path = a.path AND pre.ts = a.ts JOIN st ON st.repo = a.repo AND st.path = a.path AND st.ts = a.ts
+      JOIN nf ON nf.repo = a.repo AND nf.t = a.ts LEFT JOIN lists l ON l.repo = a.repo AND l.t = a.ts AND l.path = a.path LEFT JOIN tt ON tt.repo = a.repo AND tt.ts = st.last_ts""",
+        PAIRS, TEMPORAL.format(w=h.WEEK), EDGES, LINKS, REWORK_PAIRS, LISTS, FILE_TIMES, f"""
+        ms AS (SELECT src.repo, src.path, octet_length(encode(content))::BIGINT AS file_size_bytes, ({LINES.format(t='content')})::BIGINT AS lines_of_code, coalesce(incoming, 0) AS incoming_dependencies, coalesce(outgoing, 0) AS outgoing_dependencies, coalesce(coupling, 0) AS coupling, coalesce(incoming, 0) AS num_dependents
+          FROM src LEFT JOIN dm USING (repo, path) WHERE {_lang('path')} IS NOT NULL),
+        pos AS (SELECT DISTINCT ch.repo, sha, ts, ch.path FROM ch JOIN ms USING (repo, path) WHERE ts IS NOT NULL),
+        fs AS (SELECT repo, path, min(ts) AS first_ts FROM pos GROUP BY 1, 2),
+        a AS (SELECT *, 1 AS label FROM pos UNION ALL SELECT t.repo, t.sha, t.ts, fs.path, 0 FROM (SELECT DISTINCT repo, sha, ts FROM ch WHERE ts IS NOT NULL) t JOIN fs ON fs.repo = t.repo AND fs.first_ts < t.ts
+          WHERE NOT EXISTS (SELECT 1 FROM pos WHERE pos.repo = t.repo AND pos.sha = t.sha AND pos.path = fs.path)),
+        st AS (SELECT k.repo, k.path, k.ts, min(o.ts) AS first_ts, max(o.ts) AS last_ts, count(*) FILTER (WHERE o.ts >= k.ts - {h.WEEK}) AS week_changes FROM (SELECT DISTINCT repo, path, ts FROM a) k LEFT JOIN ch o ON o.repo = k.repo AND o.path = k.path AND o.ts < k.ts GROUP BY 1, 2, 3),
+        nf AS (SELECT tm.repo, tm.t, count(DISTINCT path) AS n_files FROM tm LEFT JOIN ch ON ch.repo = tm.repo AND ch.ts < tm.t GROUP BY 1, 2)""", BEFORE.format(keys="(SELECT DISTINCT repo, path, ts FROM a)")),
     "dataset_rows_built": sql("""SELECT a.repo, a.sha, a.ts, a.path, a.label, pre.* EXCLUDE (repo, path, ts) FROM a JOIN pre ON pre.repo = a.repo AND pre.path = a.path AND pre.ts = a.ts""",
         """fs AS (SELECT repo, path, min(ts) AS first_ts FROM ch WHERE ts IS NOT NULL GROUP BY 1, 2),
         pos AS (SELECT DISTINCT repo, sha, ts, path FROM ch WHERE ts IS NOT NULL),
