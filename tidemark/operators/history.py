@@ -50,8 +50,8 @@ def change_counts(changed: DataFrame) -> DataFrame:
     return changed.groupBy("repo", "path").agg(F.count_distinct("sha").alias("changes"))
 
 
-def within(left: DataFrame, right: DataFrame, window: int, strict: bool = False) -> DataFrame:
-    """Pairs (l_..., r_...) of one repo with r after l by at most ``window`` seconds.
+def within(left: DataFrame, right: DataFrame, window: int, strict: bool = False, on: tuple[str, ...] = ("repo",)) -> DataFrame:
+    """Pairs (l_..., r_...) of one repo (or equal in all of ``on``) with r after l by at most ``window`` seconds.
 
     Both carry repo, ts, sha. "After" is the order of (ts, sha); with strict the time
     has to differ. Times fall into slots of one window, a right row is offered to its
@@ -64,8 +64,10 @@ def within(left: DataFrame, right: DataFrame, window: int, strict: bool = False)
     after = F.col("r_ts") > F.col("l_ts")
     if not strict:
         after = after | (F.col("r_ts") == F.col("l_ts")) & (F.col("r_sha") > F.col("l_sha"))
-    on = (F.col("l_repo") == F.col("r_repo")) & (l["slot"] == r["slot"]) & after & (F.col("r_ts") - F.col("l_ts") <= window)
-    return l.join(r, on).drop("slot").withColumn("delay", F.col("r_ts") - F.col("l_ts"))
+    near = (l["slot"] == r["slot"]) & after & (F.col("r_ts") - F.col("l_ts") <= window)
+    for c in on:
+        near = (F.col(f"l_{c}") == F.col(f"r_{c}")) & near
+    return l.join(r, near).drop("slot").withColumn("delay", F.col("r_ts") - F.col("l_ts"))
 
 
 def temporal_pairs(commits: DataFrame, window: int = WEEK) -> DataFrame:
@@ -131,38 +133,76 @@ def links(pairs: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both(pairs, "file_a", "file_b"), both(edges, "source", "target")
 
 
-def _linked(pairs: DataFrame, linked: DataFrame) -> DataFrame:
-    """(l_sha, r_sha, repo) of commit pairs with a linked pair of files."""
-    flat = pairs.select("repo", "l_sha", "r_sha", F.explode("l_files").alias("a"), "r_files").select("repo", "l_sha", "r_sha", "a", F.explode("r_files").alias("b"))
-    return flat.join(linked, ["repo", "a", "b"], "left_semi").select("repo", "l_sha", "r_sha").distinct()
+def files_of(commits: DataFrame, *more: str) -> DataFrame:
+    """(repo, sha, ts, path, more) of the commits with a time, a row for each file."""
+    return commits.where("ts is not null").select("repo", "sha", "ts", F.explode("files").alias("path"), *more)
 
 
-def commit_pairs(commits: DataFrame, window: int) -> DataFrame:
-    c = commits.where((F.col("ts").isNotNull()) & (F.size("files") > 0)).select("repo", "sha", "ts", "message", "files")
-    return within(c, c, window).select(
-        F.col("l_repo").alias("repo"), "l_sha", "r_sha", "l_files", "r_files", "delay", text.is_fix(F.col("r_message")).alias("fix"), text.is_revert(F.col("r_message")).alias("revert"),
-        F.arrays_overlap("l_files", "r_files").alias("overlap"))
+def same_file_pairs(commits: DataFrame, window: int, *more: str) -> DataFrame:
+    """(repo, file, l_sha, r_sha, r_ts, delay, r_more): a row for each file that two commits in order and in the window share."""
+    c = commits.select("repo", "sha", "ts", "files", *more)
+    p = within(files_of(c), files_of(c, *more), window, on=("repo", "path"))
+    return p.select(F.col("l_repo").alias("repo"), F.col("l_path").alias("file"), "l_sha", "r_sha", "r_ts", "delay", *[f"r_{m}" for m in more])
 
 
-def followups(commits: DataFrame, pairs: DataFrame, edges: DataFrame, window: int = WEEK) -> DataFrame:
-    """(repo, source_sha, followup_sha, delay_seconds, reason, evidence_type): later commits in the window that follow an earlier one up.
+def linked_pairs(commits: DataFrame, linked: DataFrame, marks: dict, window: int, later: DataFrame | None = None) -> DataFrame:
+    """(repo, l_sha, r_sha, r_ts, delay, marks): commits in order and in the window some of whose files are linked.
 
-    reason, the first that holds: same-file-fix, same-file, co-change-history,
-    dependency, fix-message; other pairs give no row. Only pairs without a common file
-    are looked up among the links.
+    linked (repo, a, b, marks); marks are joined by the aggregates given. What a commit reaches over links is made
+    once for each commit, not for each pair, and meets the later commits' files by an
+    equi-join: only linked pairs ever meet. ``later`` are the later commits asked for.
     """
-    p = commit_pairs(commits, window)
+    reach = files_of(commits).join(linked.withColumnRenamed("a", "path"), ["repo", "path"]).groupBy("repo", "sha", "ts", F.col("b").alias("path")).agg(*[f(m).alias(m) for m, f in marks.items()])
+    hits = within(reach, files_of(commits if later is None else later), window, on=("repo", "path"))
+    return hits.groupBy(F.col("l_repo").alias("repo"), "l_sha", "r_sha").agg(F.max("r_ts").alias("r_ts"), F.max("delay").alias("delay"), *[f(f"l_{m}").alias(m) for m, f in marks.items()])
+
+
+def with_flags(commits: DataFrame) -> DataFrame:
+    """Commits with a time and files, and whether their message speaks of a fix or a revert."""
+    return commits.where(F.col("ts").isNotNull() & (F.size("files") > 0)).select("repo", "sha", "ts", "files", text.is_fix(F.col("message")).alias("fix"), text.is_revert(F.col("message")).alias("revert"))
+
+
+def fix_pairs(flagged: DataFrame, window: int) -> DataFrame:
+    """(repo, l_sha, r_sha, r_ts, delay): commits in order and in the window of which the later one is a fix."""
+    c = flagged.select("repo", "sha", "ts")
+    return within(c, flagged.where("fix").select("repo", "sha", "ts"), window).select(F.col("l_repo").alias("repo"), "l_sha", "r_sha", "r_ts", "delay")
+
+
+def both_links(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo, a, b, co, dep): files that changed together and files that depend on each other, both ways."""
     near, uses = links(pairs, edges)
-    apart = p.where("not overlap")
-    co = _linked(apart, near).withColumn("co", F.lit(True))
-    dep = _linked(apart, uses).withColumn("dep", F.lit(True))
-    key = ["repo", "l_sha", "r_sha"]
-    p = p.join(co, key, "left").join(dep, key, "left")
+    no, yes = F.lit(False), F.lit(True)
+    return near.select("repo", "a", "b", yes.alias("co"), no.alias("dep")).unionByName(uses.select("repo", "a", "b", no.alias("co"), yes.alias("dep"))).groupBy("repo", "a", "b").agg(F.max("co").alias("co"), F.max("dep").alias("dep"))
+
+
+def followups(commits: DataFrame, pairs: DataFrame, edges: DataFrame, window: int = WEEK, files: bool = True) -> DataFrame:
+    """(repo, source_sha, followup_sha, delay_seconds, reason, evidence_type, source_files, followup_files): later commits in the window that follow an earlier one up.
+
+    reason, the first that holds: same-file-fix, same-file, co-change-history,
+    dependency, fix-message; other pairs give no row. Pairs come from what makes them a
+    row - a common file, a link, a fix - so commits without any never meet. Without
+    ``files`` the last two columns are left out.
+    """
+    c = with_flags(commits)
+    no, yes = F.lit(False), F.lit(True)
+    key = ["repo", "l_sha", "r_sha", "delay"]
+    flags = lambda **on: [on.get(f, no).alias(f) for f in ("overlap", "co", "dep", "fix")]
+    every = same_file_pairs(c, window).select(*key, *flags(overlap=yes))
+    every = every.unionByName(linked_pairs(c, both_links(pairs, edges), {"co": F.max, "dep": F.max}, window).select(*key, *flags(co=F.col("co"), dep=F.col("dep"))))
+    every = every.unionByName(fix_pairs(c, window).select(*key, *flags(fix=yes)))
+    p = every.groupBy(*key).agg(*[F.max(f).alias(f) for f in ("overlap", "co", "dep", "fix")])
     reason = (
         F.when(F.col("overlap") & F.col("fix"), "same-file-fix").when(F.col("overlap"), "same-file").when(F.col("co"), "co-change-history")
         .when(F.col("dep"), "dependency").when(F.col("fix"), "fix-message"))
-    return p.select("repo", F.col("l_sha").alias("source_sha"), F.col("r_sha").alias("followup_sha"), F.col("l_files").alias("source_files"), F.col("r_files").alias("followup_files"), F.col("delay").alias("delay_seconds"), reason.alias("reason"),
-        F.when(F.col("overlap"), "observed").otherwise("derived").alias("evidence_type")).where("reason is not null")
+    out = p.select("repo", F.col("l_sha").alias("source_sha"), F.col("r_sha").alias("followup_sha"), F.col("delay").alias("delay_seconds"), reason.alias("reason"), F.when(F.col("overlap"), "observed").otherwise("derived").alias("evidence_type"))
+    return with_files(out, commits, source_sha="source_files", followup_sha="followup_files") if files else out
+
+
+def with_files(pairs: DataFrame, commits: DataFrame, **names: str) -> DataFrame:
+    """Pairs with the files of the commits that their columns name."""
+    for sha, name in names.items():
+        pairs = pairs.join(commits.select("repo", F.col("sha").alias(sha), F.col("files").alias(name)), ["repo", sha])
+    return pairs
 
 
 def rework(commits: DataFrame, pairs: DataFrame, edges: DataFrame, window: int = TWO_WEEKS) -> DataFrame:
@@ -172,13 +212,13 @@ def rework(commits: DataFrame, pairs: DataFrame, edges: DataFrame, window: int =
     related-fix (once, for the later commit's first file) where a fix shares no file
     but a link.
     """
-    p = commit_pairs(commits, window)
-    rule = F.when(F.col("revert"), "revert").when(F.col("fix"), "fix-message").otherwise("repeated-touch")
-    same = p.where("overlap").select("repo", F.explode(F.array_intersect("l_files", "r_files")).alias("file"), "l_sha", "r_sha", "delay", rule.alias("rule"), F.lit("").alias("near"))
-    apart = p.where("not overlap and fix")
-    near, uses = links(pairs, edges)
-    hit = _linked(apart, near.unionByName(uses).distinct())
-    related = apart.join(hit, ["repo", "l_sha", "r_sha"], "left_semi").select("repo", F.col("r_files")[0].alias("file"), "l_sha", "r_sha", "delay", F.lit("related-fix").alias("rule"), text.first_sorted(F.col("l_files")).alias("near"))
+    c = with_flags(commits)
+    rule = F.when(F.col("r_revert"), "revert").when(F.col("r_fix"), "fix-message").otherwise("repeated-touch")
+    again = same_file_pairs(c, window, "fix", "revert")
+    same = again.select("repo", "file", "l_sha", "r_sha", "delay", rule.alias("rule"), F.lit("").alias("near"))
+    linked = linked_pairs(c, both_links(pairs, edges), {"dep": F.max}, window, c.where("fix")).join(again.where("r_fix").select("repo", "l_sha", "r_sha"), ["repo", "l_sha", "r_sha"], "left_anti")
+    related = with_files(linked, c, l_sha="l_files", r_sha="r_files").select("repo", F.col("r_files")[0].alias("file"), "l_sha", "r_sha", "delay", F.lit("related-fix").alias("rule"), text.first_sorted(F.col("l_files")).alias("near"))
+    # The wording of the evidence.
     evidence = F.when(F.col("rule") == "related-fix", F.format_string("candidate rework: %s (related to %s) changed with a fix message after %ds (%s -> %s) [rule: related-fix]", "file", "near", "delay", text.short_sha(F.col("l_sha")), text.short_sha(F.col("r_sha")))).otherwise(
         F.format_string("candidate rework: %s changed again after %ds (%s -> %s) [rule: %s]", "file", "delay", text.short_sha(F.col("l_sha")), text.short_sha(F.col("r_sha")), "rule"))
     return same.unionByName(related).select("repo", "file", F.col("l_sha").alias("initial_sha"), F.col("r_sha").alias("rework_sha"), F.col("delay").alias("delay_seconds"), "rule", evidence.alias("evidence"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import features
-from tidemark.operators.history import MONTH, TWO_WEEKS, WEEK, commit_pairs, links, within
+from tidemark.operators.history import MONTH, TWO_WEEKS, WEEK, fix_pairs, linked_pairs, links, same_file_pairs, with_files, with_flags, within
 from tidemark.session import cut
 
 #: Seconds of a span, and the time before all others.
@@ -86,17 +86,6 @@ def propagation_before(cochanged: DataFrame, edges: DataFrame, temporal: DataFra
     return every.withColumn("_r", F.row_number().over(Window.partitionBy("repo", "t").orderBy(F.desc("strength"), "source", "target"))).where(F.col("_r") <= k).drop("_r")
 
 
-def _visible(pairs: DataFrame, near: DataFrame, uses: DataFrame) -> DataFrame:
-    """(repo, l_sha, r_sha, linked): when two commits without a common file were first linked by some of their files.
-
-    near (repo, a, b, since) are files with the time they first changed together, both
-    ways; uses (repo, a, b) depend on each other at any time.
-    """
-    linked = near.unionByName(uses.withColumn("since", F.lit(EVER))).groupBy("repo", "a", "b").agg(F.min("since").alias("since"))
-    flat = pairs.select("repo", "l_sha", "r_sha", F.explode("l_files").alias("a"), "r_files").select("repo", "l_sha", "r_sha", "a", F.explode("r_files").alias("b"))
-    return flat.join(linked, ["repo", "a", "b"]).groupBy("repo", "l_sha", "r_sha").agg(F.min("since").alias("linked"))
-
-
 def followups_before(commits: DataFrame, cochanged: DataFrame, edges: DataFrame, times: DataFrame, k: int = 100, window: int = WEEK, again: int = TWO_WEEKS) -> tuple[DataFrame, DataFrame]:
     """The k quickest follow-ups (repo, t, files) and reworks (repo, t, file) that each time sees.
 
@@ -105,21 +94,20 @@ def followups_before(commits: DataFrame, cochanged: DataFrame, edges: DataFrame,
     """
     first = cochanged.groupBy("repo", "source", "target").agg(F.min("at").alias("since"))
     near = first.select("repo", F.col("source").alias("a"), F.col("target").alias("b"), "since").unionByName(first.select("repo", F.col("target").alias("a"), F.col("source").alias("b"), "since"))
-    uses = links(first.select("repo", F.col("source").alias("file_a"), F.col("target").alias("file_b")), edges)[1]
-    p = commit_pairs(commits, again).join(commits.select("repo", F.col("sha").alias("r_sha"), F.col("ts").alias("at")), ["repo", "r_sha"])
-    p = cut(p)
-    apart = p.where("not overlap")
-    seen = _visible(apart.where(f"fix or delay <= {window}"), near, uses)
-    p = p.join(seen, ["repo", "l_sha", "r_sha"], "left")
+    uses = links(first.select("repo", F.col("source").alias("file_a"), F.col("target").alias("file_b")), edges)[1].withColumn("since", F.lit(EVER))
+    linked = near.unionByName(uses).groupBy("repo", "a", "b").agg(F.min("since").alias("since"))
+    c = with_flags(commits)
     never = F.lit(None).cast("bigint").alias("until")
-    when = F.when(F.col("overlap") | F.col("fix"), F.col("at")).otherwise(F.greatest("at", "linked"))
-    follow = p.where(F.col("delay") <= window).select("repo", when.alias("at"), never, "delay", "l_sha", "r_sha", F.array_distinct(F.concat("l_files", "r_files")).alias("files")).where(F.col("overlap") | F.col("fix") | F.col("linked").isNotNull())
-    same = p.where("overlap").select("repo", "at", never, "delay", F.explode(F.array_intersect("l_files", "r_files")).alias("file"), "l_sha", "r_sha")
-    related = p.where("not overlap and fix and linked is not null").select("repo", F.greatest("at", "linked").alias("at"), never, "delay", F.col("r_files")[0].alias("file"), "l_sha", "r_sha")
-    return (
-        best_before(follow, times, k, ["delay", "l_sha", "r_sha"], ["l_sha", "r_sha"]).select("repo", "t", "files"),
-        best_before(same.unionByName(related), times, k, ["delay", "file", "l_sha", "r_sha"], ["file", "l_sha", "r_sha"]).select("repo", "t", "file"),
-    )
+    pair = ["repo", "l_sha", "r_sha", "delay"]
+    shared = cut(same_file_pairs(c, again))
+    over_links = cut(linked_pairs(c, linked, {"since": F.min}, again).join(shared.select("repo", "l_sha", "r_sha"), ["repo", "l_sha", "r_sha"], "left_anti").withColumn("at", F.greatest("r_ts", "since")))
+    seen = shared.select(*pair, F.col("r_ts").alias("at")).unionByName(over_links.select(*pair, "at")).unionByName(fix_pairs(c, window).select(*pair, F.col("r_ts").alias("at"))).where(F.col("delay") <= window)
+    follow = best_before(seen.groupBy(*pair).agg(F.min("at").alias("at")).withColumn("until", never), times, k, ["delay", "l_sha", "r_sha"], ["l_sha", "r_sha"])
+    files = with_files(follow, c, l_sha="l_files", r_sha="r_files").select("repo", "t", F.array_distinct(F.concat("l_files", "r_files")).alias("files"))
+    same = shared.select("repo", F.col("r_ts").alias("at"), never, "delay", "file", "l_sha", "r_sha")
+    fixes = c.where("fix").select("repo", F.col("sha").alias("r_sha"), F.col("files")[0].alias("file"))
+    related = over_links.join(fixes, ["repo", "r_sha"]).select("repo", "at", never, "delay", "file", "l_sha", "r_sha")
+    return files, best_before(same.unionByName(related), times, k, ["delay", "file", "l_sha", "r_sha"], ["file", "l_sha", "r_sha"]).select("repo", "t", "file")
 
 
 def places(times: DataFrame) -> DataFrame:

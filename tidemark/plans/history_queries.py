@@ -67,6 +67,9 @@ class World:
     def _make_followups(self):
         return h.followups(self.commit_files, self.pairs, self.edges)
 
+    def _make_followups_bare(self):
+        return h.followups(self.commit_files, self.pairs, self.edges, files=False)
+
     def _make_rework(self):
         return h.rework(self.commit_files, self.pairs, self.edges)
 
@@ -168,9 +171,9 @@ QUERIES = {
     "sequences": q(lambda w: _joined(w.sequences, "files")),
     "sequences_top50": q(lambda w: _joined(_first(w.sequences, 50, F.desc("occurrences"), F.col("avg_delay_seconds"), F.col("files")), "files")),
     "timeline_last300": q(lambda w: _joined(h.timeline(w.commit_files).select("repo", "sha", "ts", "message", "files", F.col("from_end").cast("bigint").alias("from_end")), "files")),
-    "followups": q(lambda w: w.followups.select("repo", "source_sha", "followup_sha", "delay_seconds", "reason", "evidence_type")),
-    "followups_top100": q(lambda w: _first(w.followups, 100, F.col("delay_seconds"), F.col("source_sha"), F.col("followup_sha")).select("repo", "source_sha", "followup_sha", "delay_seconds", "reason", "evidence_type")),
-    "followup_reasons": q(lambda w: w.followups.groupBy("repo", "reason").agg(F.count(F.lit(1)).alias("n"))),
+    "followups": q(lambda w: w.followups_bare.select("repo", "source_sha", "followup_sha", "delay_seconds", "reason", "evidence_type")),
+    "followups_top100": q(lambda w: _first(w.followups_bare, 100, F.col("delay_seconds"), F.col("source_sha"), F.col("followup_sha")).select("repo", "source_sha", "followup_sha", "delay_seconds", "reason", "evidence_type")),
+    "followup_reasons": q(lambda w: w.followups_bare.groupBy("repo", "reason").agg(F.count(F.lit(1)).alias("n"))),
     "rework_events": q(lambda w: w.rework),
     "rework_top100": q(lambda w: _first(w.rework, 100, F.col("delay_seconds"), F.col("file"), F.col("initial_sha"), F.col("rework_sha"))),
     "supporting_shas": q(_examples),
