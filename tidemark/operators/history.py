@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.session import cut
 
 WEEK = 604_800
 TWO_WEEKS = 1_209_600
@@ -145,16 +146,35 @@ def same_file_pairs(commits: DataFrame, window: int, *more: str) -> DataFrame:
     return p.select(F.col("l_repo").alias("repo"), F.col("l_path").alias("file"), "l_sha", "r_sha", "r_ts", "delay", *[f"r_{m}" for m in more])
 
 
+def _seed(names: DataFrame) -> int:
+    """A seed with which no two (repo, name) have one 64-bit hash."""
+    names = names.distinct()
+    for seed in range(16):
+        n, hashes = names.agg(F.count(F.lit(1)), F.count_distinct(F.xxhash64(F.lit(seed), "repo", "name"))).first()
+        if n == hashes:
+            return seed
+    raise ValueError("names collide with every seed")
+
+
 def linked_pairs(commits: DataFrame, linked: DataFrame, marks: dict, window: int, later: DataFrame | None = None) -> DataFrame:
-    """(repo, l_sha, r_sha, r_ts, delay, marks): commits in order and in the window some of whose files are linked.
+    """(repo, l_sha, r_sha, r_ts, delay, marks): commits in order and in the window that share no file but have linked ones.
 
-    linked (repo, a, b, marks); marks are joined by the aggregates given. What a commit reaches over links is made
-    once for each commit, not for each pair, and meets the later commits' files by an
-    equi-join: only linked pairs ever meet. ``later`` are the later commits asked for.
+    linked (repo, a, b, marks); marks are joined by the aggregates given; ``later`` are the later commits
+    asked for. Commits and files go by checked 64-bit hashes while their pairs meet the links, so a pair of
+    files is four numbers to move, and commits are counted once for each pair before that.
     """
-    reach = files_of(commits).join(linked.withColumnRenamed("a", "path"), ["repo", "path"]).groupBy("repo", "sha", "ts", F.col("b").alias("path")).agg(*[f(m).alias(m) for m, f in marks.items()])
-    hits = within(reach, files_of(commits if later is None else later), window, on=("repo", "path"))
-    return hits.groupBy(F.col("l_repo").alias("repo"), "l_sha", "r_sha").agg(F.max("r_ts").alias("r_ts"), F.max("delay").alias("delay"), *[f(f"l_{m}").alias(m) for m, f in marks.items()])
+    linked = cut(linked)
+    names = files_of(commits).select("repo", F.explode(F.array("sha", "path")).alias("name")).unionByName(linked.select("repo", F.col("a").alias("name")))
+    seed = F.lit(_seed(names))
+    number = lambda c: F.xxhash64(seed, "repo", c)
+    numbered = lambda c: c.where("ts is not null").select("repo", "sha", "ts", number("sha").alias("id"), F.transform("files", lambda f: F.xxhash64(seed, "repo", f)).alias("f"))
+    c = numbered(commits)
+    pairs = within(c, c if later is None else numbered(later), window).where(~F.arrays_overlap("l_f", "r_f"))
+    flat = pairs.select("l_id", "r_id", F.explode("l_f").alias("a"), "r_f").select("l_id", "r_id", "a", F.explode("r_f").alias("b"))
+    hits = flat.join(linked.select(number("a").alias("a"), number("b").alias("b"), *marks), ["a", "b"]).groupBy("l_id", "r_id").agg(*[f(m).alias(m) for m, f in marks.items()])
+    own = c.select("repo", "sha", "ts", "id")
+    return hits.join(own.select("repo", F.col("id").alias("l_id"), F.col("sha").alias("l_sha"), F.col("ts").alias("l_ts")), "l_id").join(own.select(F.col("id").alias("r_id"), F.col("sha").alias("r_sha"), F.col("ts").alias("r_ts")), "r_id").select(
+        "repo", "l_sha", "r_sha", "r_ts", (F.col("r_ts") - F.col("l_ts")).alias("delay"), *marks)
 
 
 def with_flags(commits: DataFrame) -> DataFrame:
@@ -216,7 +236,7 @@ def rework(commits: DataFrame, pairs: DataFrame, edges: DataFrame, window: int =
     rule = F.when(F.col("r_revert"), "revert").when(F.col("r_fix"), "fix-message").otherwise("repeated-touch")
     again = same_file_pairs(c, window, "fix", "revert")
     same = again.select("repo", "file", "l_sha", "r_sha", "delay", rule.alias("rule"), F.lit("").alias("near"))
-    linked = linked_pairs(c, both_links(pairs, edges), {"dep": F.max}, window, c.where("fix")).join(again.where("r_fix").select("repo", "l_sha", "r_sha"), ["repo", "l_sha", "r_sha"], "left_anti")
+    linked = linked_pairs(c, both_links(pairs, edges), {"dep": F.max}, window, c.where("fix"))
     related = with_files(linked, c, l_sha="l_files", r_sha="r_files").select("repo", F.col("r_files")[0].alias("file"), "l_sha", "r_sha", "delay", F.lit("related-fix").alias("rule"), text.first_sorted(F.col("l_files")).alias("near"))
     # The wording of the evidence.
     evidence = F.when(F.col("rule") == "related-fix", F.format_string("candidate rework: %s (related to %s) changed with a fix message after %ds (%s -> %s) [rule: related-fix]", "file", "near", "delay", text.short_sha(F.col("l_sha")), text.short_sha(F.col("r_sha")))).otherwise(

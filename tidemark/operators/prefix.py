@@ -100,7 +100,7 @@ def followups_before(commits: DataFrame, cochanged: DataFrame, edges: DataFrame,
     never = F.lit(None).cast("bigint").alias("until")
     pair = ["repo", "l_sha", "r_sha", "delay"]
     shared = cut(same_file_pairs(c, again))
-    over_links = cut(linked_pairs(c, linked, {"since": F.min}, again).join(shared.select("repo", "l_sha", "r_sha"), ["repo", "l_sha", "r_sha"], "left_anti").withColumn("at", F.greatest("r_ts", "since")))
+    over_links = cut(linked_pairs(c, linked, {"since": F.min}, again).withColumn("at", F.greatest("r_ts", "since")))
     seen = shared.select(*pair, F.col("r_ts").alias("at")).unionByName(over_links.select(*pair, "at")).unionByName(fix_pairs(c, window).select(*pair, F.col("r_ts").alias("at"))).where(F.col("delay") <= window)
     follow = best_before(seen.groupBy(*pair).agg(F.min("at").alias("at")).withColumn("until", never), times, k, ["delay", "l_sha", "r_sha"], ["l_sha", "r_sha"])
     files = with_files(follow, c, l_sha="l_files", r_sha="r_files").select("repo", "t", F.array_distinct(F.concat("l_files", "r_files")).alias("files"))

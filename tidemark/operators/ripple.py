@@ -32,9 +32,15 @@ def follows(commits: DataFrame, window: int = WEEK, recent: int = MONTH) -> Data
     """
     c = commits.where((F.col("ts").isNotNull()) & (F.size("files") > 0)).select("repo", "sha", "ts", "files")
     ref = c.groupBy("repo").agg(F.max("ts").alias("ref"))
-    p = within(c, c, window).select(F.col("l_repo").alias("repo"), "delay", "r_ts", F.explode("l_files").alias("source"), "r_files").select("repo", "delay", "r_ts", "source", F.explode("r_files").alias("target")).where("source <> target")
-    return p.join(F.broadcast(ref), "repo").groupBy("repo", "source", "target").agg(
-        F.count(F.lit(1)).alias("follow_count"), text.upper_median(F.collect_list("delay")).alias("median_follow_delay_seconds"), F.expr("sum(delay) div count(1)").alias("avg_follow_delay_seconds"), F.count_if(F.col("r_ts") >= F.col("ref") - recent).alias("recent_count"))
+    p = within(c, c, window).select(F.col("l_repo").alias("repo"), "delay", "r_ts", "l_files", "r_files").join(ref, "repo").withColumn("late", (F.col("r_ts") >= F.col("ref") - recent).cast("int"))
+    p = p.select("repo", "delay", "late", F.explode("l_files").alias("source"), "r_files").select("repo", "delay", "late", "source", F.explode("r_files").alias("target")).where("source <> target")
+    # one row for each delay of an edge, in the order of delays: the median is where half the occurrences are passed
+    edge = ["repo", "source", "target"]
+    each = p.repartition(*edge).groupBy(*edge, "delay").agg(F.count(F.lit(1)).alias("n"), F.sum("late").alias("late"))
+    line = Window.partitionBy(*edge).orderBy("delay")
+    each = each.withColumn("upto", F.sum("n").over(line)).withColumn("half", F.floor(F.sum("n").over(Window.partitionBy(*edge)) / 2))
+    return each.groupBy(*edge).agg(
+        F.sum("n").alias("follow_count"), F.min(F.when(F.col("upto") > F.col("half"), F.col("delay"))).alias("median_follow_delay_seconds"), F.expr("sum(delay * n) div sum(n)").alias("avg_follow_delay_seconds"), F.sum("late").alias("recent_count"))
 
 
 def edges(commits: DataFrame, changed: DataFrame, pairs: DataFrame, dependencies: DataFrame, weights: dict[str, float] | None = None, window: int = WEEK, recent: int = MONTH) -> DataFrame:
@@ -55,6 +61,7 @@ def edges(commits: DataFrame, changed: DataFrame, pairs: DataFrame, dependencies
     return e.withColumn("combined_score", F.least(score, F.lit(1.0))).drop("recent_count", "changes")
 
 
+# The wording of the reasons.
 def reasons(e: DataFrame):
     many = lambda c: F.when(F.col(c) == 1, "").otherwise("s")
     return F.array_compact(F.array(
