@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import evaluation, examples, prediction, ripple, rollups, scoring
+from tidemark.operators import evaluation, examples, explanations, forecasts, impact, prediction, ripple, rollups, scoring
 from tidemark.operators import history as h
-from tidemark.plans.analytics_queries import HOT, HOTSPOTS, LATEST, RIPPLE_PARTS, SCORED, STOP, USABLE, WORDS, _edges, _hotspots, _rounded, _rows, _scored, _usable
-from tidemark.plans.history_queries import EDGES, LINKS, PAIRS, PARENT, REWORK, SEQUENCES, TEMPORAL, TEMPORAL_PAIRS, World, q, sql
+from tidemark.plans.analytics_queries import ALL_ALIASES, HOT, HOTSPOTS, LATEST, M, NESTED, RIPPLE_PARTS, TECHS, ZS, SCORED, STOP, USABLE, WORDS, _edges, _files, _hotspots, _latest, _rounded, _rows, _scored, _scored_sql, _usable
+from tidemark.plans.history_queries import EDGES, KIND, LINKS, PAIRS, PARENT, REWORK, SEQUENCES, TEMPORAL, TEMPORAL_PAIRS, World, q, sql
 
 
 def _top_sequences(w: World, n: int) -> DataFrame:
@@ -48,7 +48,25 @@ def _drivers(w: World) -> DataFrame:
     return _rounded(rollups.drivers(_hotspots(w), spots, w.changes.select("repo", "path")), "complex_share", "hotspot_share", "connected_share")
 
 
+FORECAST_SCORES = ["precision_at_k", "recall_at_k", "f1_at_k", "directory_accuracy", "test_discovery_rate", "config_discovery_rate"]
+
+
+def _recommended(w: World) -> DataFrame:
+    related = explanations.related_file(examples.prediction_examples(w.commits), w.commits)
+    return explanations.recommendations(_latest(w), related, ["row_id"])
+
+
+def _edge_words(w: World) -> DataFrame:
+    e = _edges(w)
+    return e.select("repo", "source", "target", F.array_join(explanations.edge_evidence(e), " ").alias("evidence"))
+
+
 QUERIES = {
+    "evidence_by_direction": q(lambda w: _rounded(explanations.evidence_by_direction(_latest(w), ["row_id"]), "contribution")),
+    "explanation_summaries": q(lambda w: explanations.summaries(prediction.score(_latest(w)).withColumn("probability", F.round("probability", 9)), ["row_id"])),
+    "recommendations": q(_recommended),
+    "ripple_evidence": q(_edge_words),
+    "impact_evaluation": q(lambda w: _rounded(forecasts.evaluate(w.commit_files, w.changes, _files(w), w.edges), *FORECAST_SCORES)),
     "supporting_triples": q(_triples),
     "ripple_examples": q(lambda w: examples.ripple_examples(w.commit_files, ripple.candidates(_edges(w)))),
     "prediction_examples": q(lambda w: examples.prediction_examples(w.commits)),
@@ -87,7 +105,59 @@ da AS (SELECT avg(ok) AS d FROM (SELECT repo, sha, max((y.d IS NOT NULL)::INTEGE
 METRICS = METRICS.replace("max((y.d IS NOT NULL)::INTEGER) AS ok FROM", "max(y.ok) AS ok FROM").replace(f"(SELECT DISTINCT repo, sha, {DIRECTORY} AS d FROM tr) y", f"(SELECT DISTINCT repo, sha, {DIRECTORY} AS d, 1 AS ok FROM tr) y").replace("SELECT avg(ok) AS d", "SELECT avg(coalesce(ok, 0)) AS d")
 METRIC_ROW = "SELECT round(avg(hits / n), 9) AS precision_at_k, round(avg(hits / nt), 9) AS recall_at_k, round(avg(coalesce(1.0 / first, 0.0)), 9) AS mrr, round(avg(ap / nt), 9) AS map, count(*) AS evaluated, round((SELECT d FROM da), 9) AS directory_accuracy FROM per"
 
+ALL_EVIDENCE = " UNION ALL ".join(f"SELECT row_id, '{c}' AS feature, {NESTED[c]}::DOUBLE AS value, {ZS[c]} * {M['coefficient'][i]!r}::DOUBLE AS contribution FROM {LATEST}" for i, c in enumerate(prediction.FEATURES))
+CONTRIBUTION = {c: f"({ZS[c]} * {M['coefficient'][i]!r}::DOUBLE)" for i, c in enumerate(prediction.FEATURES)}
+INTENT_TERMS = f"""list_sort(list_distinct(list_concat(list_concat(wds, list_filter({ALL_ALIASES}, lambda a: contains(low, a))), list_filter({TECHS}, lambda t: list_contains(wds, t)))))"""
+FORECAST = f"""
+o AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ts, sha) - 1 AS i, count(*) OVER (PARTITION BY repo) AS n, min(ts) OVER (PARTITION BY repo) AS t1 FROM cf WHERE ts IS NOT NULL AND trim(message) <> ''),
+te AS (SELECT repo, sha, ts, files, {INTENT_TERMS} AS terms FROM (SELECT *, lower(message) AS low, list_filter(regexp_split_to_array(lower(message), '[^a-z0-9]+'), lambda x: length(x) > 2 AND x NOT IN {STOP}) AS wds FROM o) WHERE n >= 5 AND i >= n * 4 // 5 AND len(files) BETWEEN 1 AND 15 AND ts > t1),
+sw AS (SELECT repo, path, lower(content) AS low, {WORDS} AS words, {KIND} AS k FROM src),
+mt AS (SELECT te.repo, te.sha, te.ts, sw.path, k, len(terms) AS n, len(list_filter(terms, lambda t: len(list_filter(words, lambda w: w = t OR (length(w) > 3 AND length(t) > 3 AND (contains(w, t) OR contains(t, w))))) > 0)) AS p, len(list_filter(terms, lambda t: length(t) > 2 AND contains(low, t))) AS c FROM te JOIN sw USING (repo)),
+mm AS (SELECT v.m, x.repo, x.sha, x.ts, x.path, x.k, CASE WHEN n = 0 THEN 0.0 ELSE least(CASE WHEN v.m = 'texts' THEN greatest(p, c) ELSE p END / least(n, 4)::DOUBLE, 1.0) END AS semantic FROM mt x, (VALUES ('texts'), ('paths')) v(m)),
+dr AS (SELECT m, repo, sha, ts, path AS hit FROM mm WHERE semantic >= 0.5),
+dp AS (SELECT DISTINCT m, dr.repo, sha, e.path FROM dr JOIN (SELECT repo, source AS path, target AS hit FROM edges UNION SELECT repo, target, source FROM edges) e ON e.repo = dr.repo AND e.hit = dr.hit),
+chm AS (SELECT * FROM ch WHERE ts IS NOT NULL AND trim(message) <> ''),
+hn AS (SELECT m, dr.repo, dr.sha, hit, count(DISTINCT chm.sha) AS changes FROM dr JOIN chm ON chm.repo = dr.repo AND chm.path = dr.hit AND chm.ts < dr.ts GROUP BY ALL),
+ht AS (SELECT m, dr.repo, dr.sha, hit, b.path, count(*) AS n FROM dr JOIN chm a ON a.repo = dr.repo AND a.path = dr.hit AND a.ts < dr.ts JOIN chm b ON b.repo = a.repo AND b.sha = a.sha AND b.path <> a.path GROUP BY ALL),
+hs AS (SELECT ht.m, ht.repo, ht.sha, ht.path, least(max(n / changes), 1.0) AS historical FROM ht JOIN hn ON hn.m = ht.m AND hn.repo = ht.repo AND hn.sha = ht.sha AND hn.hit = ht.hit GROUP BY ALL),
+sg AS (SELECT mm.*, CASE WHEN dp.path IS NULL THEN 0.0 ELSE 1.0 END AS dependency, coalesce(historical, 0.0) AS historical, CASE WHEN k <> 'source' AND semantic > 0 THEN 1.0 ELSE 0.0 END AS kind FROM mm
+  LEFT JOIN dp ON dp.m = mm.m AND dp.repo = mm.repo AND dp.sha = mm.sha AND dp.path = mm.path LEFT JOIN hs ON hs.m = mm.m AND hs.repo = mm.repo AND hs.sha = mm.sha AND hs.path = mm.path),
+bl AS (SELECT * FROM (VALUES {", ".join(f"('{b}', '{'paths' if b == 'paths' else 'texts'}', {v['semantic']}::DOUBLE, {v['dependency']}::DOUBLE, {v['historical']}::DOUBLE, {v['kind']}::DOUBLE)" for b, v in forecasts.BASELINES.items())}) t(baseline, m, ws, wd, wh, wk)),
+sd AS (SELECT baseline, repo, sha, path, CASE WHEN semantic >= 0.5 THEN greatest(ws * semantic + wd * dependency + wh * historical + wk * kind, 0.6) ELSE ws * semantic + wd * dependency + wh * historical + wk * kind END AS score FROM sg JOIN bl USING (m)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY baseline, repo, sha ORDER BY round(least(score, 1.0), 12) DESC, path) AS rank FROM sd WHERE score >= 0.01 QUALIFY rank <= 5),
+gv AS (SELECT baseline, repo, sha, count(*) AS n FROM rk GROUP BY ALL),
+tf AS (SELECT repo, sha, len(files) AS n_true, unnest(files) AS path FROM te),
+tk AS (SELECT *, {KIND} AS k, {PARENT.format(p='path')} AS d FROM tf),
+pr AS (SELECT gv.baseline, tk.repo, tk.sha, any_value(gv.n) AS n, any_value(n_true) AS n_true, count(rk.path) AS hits, avg(CASE WHEN k = 'test' THEN (rk.path IS NOT NULL)::INTEGER END) AS tests, avg(CASE WHEN k = 'config' THEN (rk.path IS NOT NULL)::INTEGER END) AS configs
+  FROM gv JOIN tk USING (repo, sha) LEFT JOIN rk ON rk.baseline = gv.baseline AND rk.repo = tk.repo AND rk.sha = tk.sha AND rk.path = tk.path GROUP BY 1, 2, 3),
+rd AS (SELECT DISTINCT baseline, repo, sha, {PARENT.format(p='path')} AS d FROM rk),
+dd AS (SELECT gv.baseline, x.repo, x.sha, avg((rd.d IS NOT NULL)::INTEGER) AS dirs FROM gv JOIN (SELECT DISTINCT repo, sha, d FROM tk) x USING (repo, sha) LEFT JOIN rd ON rd.baseline = gv.baseline AND rd.repo = x.repo AND rd.sha = x.sha AND rd.d = x.d GROUP BY 1, 2, 3),
+ms AS (SELECT baseline, avg(hits / n) AS precision_at_k, avg(hits / n_true) AS recall_at_k, avg(dirs) AS directory_accuracy, avg(tests) AS test_discovery_rate, avg(configs) AS config_discovery_rate, count(*) AS evaluated_targets FROM pr JOIN dd USING (baseline, repo, sha) GROUP BY baseline)"""
+
+
+def _speaks(feature: str) -> str:
+    return f"({NESTED[feature]}::DOUBLE > 0 AND {CONTRIBUTION[feature]} > 0)"
+
+
 ORACLES = {
+    "evidence_by_direction": f"SELECT row_id, direction, row_number() OVER (PARTITION BY row_id, direction ORDER BY abs(contribution) DESC, feature)::INTEGER AS rank, feature, value, round(contribution, 9) AS contribution FROM (SELECT *, CASE WHEN contribution > 0 THEN 'supports' ELSE 'contradicts' END AS direction FROM ({ALL_EVIDENCE}) WHERE contribution <> 0)",
+    "explanation_summaries": f"""SELECT row_id, 'logistic_regression predicts the file is ' || CASE WHEN predicted = 1 THEN 'likely' ELSE 'unlikely' END || ' to require rework (probability ' || format('{{:.2f}}', probability) || '). Evidence associated with this prediction comes from: ' || names || '.' AS summary
+      FROM (SELECT row_id, probability, predicted FROM {_scored_sql(LATEST)}) JOIN (SELECT row_id, string_agg(feature, ', ' ORDER BY abs(contribution) DESC, feature) AS names FROM (SELECT * FROM ({ALL_EVIDENCE}) QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY abs(contribution) DESC, feature) <= 5) GROUP BY row_id) USING (row_id)""",
+    "recommendations": sql(f"""SELECT row_id, unnest(range(1, len(hints) + 1))::INTEGER AS rank, unnest(hints) AS recommendation FROM (SELECT row_id, list_filter([
+        CASE WHEN {_speaks('historical_rework_frequency')} THEN 'Historical changes suggest reviewing past rework in ' || file_path || ' before modifying it.' END,
+        CASE WHEN related IS NOT NULL THEN 'Consider reviewing related changes in ' || related || ' before modifying ' || file_path || '.' END,
+        CASE WHEN {_speaks('followup_frequency')} THEN 'Check whether recent follow-up changes affect ' || file_path || '.' END,
+        CASE WHEN {_speaks('propagation_frequency')} THEN 'Historical changes suggest checking downstream files that previously changed after ' || file_path || '.' END,
+        CASE WHEN {_speaks('coupling')} THEN 'Consider reviewing coupled files of ' || file_path || '; its coupling is associated with rework.' END], lambda x: x IS NOT NULL)[1:3] AS hints
+      FROM {LATEST} d LEFT JOIN rl ON rl.repo = d.repo AND rl.path = d.file_path)""",
+      """pe AS (SELECT repo, path, sha, t0, names, unnest(CASE WHEN len(names) > 1 THEN ['co_change', 'prior_change'] ELSE ['prior_change'] END) AS event_type FROM (SELECT repo, sha, t0, names, unnest(names) AS path FROM (SELECT repo, sha, t0, list_distinct(list_filter(list_transform(files, lambda f: f.filename), lambda f: f IS NOT NULL)) AS names FROM c))),
+      p5 AS (SELECT * FROM pe QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY t0 DESC, sha, event_type) <= 5),
+      rl AS (SELECT repo, path, list_min(list_filter(names, lambda f: f <> path)) AS related FROM p5 WHERE event_type = 'co_change' QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY t0 DESC, sha) = 1)"""),
+    "ripple_evidence": sql("""SELECT repo, source, target, array_to_string(list_filter([CASE WHEN dependency_score > 0 THEN 'Structural dependency relationship between ' || source || ' and ' || target || '.' END,
+      CASE WHEN cochange_count > 0 THEN 'Changed together in ' || cochange_count || ' historical commit' || CASE WHEN cochange_count = 1 THEN '' ELSE 's' END || '.' END,
+      CASE WHEN follow_count > 0 THEN target || ' followed ' || source || ' in ' || follow_count || ' comparable change' || CASE WHEN follow_count = 1 THEN '' ELSE 's' END || '.' || coalesce(' Median historical delay: ' || median_follow_delay_seconds || 's.', '') END,
+      CASE WHEN rp > 0 THEN 'Recent coupling increased.' END], lambda x: x IS NOT NULL), ' ') AS evidence FROM re""", *RIPPLE_PARTS),
+    "impact_evaluation": sql("SELECT baseline, round(precision_at_k, 9) AS precision_at_k, round(recall_at_k, 9) AS recall_at_k, round(CASE WHEN precision_at_k + recall_at_k > 0 THEN 2 * precision_at_k * recall_at_k / (precision_at_k + recall_at_k) END, 9) AS f1_at_k, round(directory_accuracy, 9) AS directory_accuracy, round(test_discovery_rate, 9) AS test_discovery_rate, round(config_discovery_rate, 9) AS config_discovery_rate, evaluated_targets FROM ms", EDGES, FORECAST),
     "supporting_triples": sql("""SELECT repo, array_to_string(files, '|') AS files, array_to_string(list_sort(list_distinct([sha, s1, s2])), ',') AS shas FROM (
       SELECT t3.repo, t3.files, x.t0, x.sha, x.s1, x.s2 FROM t3 JOIN cw x ON x.repo = t3.repo AND list_contains(x.files, t3.files[1]) AND list_contains(x.f1, t3.files[2]) AND list_contains(x.f2, t3.files[3]) QUALIFY row_number() OVER (PARTITION BY t3.repo, t3.files ORDER BY x.t0, x.sha) = 1)""",
         SEQUENCES, f"""t3 AS (SELECT * FROM seq WHERE length = 3 QUALIFY row_number() OVER (PARTITION BY repo ORDER BY occurrences DESC, avg_delay_seconds, files) <= 10),
