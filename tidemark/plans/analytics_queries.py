@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import paths, text
 from tidemark.operators import history as h
 from tidemark.operators import impact, learning, prediction, ripple, rollups, scoring
-from tidemark.plans.history_queries import EDGES, KIND, KIND_SHOWN, PAIRS, PARENT, PROP_TOP, PROPAGATION, TEMPORAL, TEMPORAL_PAIRS, World, q, sql
+from tidemark.plans.history_queries import EDGES, KIND, KIND_SHOWN, LINES, PAIRS, PARENT, PROP_TOP, PROPAGATION, TEMPORAL, TEMPORAL_PAIRS, World, _lang, q, sql
 from tidemark.session import cut
 from tidemark.sources.history import table
 
@@ -273,8 +273,8 @@ ORACLES = {
       UNION ALL SELECT repo, 'capability:' || cap, path, level FROM ic""", *ITEM_PARTS, f"ic AS {_capability('items')}"),
     "capability_map": sql(f"SELECT repo, cap AS name, count(*) AS files FROM {_capability('(SELECT DISTINCT repo, path FROM ch)')} GROUP BY 1, 2"),
     "directory_stats": sql(f"""SELECT s.repo, s.directory, files, lines, changes, test_files, coalesce(w.n, 0) AS contributors FROM (
-      SELECT repo, CASE WHEN {PARENT.format(p='path')} = '' THEN '(root)' ELSE {PARENT.format(p='path')} END AS directory, count(*) AS files, 0::BIGINT AS lines, coalesce(sum(changes), 0)::BIGINT AS changes, count(*) FILTER (WHERE {KIND_SHOWN} = 'test') AS test_files FROM (
-        SELECT coalesce(a.repo, b.repo) AS repo, coalesce(a.path, b.path) AS path, a.changes FROM (SELECT repo, path, count(DISTINCT sha) AS changes FROM ch GROUP BY 1, 2) a FULL JOIN (SELECT DISTINCT repo, path FROM src) b ON a.repo = b.repo AND a.path = b.path) GROUP BY 1, 2) s
+      SELECT repo, CASE WHEN {PARENT.format(p='path')} = '' THEN '(root)' ELSE {PARENT.format(p='path')} END AS directory, count(*) AS files, coalesce(sum(n_lines), 0)::BIGINT AS lines, coalesce(sum(changes), 0)::BIGINT AS changes, count(*) FILTER (WHERE {KIND_SHOWN} = 'test') AS test_files FROM (
+        SELECT coalesce(a.repo, b.repo) AS repo, coalesce(a.path, b.path) AS path, a.changes, b.n_lines FROM (SELECT repo, path, count(DISTINCT sha) AS changes FROM ch GROUP BY 1, 2) a FULL JOIN (SELECT repo, path, CASE WHEN {_lang('path')} IS NULL THEN 0 ELSE {LINES.format(t='content')} END AS n_lines FROM src) b ON a.repo = b.repo AND a.path = b.path) GROUP BY 1, 2) s
       LEFT JOIN (SELECT repo, CASE WHEN {PARENT.format(p='path')} = '' THEN '(root)' ELSE {PARENT.format(p='path')} END AS directory, count(DISTINCT who) AS n FROM ch WHERE who IS NOT NULL GROUP BY 1, 2) w ON w.repo = s.repo AND w.directory = s.directory""", EDGES),
     "file_tree": sql("SELECT repo, array_to_string(parts[1:i], '/') AS node, CASE WHEN i = len(parts) THEN 'file' ELSE 'dir' END AS kind, count(*) AS files FROM (SELECT repo, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT DISTINCT repo, string_split(path, '/') AS parts FROM ch)) GROUP BY 1, 2, 3"),
     "weekly_buckets": sql(f"""SELECT e.repo, (e.w - w0) >> h AS bucket, (min(e.w) * 7 + 4) * 86400 AS week_start, coalesce(sum(n), 0)::BIGINT AS commits, coalesce(sum(f), 0)::BIGINT AS files, coalesce(sum(a), 0)::BIGINT AS additions, coalesce(sum(dl), 0)::BIGINT AS deletions

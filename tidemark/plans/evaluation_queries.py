@@ -164,7 +164,7 @@ ORACLES = {
         cw AS (SELECT * FROM (SELECT *, lead(sha, 1) OVER w AS s1, lead(files, 1) OVER w AS f1, lead(sha, 2) OVER w AS s2, lead(files, 2) OVER w AS f2, lead(ts, 2) OVER w AS tt FROM cf WINDOW w AS (PARTITION BY repo ORDER BY t0, sha)) WHERE ts IS NOT NULL AND tt - ts BETWEEN 0 AND {h.WEEK})"""),
     "ripple_examples": sql("""SELECT repo, source, target, commit_sha, ts, event_type FROM (SELECT c3.repo, c3.source, c3.target, cf.sha AS commit_sha, cf.ts, 'co_change' AS event_type FROM c3 JOIN cf ON cf.repo = c3.repo AND list_contains(files, source) AND list_contains(files, target)
       UNION SELECT repo, source, target, (x).sha, (x).ts, 'follow_up' FROM (SELECT c3.repo, c3.source, c3.target, cpw.l_sha, min({'ts': r_ts, 'sha': r_sha}) AS x FROM c3 JOIN cpw ON cpw.repo = c3.repo AND list_contains(l_files, source) AND NOT list_contains(l_files, target) AND list_contains(r_files, target) GROUP BY 1, 2, 3, 4))
-      QUALIFY row_number() OVER (PARTITION BY repo, source, target ORDER BY coalesce(ts, 0) DESC, commit_sha, event_type) <= 5""", *RIPPLE_PARTS, "c3 AS (SELECT * FROM rc WHERE rank <= 3)"),
+      QUALIFY row_number() OVER (PARTITION BY repo, source, target ORDER BY coalesce(ts, 0) DESC, commit_sha, event_type) <= 5""", *RIPPLE_PARTS, "c3 AS (SELECT * FROM rc)"),
     "prediction_examples": sql("""SELECT repo, path, commit_sha, ts, event_type FROM (SELECT repo, path, sha AS commit_sha, ts, t0, unnest(CASE WHEN n > 1 THEN ['prior_change', 'co_change'] ELSE ['prior_change'] END) AS event_type FROM (
       SELECT repo, sha, ts, t0, unnest(f) AS path, len(f) AS n FROM (SELECT repo, sha, ts, t0, list_distinct(list_transform(files, lambda x: x.filename)) AS f FROM c))) QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY t0 DESC, commit_sha, event_type) <= 5"""),
     "row_examples": """SELECT row_id, commit_sha, t FROM (SELECT r.row_id, p.commit_sha, p.t, row_number() OVER (PARTITION BY r.row_id ORDER BY p.t DESC, p.commit_sha DESC) AS k FROM dataset_rows r
