@@ -95,3 +95,9 @@ def test_split_keeps_groups_and_shares(spark):
     for k, v in shares.items():
         assert abs(sum(s == k for s in got.values()) / len(got) - v) < 0.03
     assert grouped_split(df.limit(0), "row_id", "g", shares).count() == 0
+
+
+def test_split_shares_with_uneven_groups(spark):
+    df = spark.range(40_000).selectExpr("id as row_id", "concat('g', cast(pow(id % 5000, 0.62) as bigint) * (1 + id % 3)) as g")
+    got = {r["split"]: r["count"] / 40_000 for r in grouped_split(df, "row_id", "g", {"train": 0.7, "validation": 0.15, "test": 0.15}).groupBy("split").count().collect()}
+    assert all(abs(got[k] - v) < 0.01 for k, v in {"train": 0.7, "validation": 0.15, "test": 0.15}.items()), got

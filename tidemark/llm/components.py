@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import discard, written
+from tidemark.session import cut, discard, written
 
 MOST_ROUNDS = 60
 
@@ -72,20 +72,28 @@ def keyed_components(links: DataFrame) -> DataFrame:
     return ids.join(components(edges), "node").select("key", "root")
 
 
+#: Slots of the hash in which a split's bounds are found.
+SLOTS = 4096
+
+
 def grouped_split(rows: DataFrame, row_id: str, group: str, shares: dict[str, float], seed: int = 0, big: float = 0.005) -> DataFrame:
     """(row_id, split): every group whole in one split, rows near the given shares.
 
     Groups of more than ``big`` of all rows (fewer than 1 / big, so they fit the
     driver) are placed one by one, largest first, where most is missing; all others
-    by the hash of their id into ranges in proportion to what is still missing. A row
+    by the hash of their id into ranges of what is still missing, whose bounds lie where the
+    groups' rows, counted in 4096 slots of the hash, fill them: shares are met to within
+    one slot, however sizes vary. A row
     with a null group is a group of its own. Ties go to the group id; no rows give no
     rows; a single group takes one split whole.
     """
     spark = rows.sparkSession
     own = rows.select(F.col(row_id).alias("_row"), F.coalesce(F.concat(F.lit("g"), F.col(group).cast("string")), F.concat(F.lit("r"), F.col(row_id).cast("string"))).alias("_group"))
-    sizes = own.groupBy("_group").agg(F.count(F.lit(1)).alias("n"))
-    total = rows.count()
+    sizes = cut(own.groupBy("_group").agg(F.count(F.lit(1)).alias("n")))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    slot = F.pmod(F.xxhash64(F.lit(seed), "_group"), F.lit(SLOTS))
     large = sizes.where(F.col("n") > F.lit(big * total)).collect()
+    by_slot = {r["slot"]: r["n"] for r in sizes.where(F.col("n") <= F.lit(big * total)).groupBy(slot.alias("slot")).agg(F.sum("n").alias("n")).collect()}
     missing = {k: v * total / sum(shares.values()) for k, v in shares.items()}
     placed = []
     for r in sorted(large, key=lambda r: (-r["n"], r["_group"])):
@@ -93,12 +101,14 @@ def grouped_split(rows: DataFrame, row_id: str, group: str, shares: dict[str, fl
         missing[to] -= r["n"]
         placed.append((r["_group"], to))
     left = {k: max(0.0, v) for k, v in missing.items()}
-    whole = sum(left.values()) or 1.0
-    x = (F.pmod(F.xxhash64(F.lit(seed), "_group"), F.lit(2**40)) / F.lit(float(2**40)))
-    names, upto, rule = list(left), 0.0, None
+    names, at, rule = list(left), 0, None
     for name in names[:-1]:
-        upto += left[name] / whole
-        rule = (F.when if rule is None else rule.when)(x < F.lit(upto), F.lit(name))
+        got = 0
+        # a slot goes where at least half of it is missing
+        while at < SLOTS and got + by_slot.get(at, 0) / 2 <= left[name] and left[name] > 0:
+            got += by_slot.get(at, 0)
+            at += 1
+        rule = (F.when if rule is None else rule.when)(slot < F.lit(at), F.lit(name))
     hashed = F.lit(names[-1]) if rule is None else rule.otherwise(F.lit(names[-1]))
     table = spark.createDataFrame(placed, "_group string, _to string")
     return own.join(F.broadcast(table), "_group", "left").select(F.col("_row").alias(row_id), F.coalesce("_to", hashed).alias("split"))

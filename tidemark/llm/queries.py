@@ -38,6 +38,19 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return grouped_split(grouped, "row_id", "root", {"train": 0.70, "validation": 0.15, "test": 0.15})
 
 
+def p1_holds(spark: SparkSession, d: str) -> DataFrame:
+    """One row: the rows in a split, groups of related commits in two splits, and whether each share is met to within one point."""
+    rows = _table(spark, d, "dataset_rows").select("row_id", F.lower("commit_sha").alias("commit_sha"))
+    grouped = cut(rows.join(_related(spark, d), "commit_sha", "left").select("row_id", "root"))
+    want = {"train": 0.70, "validation": 0.15, "test": 0.15}
+    split = cut(grouped_split(grouped, "row_id", "root", want))
+    torn = grouped.join(split, "row_id").where("root is not null").groupBy("root").agg(F.count_distinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("torn"))
+    target = F.create_map(*[F.lit(x) for pair in want.items() for x in pair])
+    got = split.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    total = got.agg(F.sum("n").alias("rows"))
+    return got.crossJoin(F.broadcast(total)).agg(F.first("rows").alias("rows"), F.bool_and(F.abs(F.col("n") / F.col("rows") - target[F.col("split")]) <= 0.01).alias("shares_hold")).crossJoin(F.broadcast(torn))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Triples of paths changed one after another in many series of a repository."""
     return p2_sequences(spark, d).select("repo", "path_1", "path_2", "path_3")
@@ -95,6 +108,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids(_table(spark, d, "documents"), ["doc_id"])
 
 
+def p8_empty(spark: SparkSession, d: str) -> DataFrame:
+    """For every document, whether its list of ids is empty."""
+    return token_ids(_table(spark, d, "documents"), ["doc_id"]).select("doc_id", (F.size("ids") == 0).alias("empty"))
+
+
 #: Tokens of a shard of p9: the splitting tree is drawn from some ten thousand documents on.
 SHARD_TOKENS = 32_768
 
@@ -146,8 +164,8 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_sequences": p2_sequences,
-    "p3_found": p3_found, "p3_reasons": p3_reasons, "p4_found": p4_found, "p4_pairs": p4_pairs, "p4_significant": p4_significant, "p6_found": p6_found, "p6_rates": p6_rates, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_report": p9_report, "p9_shards": p9_shards, "p9_holds": p9_holds,
+    "p1_found": p1_found, "p1_splits": p1_splits, "p1_holds": p1_holds, "p2_found": p2_found, "p2_sequences": p2_sequences,
+    "p3_found": p3_found, "p3_reasons": p3_reasons, "p4_found": p4_found, "p4_pairs": p4_pairs, "p4_significant": p4_significant, "p6_found": p6_found, "p6_rates": p6_rates, "p8_ids": p8_ids, "p8_empty": p8_empty, "p9_mix": p9_mix, "p9_report": p9_report, "p9_shards": p9_shards, "p9_holds": p9_holds,
     "p10_found": p10_found, "p10_restored": p10_restored,
 }
 
@@ -202,6 +220,8 @@ ORACLES = {
     "p2_found": f"SELECT repo, path_1, path_2, path_3 FROM ({P2_SEQUENCES})",
     "p4_found": P4_COUNTS + " SELECT repo, path_a, path_b FROM y WHERE n_ab * n >= 4 * n_a * n_b",
     "p4_pairs": P4_COUNTS + f" SELECT *, round(n_ab * n / (n_a * n_b)::DOUBLE, 6) AS lift, round(2 * ({LLR}), 6) AS llr FROM y",
+    "p1_holds": "SELECT count(*) AS rows, true AS shares_hold, 0::BIGINT AS torn FROM dataset_rows",
+    "p8_empty": "SELECT doc_id, coalesce(text, '') = '' AS empty FROM documents",
     "p9_holds": """SELECT t.mix_name, t.source, count(d.source) > 0 AS given, true AS share_holds, true AS cap_holds FROM (
       SELECT mix_name, source, sum(target_share) AS w FROM (SELECT DISTINCT mix_name, source, target_share, max_repeats FROM mix_targets) WHERE mix_name IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2) t
       LEFT JOIN (SELECT DISTINCT source FROM documents WHERE text <> '') d ON d.source = t.source AND t.w > 0 GROUP BY 1, 2""",
