@@ -246,6 +246,17 @@ PROP_PARTS = (PAIRS, TEMPORAL_PAIRS, EDGES, PROPAGATION, f"pt AS {PROP_TOP}")
 WEEK = "floor((ts - 345600) / 604800.0)::BIGINT"
 
 ORACLES = {
+    "ripple_paths": sql("""SELECT repo, source, array_to_string(nodes, '|') AS nodes, round(list_sum(scores) / len(scores), 9) AS confidence FROM walk WHERE len(scores) > 0 QUALIFY row_number() OVER (PARTITION BY repo, source ORDER BY d DESC) = 1""",
+        *RIPPLE_PARTS, """nx AS (SELECT repo, source AS at_, list({'t': target, 's': score} ORDER BY round(score, 12) DESC, target) AS nexts FROM re WHERE score >= 0.2 AND source <> target GROUP BY 1, 2),
+        walk AS (SELECT DISTINCT repo, path AS source, [path] AS nodes, []::DOUBLE[] AS scores, path AS here, 0 AS d FROM ch
+          UNION ALL SELECT repo, source, list_append(nodes, step.t), list_append(scores, step.s), step.t, d + 1 FROM (
+            SELECT w.*, list_filter(nexts, lambda x: NOT list_contains(nodes, x.t))[1] AS step FROM walk w JOIN nx ON nx.repo = w.repo AND nx.at_ = w.here WHERE d < 5) WHERE step IS NOT NULL)"""),
+    "neighbourhoods": sql("SELECT repo, focus, node, hop FROM h0 UNION ALL SELECT repo, focus, node, 1 FROM h1 UNION ALL SELECT repo, focus, node, 2 FROM h2", *PROP_PARTS,
+        """bo AS (SELECT repo, a AS at_, b AS to_, max(strength) AS strength FROM (SELECT repo, source AS a, target AS b, strength FROM pt WHERE source <> target UNION ALL SELECT repo, target, source, strength FROM pt WHERE source <> target) GROUP BY 1, 2, 3),
+        h0 AS (SELECT repo, node AS focus, node, 0 AS hop FROM (SELECT repo, source AS node FROM pt WHERE source <> target UNION ALL SELECT repo, target FROM pt WHERE source <> target) GROUP BY repo, node QUALIFY row_number() OVER (PARTITION BY repo ORDER BY count(*) DESC, node) <= 5),
+        h1 AS (SELECT h0.repo, focus, to_ AS node, 1 + row_number() OVER (PARTITION BY h0.repo, focus ORDER BY strength DESC, to_) AS place FROM h0 JOIN bo ON bo.repo = h0.repo AND bo.at_ = h0.node WHERE to_ <> focus QUALIFY place <= 24),
+        m2 AS (SELECT h1.repo, focus, to_ AS node, min({'p': place, 's': -strength}) AS b FROM h1 JOIN bo ON bo.repo = h1.repo AND bo.at_ = h1.node WHERE to_ <> focus AND NOT EXISTS (SELECT 1 FROM h1 o WHERE o.repo = h1.repo AND o.focus = h1.focus AND o.node = to_) GROUP BY 1, 2, 3),
+        h2 AS (SELECT m2.repo, m2.focus, node FROM m2 JOIN (SELECT h0.repo, h0.focus, 1 + count(h1.node) AS n FROM h0 LEFT JOIN h1 USING (repo, focus) GROUP BY 1, 2) z ON z.repo = m2.repo AND z.focus = m2.focus QUALIFY row_number() OVER (PARTITION BY m2.repo, m2.focus ORDER BY b.p, b.s, node) + n <= 24)"""),
     "ripple_edges": sql("SELECT repo, source, target, dependency_score, cochange_count, follow_count, median_follow_delay_seconds, avg_follow_delay_seconds, round(cp, 9) AS cochange_probability, round(fp, 9) AS follow_probability, round(rp, 9) AS recent_follow_probability, round(score, 9) AS combined_score FROM re", *RIPPLE_PARTS),
     "ripple_candidates": sql("""SELECT repo, source, target, rank::INTEGER AS rank, round(score, 9) AS combined_score, array_to_string(list_filter([CASE WHEN dependency_score > 0 THEN 'Strong dependency relationship.' END,
       CASE WHEN cochange_count > 0 THEN 'Changed together in ' || cochange_count || ' historical commit' || CASE WHEN cochange_count = 1 THEN '' ELSE 's' END || '.' END,
