@@ -3,9 +3,9 @@ import os
 import pytest
 
 from tests.compare import FOLDER, assert_same
-from tidemark.plans import analytics_queries, history_queries, stream_queries, training
+from tidemark.plans import analytics_queries, evaluation_queries, history_queries, stream_queries, training
 
-PLANS = [training, history_queries, analytics_queries, stream_queries]
+PLANS = [training, history_queries, analytics_queries, evaluation_queries, stream_queries]
 QUERIES = {k: v for p in PLANS for k, v in p.QUERIES.items()}
 ORACLES = {k: v for p in PLANS for k, v in p.ORACLES.items()}
 SLOW = {"time_window_scores", "model_comparison", "ablation", "calibration", "permutation_importance"}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import paths
-from tidemark.operators.history import WEEK, within
+from tidemark.operators.history import WEEK, numbered, within
 from tidemark.operators.impact import STOPWORDS, path_matches
 from tidemark.operators.ripple import ranking_metrics
 
@@ -47,8 +47,7 @@ def impact_ranking(commits: DataFrame, baseline: str = "keyword", k: int = 5, mo
     a file changed, strictly before, with the file that matches the message best. Only
     files seen strictly before are ranked; files without a score are not.
     """
-    line, all_ = Window.partitionBy("repo").orderBy("ts", "sha"), Window.partitionBy("repo")
-    c = commits.where(F.col("ts").isNotNull() & (F.trim("message") != "")).withColumn("_i", F.row_number().over(line) - 1).withColumn("_n", F.count(F.lit(1)).over(all_))
+    c = numbered(commits.where(F.col("ts").isNotNull() & (F.trim("message") != "")), "ts", "sha").withColumn("_i", F.col("_i") - 1)
     test = c.where((F.col("_n") >= 5) & (F.col("_i") >= F.col("_n") - F.floor(F.col("_n") / 5)) & F.size("files").between(1, most_files)).select("repo", "sha", "ts", message_terms(F.col("message")).alias("terms"))
     seen = commits.where("ts is not null").select("repo", "ts", F.explode("files").alias("item")).groupBy("repo", "item").agg(F.min("ts").alias("first_ts"))
     # which words a path holds is asked once for each path and word, not for each commit

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.history import MONTH, WEEK, change_counts, cochange
+from tidemark.operators.history import MONTH, WEEK, change_counts, cochange, numbered
 
 
 def snapshot(changed: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def file_times(changed: DataFrame, window: int = WEEK) -> DataFrame:
     """
     c = changed.where("ts is not null")
     ref = c.groupBy("repo").agg(F.max("ts").alias("ref"))
-    times = c.select("repo", "ts").distinct().withColumn("change_order_count", F.row_number().over(Window.partitionBy("repo").orderBy("ts")).cast("bigint"))
+    times = numbered(c.select("repo", "ts").distinct(), "ts").select("repo", "ts", F.col("_i").cast("bigint").alias("change_order_count"))
     f = c.join(ref, "repo").groupBy("repo", "path").agg(
         F.count_if(F.col("ts") >= F.col("ref") - window).alias("change_window_count"), F.when(F.count(F.lit(1)) > 1, F.expr("(max(ts) - min(ts)) div (count(1) - 1)")).alias("avg_change_delay_seconds"), F.max("ts").alias("ts"))
     return f.join(times, ["repo", "ts"]).drop("ts")

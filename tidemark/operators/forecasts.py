@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import paths
+from tidemark.operators.history import numbered
 from tidemark.operators.impact import DIRECT, FLOOR, LEAST, WEIGHTS, content_matches, intent, path_matches
 from tidemark.operators.prefix import cochange_at
 from tidemark.session import cut
@@ -28,9 +29,9 @@ def targets(commits: DataFrame, most_files: int = 15) -> DataFrame:
     Only repositories of 5 commits and more, and commits after their first time. commits
     have their message and distinct files.
     """
-    line, every = Window.partitionBy("repo").orderBy("ts", "sha"), Window.partitionBy("repo")
     c = commits.where("ts is not null and trim(message) <> ''").select("repo", "sha", "ts", "message", "files")
-    c = c.withColumn("_i", F.row_number().over(line) - 1).withColumn("_n", F.count(F.lit(1)).over(every)).withColumn("_first", F.min("ts").over(every))
+    first = c.groupBy("repo").agg(F.min("ts").alias("_first"))
+    c = numbered(c, "ts", "sha").withColumn("_i", F.col("_i") - 1).join(first, "repo")
     c = c.where((F.col("_n") >= 5) & (F.col("_i") >= F.expr("_n * 4 div 5")) & F.size("files").between(1, most_files) & (F.col("ts") > F.col("_first")))
     return intent(c, "message").select("repo", "sha", "ts", "terms", "files")
 

@@ -18,6 +18,19 @@ def top(df: DataFrame, n: int, *order: Column, by: str = "repo") -> DataFrame:
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_k") <= n).drop("_k")
 
 
+def numbered(df: DataFrame, time: str, *order: str) -> DataFrame:
+    """Rows with their number (_i, from 1) in their repo's order of time and the further columns, and how many it has (_n).
+
+    Counted by spans of four weeks first, so that no repo is a single partition; rows without a time come first.
+    """
+    span = F.coalesce(F.floor(F.col(time) / (4 * WEEK)), F.lit(-(2**40)))
+    d = df.withColumn("_span", span)
+    spans, every = Window.partitionBy("repo").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("repo")
+    per = d.groupBy("repo", "_span").agg(F.count(F.lit(1)).alias("_c")).select("repo", "_span", F.coalesce(F.sum("_c").over(spans), F.lit(0)).alias("_before"), F.sum("_c").over(every).alias("_n"))
+    own = F.row_number().over(Window.partitionBy("repo", "_span").orderBy(time, *order))
+    return d.withColumn("_own", own).join(per, ["repo", "_span"]).withColumn("_i", F.col("_before") + F.col("_own")).drop("_span", "_own", "_before")
+
+
 def repo_totals(commits: DataFrame, changed: DataFrame) -> DataFrame:
     """Per repo: commits, contributors, changed files, added, deleted and churned lines, first and last time."""
     c = commits.groupBy("repo").agg(

@@ -58,7 +58,7 @@ class Model:
         data = balanced(scale(filled, self.by)).withColumn("label", F.col("label").cast("double"))
         n = data.count()
         if self.kind == "logistic_regression":
-            learner = LogisticRegression(weightCol="weight", regParam=1.0 / max(1, n), elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-6)
+            learner = LogisticRegression(weightCol="weight", regParam=1.0 / max(1, n), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-6)
         elif self.kind == "random_forest":
             learner = RandomForestClassifier(numTrees=self.trees, maxDepth=10, seed=self.seed, weightCol="weight")
         else:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.history import numbered
+
 STRUCTURAL = "file_size_bytes lines_of_code function_count cyclomatic_complexity max_nesting_depth incoming_dependencies outgoing_dependencies coupling num_dependents".split()
 HISTORICAL = "previous_change_count historical_churn contributor_count time_since_last_change_secs recent_change_frequency historical_cochange_frequency".split()
 TEMPORAL = "recent_change_sequence_count previous_files_changed_count change_window_count avg_change_delay_seconds change_order_count propagation_frequency followup_frequency historical_rework_frequency".split()
@@ -79,11 +81,16 @@ def confusion(scored: DataFrame, by: list[str], actual: str = "label", predicted
 def ranking(scored: DataFrame, by: list[str], actual: str = "label", p: str = "probability") -> DataFrame:
     """(by..., roc_auc, average_precision, brier): exact, ties shared; null for groups of one class.
 
-    Rows are summed per distinct score first, so the running sums go over scores, not rows.
+    Rows are summed per distinct score first, and scores by slots of a thousandth, so the running
+    sums go over the slots and then over the scores of each.
     """
     at = scored.groupBy(*by, F.col(p).alias("_p")).agg(F.count_if(F.col(actual) == 1).alias("pos"), F.count_if(F.col(actual) == 0).alias("neg"), F.sum((F.col(p) - F.col(actual)) ** 2).alias("sq"))
-    down = Window.partitionBy(*by).orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = at.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
+    at = at.withColumn("_slot", F.coalesce(F.floor(F.col("_p") * 1000), F.lit(-1)))
+    above = Window.partitionBy(*by).orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*by, "_slot").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    zero = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
+    slots = at.groupBy(*by, "_slot").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg")).select(*by, "_slot", zero("_pos").alias("_tp"), zero("_neg").alias("_fp"))
+    at = at.join(slots, [*by, "_slot"]).withColumn("tp", F.col("_tp") + F.sum("pos").over(down)).withColumn("fp", F.col("_fp") + F.sum("neg").over(down))
     total = at.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.sum("sq").alias("sq"),
         F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)).alias("area"), F.sum(F.when(F.col("pos") > 0, F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(F.lit(0.0))).alias("ap"))
     both = (F.col("P") > 0) & (F.col("N") > 0)
@@ -126,9 +133,7 @@ def chronological_split(rows: DataFrame, train: float = 0.70, validation: float
     Parts are rounded down; with at_least_one every part has a commit. Fewer than three
     commits are all train.
     """
-    c = rows.groupBy("repo", "commit_sha").agg(F.min("timestamp").alias("t"))
-    line, all_ = Window.partitionBy("repo").orderBy("t", "commit_sha"), Window.partitionBy("repo")
-    c = c.withColumn("i", F.row_number().over(line)).withColumn("n", F.count(F.lit(1)).over(all_))
+    c = numbered(rows.groupBy("repo", "commit_sha").agg(F.min("timestamp").alias("t")), "t", "commit_sha").withColumnsRenamed({"_i": "i", "_n": "n"})
     a, b = F.floor(F.col("n") * train + 1e-9), F.floor(F.col("n") * validation + 1e-9)
     if at_least_one:
         a = F.least(F.greatest(a, F.lit(1)), F.col("n") - 2)
@@ -139,9 +144,7 @@ def chronological_split(rows: DataFrame, train: float = 0.70, validation: float
 
 def time_windows(rows: DataFrame, k: int = 3) -> DataFrame:
     """(repo, fold, commit_sha, part): k expanding windows; each tests the next n div (k + 1) commits and trains on all before."""
-    c = rows.groupBy("repo", "commit_sha").agg(F.min("timestamp").alias("t"))
-    line, all_ = Window.partitionBy("repo").orderBy("t", "commit_sha"), Window.partitionBy("repo")
-    c = c.withColumn("i", F.row_number().over(line) - 1).withColumn("n", F.count(F.lit(1)).over(all_))
+    c = numbered(rows.groupBy("repo", "commit_sha").agg(F.min("timestamp").alias("t")), "t", "commit_sha").withColumn("i", F.col("_i") - 1).withColumnRenamed("_n", "n")
     size = F.greatest(F.lit(1), F.expr("n div 2")) if k == 1 else F.expr(f"n div {k + 1}")
     c = c.withColumn("s", size).where("s > 0").withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k))))
     start = F.col("n") - (k - F.col("fold") + 1) * F.col("s")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import features
-from tidemark.operators.history import MONTH, TWO_WEEKS, WEEK, fix_pairs, linked_pairs, links, same_file_pairs, with_files, with_flags, within
+from tidemark.operators.history import MONTH, TWO_WEEKS, WEEK, fix_pairs, linked_pairs, links, numbered, same_file_pairs, with_files, with_flags, within
 from tidemark.session import cut
 
 #: Seconds of a span, and the time before all others.
@@ -110,15 +110,6 @@ def followups_before(commits: DataFrame, cochanged: DataFrame, edges: DataFrame,
     return files, best_before(same.unionByName(related), times, k, ["delay", "file", "l_sha", "r_sha"], ["file", "l_sha", "r_sha"]).select("repo", "t", "file")
 
 
-def places(times: DataFrame) -> DataFrame:
-    """(repo, ts, place): the place of each distinct time among its repository's, counted by spans of time first."""
-    t = times.select("repo", "ts").distinct().withColumn("span", _span("ts"))
-    before = Window.partitionBy("repo").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    start = t.groupBy("repo", "span").agg(F.count(F.lit(1)).alias("n")).select("repo", "span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    own = F.row_number().over(Window.partitionBy("repo", "span").orderBy("ts"))
-    return t.withColumn("own", own).join(start, ["repo", "span"]).select("repo", "ts", (F.col("start") + F.col("own")).cast("bigint").alias("place"))
-
-
 def known_files(changed: DataFrame, times: DataFrame) -> DataFrame:
     """(repo, t, n_files): the files changed strictly before each time."""
     first = changed.where("ts is not null").groupBy("repo", "path").agg(F.min("ts").alias("ts")).groupBy("repo", "ts").agg(F.count(F.lit(1)).alias("n")).withColumn("t", F.lit(None).cast("bigint"))
@@ -160,10 +151,10 @@ def full_dataset(commits: DataFrame, changed: DataFrame, edges: DataFrame, struc
     """
     rows = features.dataset(changed, structural, window, times=True)
     times = changed.where("ts is not null").select("repo", F.col("ts").alias("t")).distinct()
-    lists = temporal_features(commits, changed, edges, times)
-    order = places(changed.where("ts is not null"))
+    lists = cut(temporal_features(commits, changed, edges, times))
+    order = cut(numbered(times, "t").select("repo", F.col("t").alias("last_ts"), F.col("_i").cast("bigint").alias("place")))
     rows = rows.join(lists.withColumnRenamed("t", "ts").withColumn("listed", F.lit(True)), ["repo", "ts", "path"], "left").join(known_files(changed, times).withColumnRenamed("t", "ts"), ["repo", "ts"], "left")
-    rows = rows.join(order.select("repo", F.col("ts").alias("last_ts"), "place"), ["repo", "last_ts"], "left")
+    rows = rows.join(order, ["repo", "last_ts"], "left")
     n = F.col("previous_change_count")
     zero = lambda c: F.coalesce(F.when(F.col("listed"), c), F.lit(0)).cast("bigint")
     same = [c for c in structural.columns if c not in ("repo", "path")]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators.history import MONTH, WEEK, change_counts, top, within
+from tidemark.operators.history import MONTH, WEEK, change_counts, numbered, top, within
 
 # Weights of the signals.
 WEIGHTS = {"dependency": 0.20, "cochange": 0.30, "temporal": 0.35, "recent": 0.15}
@@ -123,10 +123,7 @@ def evaluate(commits: DataFrame, k: int = 5) -> DataFrame:
     The query is the first file of a commit of several, the truth its other files; a
     target's score is its co-changes with the query strictly before, ties by name.
     """
-    c = commits.where("ts is not null")
-    line = Window.partitionBy("repo").orderBy("ts", "sha")
-    n = Window.partitionBy("repo")
-    c = c.withColumn("_i", F.row_number().over(line) - 1).withColumn("_n", F.count(F.lit(1)).over(n))
+    c = numbered(commits.where("ts is not null"), "ts", "sha").withColumn("_i", F.col("_i") - 1)
     test = c.where((F.col("_i") >= F.floor(F.col("_n") * 7 / 10)) & (F.size("files") > 1) & (F.col("_n") >= 3)).select("repo", "sha", "ts", F.col("files")[0].alias("source"), F.slice("files", 2, 1 << 30).alias("rest"))
     truth = test.select("repo", "sha", F.explode("rest").alias("item"))
     held = c.select("repo", F.col("ts").alias("t"), F.explode("files").alias("source"), "files").where(F.size("files") > 1)

@@ -313,21 +313,24 @@ REWORK_PAIRS = TEMPORAL.format(w=h.TWO_WEEKS).replace("cpw AS", "cpr AS")
 LISTS = f"""
 tm AS (SELECT DISTINCT repo, ts AS t FROM ch WHERE ts IS NOT NULL),
 td AS (SELECT repo, r_ts AS seen, source, target, count(*) AS n FROM (SELECT repo, r_ts, source, unnest(r_files) AS target FROM (SELECT repo, r_ts, unnest(l_files) AS source, r_files FROM cpw)) WHERE source <> target GROUP BY ALL),
-tq AS (SELECT tm.repo, t, source, target, sum(n)::BIGINT AS total FROM tm JOIN td ON td.repo = tm.repo AND td.seen < tm.t GROUP BY tm.repo, t, source, target QUALIFY row_number() OVER (PARTITION BY tm.repo, t ORDER BY sum(n) DESC, source, target) <= 50),
+tq AS MATERIALIZED (SELECT tm.repo, t, source, target, sum(n)::BIGINT AS total FROM tm JOIN td ON td.repo = tm.repo AND td.seen < tm.t GROUP BY tm.repo, t, source, target QUALIFY row_number() OVER (PARTITION BY tm.repo, t ORDER BY sum(n) DESC, source, target) <= 50),
 cd AS (SELECT a.repo, a.ts AS seen, least(a.path, b.path) AS source, greatest(a.path, b.path) AS target, count(*) AS n FROM ch a JOIN ch b ON a.repo = b.repo AND a.sha = b.sha AND a.pos < b.pos WHERE a.ts IS NOT NULL GROUP BY ALL),
-pq AS (SELECT repo, t, source, target, sum(n)::BIGINT AS strength FROM (
+pq AS MATERIALIZED (SELECT repo, t, source, target, sum(n)::BIGINT AS strength FROM (
     SELECT tm.repo, t, source, target, n FROM tm JOIN cd ON cd.repo = tm.repo AND cd.seen < tm.t
     UNION ALL SELECT tm.repo, t, source, target, 1 FROM tm JOIN edges USING (repo) WHERE source <> target AND NOT starts_with(target, '$')
     UNION ALL SELECT repo, t, source, target, total FROM tq) GROUP BY repo, t, source, target QUALIFY row_number() OVER (PARTITION BY repo, t ORDER BY sum(n) DESC, source, target) <= 100),
 since AS (SELECT repo, a, b, min(seen) AS since FROM (SELECT repo, source AS a, target AS b, seen FROM cd UNION ALL SELECT repo, target, source, seen FROM cd UNION ALL SELECT repo, a, b, -1 FROM uses) GROUP BY ALL),
-lk AS (SELECT x.repo, l_sha, r_sha, min(since) AS linked FROM (SELECT repo, l_sha, r_sha, a, unnest(r_files) AS b FROM (SELECT repo, l_sha, r_sha, unnest(l_files) AS a, r_files FROM cpr)) x JOIN since USING (repo, a, b) GROUP BY ALL),
+lk AS MATERIALIZED (SELECT x.repo, l_sha, r_sha, min(since) AS linked FROM (SELECT repo, l_sha, r_sha, a, unnest(r_files) AS b FROM (SELECT repo, l_sha, r_sha, unnest(l_files) AS a, r_files FROM cpr)) x JOIN since USING (repo, a, b) GROUP BY ALL),
 cl AS (SELECT cpr.*, {FIX.format(m='r_message')} AS fix, len(list_intersect(l_files, r_files)) > 0 AS overlap, linked FROM cpr LEFT JOIN lk USING (repo, l_sha, r_sha)),
 fv AS (SELECT *, CASE WHEN overlap OR fix THEN r_ts ELSE greatest(r_ts, linked) END AS seen FROM cl WHERE delay <= {h.WEEK} AND (overlap OR fix OR linked IS NOT NULL)),
-fl AS (SELECT tm.repo, t, list_distinct(list_concat(l_files, r_files)) AS files FROM tm JOIN fv ON fv.repo = tm.repo AND fv.seen < tm.t QUALIFY row_number() OVER (PARTITION BY tm.repo, t ORDER BY delay, l_sha, r_sha) <= 100),
+fk AS (SELECT repo, l_sha, r_sha, seen, row_number() OVER (PARTITION BY repo ORDER BY delay, l_sha, r_sha) AS o FROM fv),
+fi AS MATERIALIZED (SELECT tm.repo, t, o FROM tm JOIN fk ON fk.repo = tm.repo AND fk.seen < tm.t QUALIFY row_number() OVER (PARTITION BY tm.repo, t ORDER BY o) <= 100),
+fl AS (SELECT fi.repo, t, list_distinct(list_concat(l_files, r_files)) AS files FROM fi JOIN fk USING (repo, o) JOIN fv USING (repo, l_sha, r_sha)),
 rv AS (SELECT repo, r_ts AS seen, delay, unnest(list_intersect(l_files, r_files)) AS file, l_sha, r_sha FROM cl WHERE overlap
     UNION ALL SELECT repo, greatest(r_ts, linked), delay, r_files[1], l_sha, r_sha FROM cl WHERE NOT overlap AND fix AND linked IS NOT NULL),
-rl AS (SELECT tm.repo, t, file FROM tm JOIN rv ON rv.repo = tm.repo AND rv.seen < tm.t QUALIFY row_number() OVER (PARTITION BY tm.repo, t ORDER BY delay, file, l_sha, r_sha) <= 100),
-lists AS (SELECT repo, t, path, sum(a)::BIGINT AS recent_change_sequence_count, sum(b)::BIGINT AS propagation_frequency, sum(c)::BIGINT AS followup_frequency, sum(d)::BIGINT AS historical_rework_frequency FROM (
+rj AS (SELECT repo, file, seen, row_number() OVER (PARTITION BY repo ORDER BY delay, file, l_sha, r_sha) AS o FROM rv),
+rl AS (SELECT z.repo, z.t, rj.file FROM (SELECT tm.repo, t, o FROM tm JOIN rj ON rj.repo = tm.repo AND rj.seen < tm.t QUALIFY row_number() OVER (PARTITION BY tm.repo, t ORDER BY o) <= 100) z JOIN rj USING (repo, o)),
+lists AS MATERIALIZED (SELECT repo, t, path, sum(a)::BIGINT AS recent_change_sequence_count, sum(b)::BIGINT AS propagation_frequency, sum(c)::BIGINT AS followup_frequency, sum(d)::BIGINT AS historical_rework_frequency FROM (
     SELECT repo, t, source AS path, total AS a, 0 AS b, 0 AS c, 0 AS d FROM tq UNION ALL SELECT repo, t, target, 0, 0, 0, 0 FROM tq
     UNION ALL SELECT repo, t, source, 0, strength, 0, 0 FROM pq UNION ALL SELECT repo, t, target, 0, strength, 0, 0 FROM pq
     UNION ALL SELECT repo, t, unnest(files), 0, 0, 1, 0 FROM fl UNION ALL SELECT repo, t, file, 0, 0, 0, 1 FROM rl) GROUP BY ALL)"""
@@ -403,8 +406,8 @@ ORACLES = {
         fs AS (SELECT repo, path, min(ts) AS first_ts FROM pos GROUP BY 1, 2),
         a AS (SELECT *, 1 AS label FROM pos UNION ALL SELECT t.repo, t.sha, t.ts, fs.path, 0 FROM (SELECT DISTINCT repo, sha, ts FROM ch WHERE ts IS NOT NULL) t JOIN fs ON fs.repo = t.repo AND fs.first_ts < t.ts
           WHERE NOT EXISTS (SELECT 1 FROM pos WHERE pos.repo = t.repo AND pos.sha = t.sha AND pos.path = fs.path)),
-        st AS (SELECT k.repo, k.path, k.ts, min(o.ts) AS first_ts, max(o.ts) AS last_ts, count(*) FILTER (WHERE o.ts >= k.ts - {h.WEEK}) AS week_changes FROM (SELECT DISTINCT repo, path, ts FROM a) k LEFT JOIN ch o ON o.repo = k.repo AND o.path = k.path AND o.ts < k.ts GROUP BY 1, 2, 3),
-        nf AS (SELECT tm.repo, tm.t, count(DISTINCT path) AS n_files FROM tm LEFT JOIN ch ON ch.repo = tm.repo AND ch.ts < tm.t GROUP BY 1, 2)""", BEFORE.format(keys="(SELECT DISTINCT repo, path, ts FROM a)")),
+        st AS MATERIALIZED (SELECT k.repo, k.path, k.ts, min(o.ts) AS first_ts, max(o.ts) AS last_ts, count(*) FILTER (WHERE o.ts >= k.ts - {h.WEEK}) AS week_changes FROM (SELECT DISTINCT repo, path, ts FROM a) k LEFT JOIN ch o ON o.repo = k.repo AND o.path = k.path AND o.ts < k.ts GROUP BY 1, 2, 3),
+        nf AS MATERIALIZED (SELECT tm.repo, tm.t, count(DISTINCT path) AS n_files FROM tm LEFT JOIN ch ON ch.repo = tm.repo AND ch.ts < tm.t GROUP BY 1, 2)""", BEFORE.format(keys="(SELECT DISTINCT repo, path, ts FROM a)")),
     "dataset_rows_built": sql("""SELECT a.repo, a.sha, a.ts, a.path, a.label, pre.* EXCLUDE (repo, path, ts) FROM a JOIN pre ON pre.repo = a.repo AND pre.path = a.path AND pre.ts = a.ts""",
         """fs AS (SELECT repo, path, min(ts) AS first_ts FROM ch WHERE ts IS NOT NULL GROUP BY 1, 2),
         pos AS (SELECT DISTINCT repo, sha, ts, path FROM ch WHERE ts IS NOT NULL),

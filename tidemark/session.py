@@ -38,11 +38,17 @@ def local_session(name: str = "tidemark", cpus: int | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, one below the warehouse."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, one below the warehouse.
+
+    On a cluster a warehouse on the driver's own disk is no shared folder: then it is an error not to name one.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        _, fs = _path(spark, named)
+        if not sc.master.startswith("local") and fs.getUri().getScheme() == "file":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named.rstrip("/")
