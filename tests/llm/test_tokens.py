@@ -39,6 +39,12 @@ def test_any_text(encoder, library, text):
     assert encoder.encode(text) == library(text)
 
 
+@pytest.mark.parametrize("sign", ["\U000323b0", "\u088f", "\U00012550", "\u1c89", "\u0378", "\U0001fae8"])
+def test_letters_of_later_unicode(encoder, library, sign):
+    for text in (f"{sign}'s", f"a{sign}1", f" {sign}{sign} {sign}b", f"7{sign}!", f"{sign}\n"):
+        assert encoder.encode(text) == library(text)
+
+
 def test_repetitive_texts(encoder, library):
     rng = random.Random(3)
     for _ in range(200):

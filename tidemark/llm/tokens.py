@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,6 +26,16 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that cuts a text into pieces, as published with the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# First and last of the letters and numbers that Unicode has only since version 17. The published tokenizers
+# cut by Unicode 16, to which these are signs like any other that is not assigned.
+LATER = """
+558-558 58b-58c 88f-88f c5c-c5c cdc-cdc 208f-208f 209d-209f a7ce-a7cf a7d2-a7d2 a7d4-a7d4 a7dd-a7dd a7e2-a7e2 a7f1-a7f1 ab6c-ab6d
+107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a-11b0a 11db0-11ddb 11de0-11de9 11df1-11df1 1246f-1246f 12475-1247f 12550-12686
+16ea0-16eb8 16ebb-16ed3 16ff2-16ff3 16ff4-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128
+1b168-1b168 1d6a6-1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4
+1e6fe-1e6ff 2b73a-2b73f 2b81e-2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f""".split()
+LATER_SIGN = re.compile("[" + "".join(f"{chr(int(a, 16))}-{chr(int(b, 16))}" for a, b in (r.split("-") for r in LATER)) + "]")
+UNASSIGNED = "\u0378"
 PIECES_KEPT = 300_000
 PIECE_KEPT_LENGTH = 64
 
@@ -36,7 +47,7 @@ class Encoder:
         import ahocorasick
         import regex
 
-        self.split = regex.compile(pattern).findall
+        self.find = regex.compile(pattern).findall
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -48,6 +59,16 @@ class Encoder:
             self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
 
+    def split(self, text: str) -> list[str]:
+        """The pieces of a text, as Unicode 16 tells letters and numbers from signs."""
+        if text.isascii() or not LATER_SIGN.search(text):
+            return self.find(text)
+        out, at = [], 0
+        for piece in self.find(LATER_SIGN.sub(UNASSIGNED, text)):
+            out.append(text[at : at + len(piece)])
+            at += len(piece)
+        return out
+
     def merged(self, raw: bytes) -> list[int]:
         """The merges carried out step by step: for single tokens and pairs of tokens."""
         parts = [raw[i : i + 1] for i in range(len(raw))]
