@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.prediction import FEATURES, MODEL, _z
+from tidemark.operators.prediction import FEATURES, MODEL, _z, finite
 
 #: How many recommendations a file gets.
 MOST = 3
 
 
-def finite(value: Column) -> Column:
-    """A number, or null where it is none (NaN)."""
-    return F.when(~F.isnan(value), value)
-
-
 def contributions(rows: DataFrame, model: dict[str, list[float]] | None = None) -> dict[str, Column]:
     """What each feature adds to a row's log-odds; missing values count as the model's median."""
     model = model or MODEL

@@ -22,6 +22,11 @@ MODEL = {
 INTERCEPT, THRESHOLD = 0.833135958569064, 0.5
 
 
+def finite(value: Column) -> Column:
+    """A number, or null where it is none (NaN)."""
+    return F.when(~F.isnan(value), value)
+
+
 def flatten(rows: DataFrame, *keep: str) -> DataFrame:
     """The kept columns and the 23 features as doubles, out of the three nested columns; missing values stay null."""
     nested = [*[(f"structural.{c}", c) for c in STRUCTURAL], *[(f"historical.{c}", c) for c in HISTORICAL], *[(f"temporal.{c}", c) for c in TEMPORAL]]
@@ -29,7 +34,7 @@ def flatten(rows: DataFrame, *keep: str) -> DataFrame:
 
 
 def _z(model: dict[str, list[float]]) -> list[Column]:
-    return [(F.coalesce(F.col(c), F.lit(m)) - mean) / (scale or 1.0) for c, m, mean, scale in zip(FEATURES, model["median"], model["mean"], model["scale"])]
+    return [(F.coalesce(finite(F.col(c)), F.lit(m)) - mean) / (scale or 1.0) for c, m, mean, scale in zip(FEATURES, model["median"], model["mean"], model["scale"])]
 
 
 def score(rows: DataFrame, model: dict[str, list[float]] | None = None, intercept: float = INTERCEPT, threshold: float = THRESHOLD) -> DataFrame:
