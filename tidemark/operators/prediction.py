@@ -34,7 +34,7 @@ def flatten(rows: DataFrame, *keep: str) -> DataFrame:
 
 
 def _z(model: dict[str, list[float]]) -> list[Column]:
-    return [(F.coalesce(finite(F.col(c)), F.lit(m)) - mean) / (scale or 1.0) for c, m, mean, scale in zip(FEATURES, model["median"], model["mean"], model["scale"])]
+    return [(F.nanvl(F.coalesce(F.col(c), F.lit(m)), F.lit(m)) - mean) / (scale or 1.0) for c, m, mean, scale in zip(FEATURES, model["median"], model["mean"], model["scale"])]
 
 
 def score(rows: DataFrame, model: dict[str, list[float]] | None = None, intercept: float = INTERCEPT, threshold: float = THRESHOLD) -> DataFrame:
