@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.history import MONTH, WEEK, change_counts, cochange, numbered
+from tidemark.session import cut
 
 
 def snapshot(changed: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -82,8 +83,25 @@ def temporal(changed: DataFrame, pairs: DataFrame, edges: DataFrame, follow: Dat
         zero("change_order_count"), zero("propagation_frequency"), zero("followup_frequency"), zero("historical_rework_frequency"))
 
 
-#: Parts of a repository's known files, so that its commits and files do not meet on one key.
-PARTS = 32
+#: Commits of a repository that meet its files' states in one slot of time, on average.
+SLOT_COMMITS = 256
+
+
+def states_until(changed: DataFrame, windows: dict[str, int]) -> DataFrame:
+    """(repo, path, at, until, changed, running state, counts): each file's states, each seen by the times after ``at`` up to ``until`` (null: for ever).
+
+    windows name counts of the changes at most so many seconds before; a count falls when a
+    change leaves its window, so there is a state from then on too. changed: the file changes at ``until``.
+    """
+    a = after(changed).withColumn("s", F.struct("ts", *STATE)).select("repo", "path", F.col("ts").alias("at"), "n_changes", "s")
+    none = F.lit(0).cast("bigint")
+    events = a.select("repo", "path", "at", "s", *[F.col("n_changes").alias(w) for w in windows])
+    for name, secs in windows.items():
+        events = events.unionByName(a.select("repo", "path", (F.col("at") + secs).alias("at"), F.lit(None).cast(a.schema["s"].dataType).alias("s"), *[(-F.col("n_changes") if w == name else none).alias(w) for w in windows]))
+    events = events.groupBy("repo", "path", "at").agg(F.max("s").alias("s"), *[F.sum(w).alias(w) for w in windows])
+    line = Window.partitionBy("repo", "path").orderBy("at")
+    upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return events.select("repo", "path", "at", F.lead("at").over(line).alias("until"), F.coalesce(F.lead(F.col("s").isNotNull()).over(line), F.lit(False)).alias("changed"), F.max("s").over(upto).alias("s"), *[F.sum(w).over(upto).alias(w) for w in windows])
 
 
 def dataset(changed: DataFrame, known: DataFrame, window: int = MONTH, times: bool = False) -> DataFrame:
@@ -91,30 +109,37 @@ def dataset(changed: DataFrame, known: DataFrame, window: int = MONTH, times: bo
 
     known (repo, path) are the files with structural features. A file is known at a
     commit if it changed strictly before. Features are the state strictly before the
-    commit's time, from one running state per file: changes and commits are laid on
-    one time line per file and the last state is carried forward. With times also
+    commit's time: a file's states are spans of time, which meet the repository's commits
+    by slots of time, and the rows are made where they meet and move no more. Only commits at a time at
+    which the file changes are asked whether they changed it. With times also
     first_ts, last_ts and week_changes, of the changes before and of those at most a week before.
     """
     paths = known.select("repo", "path").distinct()
-    c = changed.where("ts is not null").join(paths, ["repo", "path"], "left_semi")
-    states = after(changed, window).join(paths, ["repo", "path"], "left_semi")
-    first = c.groupBy("repo", "path").agg(F.min("ts").alias("first_ts")).withColumn("part", F.pmod(F.xxhash64("path"), F.lit(PARTS)).cast("int"))
-    commits = changed.where("ts is not null").select("repo", "sha", "ts").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    left_alone = commits.join(first, ["repo", "part"]).where("first_ts < ts").select("repo", "sha", "ts", "path", F.lit(0).alias("label"))
-    ask = c.select("repo", "sha", "ts", "path", F.lit(1).alias("label")).unionByName(left_alone).groupBy("repo", "path", "sha", "ts").agg(F.max("label").alias("label"))
-    names = ["previous_change_count", "historical_churn", "contributor_count", "first_ts", "last_ts", "historical_cochange_frequency"]
-    both = states.select("repo", "path", "ts", F.lit(None).cast("string").alias("sha"), F.lit(None).cast("int").alias("label"), F.struct("ts", *names).alias("s"), "n_changes").unionByName(
-        ask.select("repo", "path", "ts", "sha", "label", F.lit(None).cast(f"struct<ts:bigint,{','.join(n + ':bigint' for n in names)}>").alias("s"), F.lit(0).cast("bigint").alias("n_changes")))
-    line = Window.partitionBy("repo", "path").orderBy("ts")
-    state = F.max("s").over(line.rangeBetween(Window.unboundedPreceding, -1))
-    recent = lambda secs: F.coalesce(F.sum("n_changes").over(line.rangeBetween(-secs, -1)), F.lit(0))
-    got = both.select("repo", "sha", "ts", "path", "label", state.alias("s"), recent(window).alias("r"), *([recent(WEEK).alias("week_changes")] if times else [])).where("label is not null")
-    zero = lambda n: F.coalesce(F.col(f"s.{n}"), F.lit(0)).alias(n)
-    more = ["s.first_ts", "s.last_ts", "week_changes"] if times else []
-    return got.select("repo", "sha", "ts", "path", "label", *[zero(n) for n in names if n not in ("first_ts", "last_ts")], (F.col("ts") - F.col("s.last_ts")).alias("time_since_last_change_secs"), (F.col("r") / float(window)).alias("recent_change_frequency"), *more)
-
-
-def after(changed: DataFrame, window: int = MONTH) -> DataFrame:
+    windows = {"recent": window} | ({"week_changes": WEEK} if times else {})
+    timed = changed.where("ts is not null")
+    steps = cut(states_until(timed, windows).join(paths, ["repo", "path"], "left_semi"))
+    commits = timed.select("repo", "sha", "ts").distinct()
+    ends = commits.groupBy("repo").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count(F.lit(1)).alias("n"))
+    ends = ends.select("repo", "lo", "hi", F.ceil((F.col("hi") - F.col("lo") + 1).cast("double") / F.col("n") * SLOT_COMMITS).alias("width"))
+    slot = lambda t: F.floor((t - F.col("lo")) / F.col("width"))
+    got = ["s", *windows]
+    last = F.least(F.coalesce(F.col("until") - F.col("changed").cast("int"), F.col("hi")), F.col("hi"))
+    spans = steps.join(ends, "repo").withColumn("last", last).where("at < last").select("repo", "path", "at", "last", *got, F.explode(F.sequence(slot(F.col("at") + 1), slot(F.col("last")))).alias("slot"))
+    placed = commits.join(ends, "repo").select("repo", "sha", "ts", slot(F.col("ts")).alias("slot"))
+    between = spans.join(placed, ["repo", "slot"]).where("ts > at and ts <= last").select("repo", "sha", "ts", "path", F.lit(0).alias("label"), *got)
+    border = steps.where("changed").select("repo", "path", F.col("until").alias("ts"), *got).join(commits, ["repo", "ts"])
+    own = timed.join(paths, ["repo", "path"], "left_semi").select("repo", "sha", "ts", "path").distinct().withColumn("own", F.lit(1))
+    border = border.join(own, ["repo", "sha", "ts", "path"], "full").select("repo", "sha", "ts", "path", F.coalesce("own", F.lit(0)).alias("label"), *got)
+    rows = between.unionByName(border)
+    zero = lambda c, n: F.coalesce(F.col(c), F.lit(0)).alias(n)
+    more = ["s.first_ts", "s.last_ts", zero("week_changes", "week_changes")] if times else []
+    return rows.select("repo", "sha", "ts", "path", "label", *[zero(f"s.{n}", n) for n in STATE if n not in ("first_ts", "last_ts")], (F.col("ts") - F.col("s.last_ts")).alias("time_since_last_change_secs"), (zero("recent", "recent") / float(window)).alias("recent_change_frequency"), *more)
+
+
+STATE = ["previous_change_count", "historical_churn", "contributor_count", "first_ts", "last_ts", "historical_cochange_frequency"]
+
+
+def after(changed: DataFrame) -> DataFrame:
     """(repo, path, ts, n_changes, running state): each file's state once the changes of a time are in."""
     c = changed.where("ts is not null")
     size = c.groupBy("repo", "sha").agg(F.count(F.lit(1)).alias("n"))
@@ -127,4 +152,4 @@ def after(changed: DataFrame, window: int = MONTH) -> DataFrame:
         "repo", "path", "ts", "n_changes", total("n_changes").alias("previous_change_count"), total("n_churn").alias("historical_churn"), total("n_who").alias("contributor_count"), F.min("ts").over(line).alias("first_ts"), F.col("ts").alias("last_ts"), total("n_pairs").alias("historical_cochange_frequency"))
 
 
-__all__ = ["after", "change_counts", "cochange", "dataset", "file_times", "prefix", "snapshot", "temporal"]
+__all__ = ["after", "change_counts", "cochange", "dataset", "file_times", "prefix", "snapshot", "states_until", "temporal"]
