@@ -6,8 +6,8 @@ with a zstandard dictionary of the language that suits it best, plus what the ch
 costs; the cheapest reading wins, and without a clear gain the word stays. A replacement sign
 (U+FFFD) is garbled text that cannot be restored.
 
-Dictionaries are trained per language on a bounded sample of labelled documents
-(``sample_docs`` of each language); detection reads every document whole.
+Dictionaries, words and signs are learnt per language from all labelled documents, counted
+where they are; detection reads every document whole.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import ship
+from tidemark.session import discard, ship, written
 
 # Encodings by their Python names.
 SINGLE = ["cp1252", "latin_1", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "iso8859_2", "iso8859_5", "iso8859_7", "iso8859_9", "iso8859_15", "koi8_r", "koi8_u", "mac_roman", "cp437", "cp850", "cp852", "cp866", "cp1258"]
@@ -262,7 +262,7 @@ class Detector:
 
 
 def _suspect(text: str, known: set[str], seen: dict[str, list[str]]) -> bool:
-    """Whether a sample text should teach nothing: a word of it is UTF-8 of known signs read as another encoding."""
+    """Whether a text should teach nothing: a word of it is UTF-8 of known signs read as another encoding."""
     if "�" in text:
         return True
     for w in set(WORD.findall(text)):
@@ -273,23 +273,119 @@ def _suspect(text: str, known: set[str], seen: dict[str, list[str]]) -> bool:
     return False
 
 
-def _learn(samples: dict[str, list[str]], size: int) -> tuple[dict[str, bytes], dict[str, set[str]], dict[str, set[str]]]:
-    dictionaries, signs = {}, {}
-    counts: dict[str, Counter] = {}
-    for lang, texts in samples.items():
-        pieces: Counter = Counter()
-        words: Counter = Counter()
-        chars: Counter = Counter()
-        for text in texts:
-            w = re.findall(r"[^ \t\r\n]+", text)
-            pieces.update({" " + " ".join(w[i : i + n]) for n in (1, 3, 6) for i in range(0, len(w) - n + 1)})
-            words.update({y for x in w if SPLIT.search(x) for y in (x, CORE.match(x).group(1)) if SPLIT.search(y)})
-            chars.update({c for c in text if ord(c) > 127 and not 0x80 <= ord(c) < 0xA0})
-        least = max(3, len(texts) // 100)
-        kept = sorted((w for w, n in pieces.items() if n >= least), key=lambda w: (pieces[w] * len(w.encode()), w))
+def _items(text: str, kind: str, kept: dict[str, set[str]]) -> set[str]:
+    """What a text counts once each: usual signs, signs, words, and pieces of 1, 3 and 6 words whose own parts are kept."""
+    if kind in ("usual", "sign"):
+        return {c for c in text if ord(c) > 127 and (kind == "usual" or not 0x80 <= ord(c) < 0xA0)}
+    w = re.findall(r"[^ \t\r\n]+", text)
+    if kind == "word":
+        return {y for x in w if SPLIT.search(x) for y in (x, CORE.match(x).group(1)) if SPLIT.search(y)}
+    if kind == "1":
+        return {" " + x for x in w}
+    n, part = (3, 1) if kind == "3" else (6, 3)
+    known = kept.get(str(part), set())
+    held = [" " + " ".join(w[i : i + part]) in known for i in range(len(w) - part + 1)]
+    return {" " + " ".join(w[i : i + n]) for i in range(len(w) - n + 1) if all(held[i : i + n : part])}
+
+
+class Texts:
+    """Texts by language as they are learnt from: counted, and thinned by a rule."""
+
+    def __init__(self, texts: dict[str, list[str]]):
+        self.texts, self.sizes = texts, {lang: len(t) for lang, t in texts.items()}
+
+    def count(self, kinds: tuple[str, ...], least: dict[str, int], kept: dict[str, dict[str, set[str]]]) -> dict[tuple[str, str], Counter]:
+        """(language, kind): how many texts have each item, for items of as many texts as ``least`` says."""
+        out = {}
+        for lang, most in least.items():
+            for kind in kinds:
+                n: Counter = Counter()
+                for text in self.texts[lang]:
+                    n.update(_items(text, kind, kept.get(lang, {})))
+                out[lang, kind] = Counter({x: k for x, k in n.items() if k >= most})
+        return out
+
+    def thinned(self, make, arg) -> "Texts":
+        """The texts for which make(arg)(language, text) holds."""
+        keep = make(arg)
+        return Texts({lang: [t for t in texts if keep(lang, t)] for lang, texts in self.texts.items()})
+
+    def forget(self) -> None:
+        """Drop what was kept of them."""
+
+
+#: Items a task holds before it passes their counts on.
+HELD_ITEMS = 200_000
+
+
+def _counted(batches: Iterator[pd.DataFrame], kinds: tuple[str, ...], kept) -> Iterator[pd.DataFrame]:
+    counts: Counter = Counter()
+    own = kept.value
+
+    def flush() -> pd.DataFrame:
+        rows = pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["lang", "kind", "item", "n"])
+        counts.clear()
+        return rows
+
+    for batch in batches:
+        for lang, text in zip(batch["lang"], batch["text"]):
+            for kind in kinds:
+                counts.update((lang, kind, x) for x in _items(text, kind, own.get(lang, {})))
+            if len(counts) > HELD_ITEMS:
+                yield flush()
+    if counts:
+        yield flush()
+
+
+def _thinned(batches: Iterator[pd.DataFrame], make, arg) -> Iterator[pd.DataFrame]:
+    keep = make(arg.value)
+    for batch in batches:
+        yield batch[[keep(lang, text) for lang, text in zip(batch["lang"], batch["text"])]]
+
+
+class Table(Texts):
+    """All rows (lang, text) of a table, where they are; only items of enough texts come to the driver."""
+
+    def __init__(self, rows: DataFrame, name: str | None = None):
+        self.rows, self.name = rows, name
+        self.sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST).collect()}
+
+    def count(self, kinds, least, kept):
+        out: dict[tuple[str, str], Counter] = {(lang, kind): Counter() for lang in least for kind in kinds}
+        if not least:
+            return out
+        spark = self.rows.sparkSession
+        given = spark.sparkContext.broadcast(kept)
+        wanted = F.broadcast(spark.createDataFrame(sorted(least.items()), "lang string, least bigint"))
+        counts = self.rows.join(wanted, "lang").select("lang", "text").mapInPandas(lambda it: _counted(it, kinds, given), "lang string, kind string, item string, n bigint")
+        for r in counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).join(wanted, "lang").where("n >= least").select("lang", "kind", "item", "n").toLocalIterator():
+            out[r["lang"], r["kind"]][r["item"]] = r["n"]
+        return out
+
+    def thinned(self, make, arg):
+        given = self.rows.sparkSession.sparkContext.broadcast(arg)
+        return Table(*written(self.rows.mapInPandas(lambda it: _thinned(it, make, given), "lang string, text string")))
+
+    def forget(self):
+        if self.name:
+            discard(self.rows.sparkSession, self.name)
+
+
+#: What fewer texts have teaches nothing, so neither does a language of fewer.
+LEAST = 3
+
+
+def _learn(texts: Texts, size: int) -> tuple[dict[str, bytes], dict[str, set[str]], dict[str, set[str]]]:
+    least = {lang: max(LEAST, n // 100) for lang, n in sorted(texts.sizes.items()) if n >= LEAST}
+    found = texts.count(("1", "word", "sign"), least, {})
+    for kind, part in (("3", "1"), ("6", "3")):  # a piece is no more frequent than its parts
+        found |= texts.count((kind,), least, {lang: {part: set(found[lang, part])} for lang in least})
+    dictionaries, counts, signs = {}, {}, {}
+    for lang in least:
+        pieces = found[lang, "1"] + found[lang, "3"] + found[lang, "6"]
+        kept = sorted(pieces, key=lambda w: (pieces[w] * len(w.encode()), w))
         dictionaries[lang] = "".join(kept).encode("utf-8", "surrogatepass")[-size:]
-        counts[lang] = Counter({w: n for w, n in words.items() if n >= least and w})
-        signs[lang] = {c for c, n in chars.items() if n >= least}
+        counts[lang], signs[lang] = found[lang, "word"], set(found[lang, "sign"])
     # a word that is a far more frequent one read wrongly is no word
     everywhere: Counter = Counter()
     for c in counts.values():
@@ -298,26 +394,42 @@ def _learn(samples: dict[str, list[str]], size: int) -> tuple[dict[str, bytes],
     return dictionaries, known, signs
 
 
-def train(samples: dict[str, list[str]], size: int = 100_000) -> tuple[dict[str, bytes], dict[str, set[str]], dict[str, set[str]]]:
-    """Dictionaries, words and signs per language from its sample texts.
+def _unsuspected(usual: dict[str, set[str]]):
+    seen: dict[str, list[str]] = {}
+
+    def keep(lang: str, text: str) -> bool:
+        if len(seen) > 200_000:
+            seen.clear()
+        return not _suspect(text, usual.get(lang, set()), seen)
+
+    return keep
+
+
+def _ungarbled(model):
+    detect = Detector(*model).doc
+    return lambda lang, text: not detect(text)[0]
+
+
+def learnt(texts: Texts, size: int = 100_000) -> tuple[dict[str, bytes], dict[str, set[str]], dict[str, set[str]]]:
+    """Dictionaries, words and signs per language from its texts.
 
     Texts that are suspect, words that are others read wrongly and what is found in a few
     texts only are left out; then the texts found garbled are, and all is learnt again:
-    so garbled sample texts teach nothing.
+    so garbled texts teach nothing.
     """
-    clean: dict[str, list[str]] = {}
-    seen: dict[str, list[str]] = {}
-    for lang, texts in samples.items():
-        common: Counter = Counter()
-        for text in texts:
-            common.update({c for c in text if ord(c) > 127})
-        usual = {c for c, n in common.items() if n >= max(3, len(texts) // 20)}
-        clean[lang] = [t for t in texts if not _suspect(t, usual, seen)]
-    first = Detector(*_learn(clean, size))
-    return _learn({lang: [t for t in texts if not first.doc(t)[0]] for lang, texts in clean.items()}, size)
+    least = {lang: max(LEAST, n // 20) for lang, n in texts.sizes.items() if n >= LEAST}
+    usual = {lang: set(c) for (lang, _), c in texts.count(("usual",), least, {}).items()}
+    clean = texts.thinned(_unsuspected, usual)
+    better = clean.thinned(_ungarbled, _learn(clean, size))
+    clean.forget()
+    model = _learn(better, size)
+    better.forget()
+    return model
 
 
-MOST_LANGUAGES, MOST_CHARS = 64, 2000
+def train(samples: dict[str, list[str]], size: int = 100_000) -> tuple[dict[str, bytes], dict[str, set[str]], dict[str, set[str]]]:
+    """What is learnt from texts at hand."""
+    return learnt(Texts(samples), size)
 
 
 def language(label: str = "lang"):
@@ -325,20 +437,9 @@ def language(label: str = "lang"):
     return F.substring(F.lower(F.trim(F.col(label))), 1, 2)
 
 
-def sample(docs: DataFrame, doc_id: str, text: str, label: str, sample_docs: int, seed: int) -> dict[str, list[str]]:
-    """At most sample_docs labelled texts (of up to 2000 characters) of each of the 64 most frequent languages."""
-    d = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), language(label).alias("lang")).where(
-        (F.length("text") > 0) & (F.length("text") <= MOST_CHARS) & (F.length("lang") == 2)).withColumn("h", F.xxhash64(F.lit(seed), "id", "text"))
-    counts = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
-        return {}
-    share = d.sparkSession.createDataFrame([(r["lang"], min(1.0, 3.0 * sample_docs / r["n"])) for r in counts], "lang string, share double")
-    some = d.join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
-    first = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "text"))).where(F.col("k") <= sample_docs)
-    out: dict[str, list[str]] = {}
-    for r in first.select("lang", "k", "text").collect():
-        out.setdefault(r["lang"], []).append((r["k"], r["text"]))
-    return {k: [t for _, t in sorted(v)] for k, v in sorted(out.items())}
+def labelled(docs: DataFrame, text: str, label: str) -> DataFrame:
+    """(lang, text) of every text with a label of at least two letters."""
+    return docs.select(language(label).alias("lang"), F.col(text).alias("text")).where((F.length("text") > 0) & (F.length("lang") == 2))
 
 
 _detectors: dict[str, Detector] = {}
@@ -357,7 +458,7 @@ def _check(batches: Iterator[pd.DataFrame], model, key: str) -> Iterator[pd.Data
         yield batch
 
 
-def wrong_encodings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", sample_docs: int = 500, seed: int = 0) -> DataFrame:
+def wrong_encodings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
     """(doc_id, garbled, restored, chains) of every document.
 
     garbled: a stretch of the text was decoded with a wrong encoding. restored: the
@@ -366,14 +467,14 @@ def wrong_encodings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     "lost" where U+FFFD stands for bytes that are gone. Null and empty texts are not
     garbled and stay as they are; repeated rows give repeated rows; texts are read
     whole, however long. Without labelled texts only what UTF-8 proves is found. No
-    shuffle of the texts: the model (a few MB, bounded by languages and sample) goes to
-    the rows.
+    shuffle of the texts: the model (100 kB and the frequent words of each language) goes to
+    the rows, and is learnt where they are, from all that have a label.
     """
     import uuid
 
     spark = docs.sparkSession
     ship(spark)
-    model = spark.sparkContext.broadcast(train(sample(docs, doc_id, text, label, sample_docs, seed)))
+    model = spark.sparkContext.broadcast(learnt(Table(labelled(docs, text, label))))
     key = uuid.uuid4().hex
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id), F.col(text).alias("_text")).mapInPandas(
