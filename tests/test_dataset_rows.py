@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import features
+from tidemark.operators import features, prefix
 from tidemark.session import cut
 
 CHANGES = "repo string, sha string, ts bigint, who string, pos int, path string, additions bigint, deletions bigint"
@@ -53,3 +53,23 @@ def test_rows_are_not_moved(spark):
     _, records = moved(spark, lambda: got.write.format("noop").mode("overwrite").save())
     n = got.count()
     assert n > 80_000 and records < n / 2, (n, records)
+
+
+def test_rows_move_once_to_meet_their_lists(spark, monkeypatch):
+    rows = [("r", f"s{i:03}", i * 10_000, "x", p, f"f{(i + 60 * p) % 240}", 1, 1) for i in range(480) for p in range(4)]
+    df = cut(spark.createDataFrame(rows, CHANGES))
+    names = ["recent_change_sequence_count", "propagation_frequency", "followup_frequency", "historical_rework_frequency"]
+    listed = spark.createDataFrame([("r", 4_000_000, "f1", 1, 2, 3, 4)], "repo string, t bigint, path string, " + ", ".join(f"{n} bigint" for n in names))
+    monkeypatch.setattr(prefix, "temporal_features", lambda *_: listed)
+    monkeypatch.setattr(prefix, "cut", lambda d: d)
+    structural = df.select("repo", "path", F.lit(7).alias("lines_of_code")).distinct()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = prefix.full_dataset(None, df, None, structural)
+        _, records = moved(spark, lambda: got.write.format("noop").mode("overwrite").save())
+        got = cut(got)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    n = got.count()
+    assert n > 80_000 and got.where("lines_of_code is null").count() == 0 and records < 2 * n, (n, records)
+    assert [(r["path"], r["propagation_frequency"], r["change_order_count"] > 0) for r in got.where("propagation_frequency > 0").collect()] == [("f1", 2, True)]

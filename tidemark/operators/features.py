@@ -104,7 +104,7 @@ def states_until(changed: DataFrame, windows: dict[str, int]) -> DataFrame:
     return events.select("repo", "path", "at", F.lead("at").over(line).alias("until"), F.coalesce(F.lead(F.col("s").isNotNull()).over(line), F.lit(False)).alias("changed"), F.max("s").over(upto).alias("s"), *[F.sum(w).over(upto).alias(w) for w in windows])
 
 
-def dataset(changed: DataFrame, known: DataFrame, window: int = MONTH, times: bool = False) -> DataFrame:
+def dataset(changed: DataFrame, known: DataFrame, window: int = MONTH, times: bool = False, moments: DataFrame | None = None) -> DataFrame:
     """(repo, sha, ts, path, label, six features): every commit's changed files (1) and the known files it left alone (0).
 
     known (repo, path) are the files with structural features. A file is known at a
@@ -113,26 +113,37 @@ def dataset(changed: DataFrame, known: DataFrame, window: int = MONTH, times: bo
     by slots of time, and the rows are made where they meet and move no more. Only commits at a time at
     which the file changes are asked whether they changed it. With times also
     first_ts, last_ts and week_changes, of the changes before and of those at most a week before.
+    Further columns of known are the rows' too. moments (repo, ts, n_files, place), one for each
+    time: rows have n_files of their time and the place of last_ts.
     """
-    paths = known.select("repo", "path").distinct()
+    carried = [c for c in known.columns if c not in ("repo", "path")]
+    files = known.distinct().select("repo", "path", F.struct(*carried).alias("file")) if carried else known.select("repo", "path").distinct()
     windows = {"recent": window} | ({"week_changes": WEEK} if times else {})
     timed = changed.where("ts is not null")
-    steps = cut(states_until(timed, windows).join(paths, ["repo", "path"], "left_semi"))
+    steps = states_until(timed, windows).join(files, ["repo", "path"])
     commits = timed.select("repo", "sha", "ts").distinct()
+    own = timed.select("repo", "sha", "ts", "path").distinct().join(files.withColumnRenamed("file", "own_file"), ["repo", "path"])
+    if moments is not None:
+        steps = steps.withColumn("last_ts", F.col("s.last_ts")).join(moments.select("repo", F.col("ts").alias("last_ts"), "place"), ["repo", "last_ts"], "left").drop("last_ts")
+        commits = commits.join(moments.select("repo", "ts", "n_files"), ["repo", "ts"], "left")
+        own = own.join(moments.select("repo", "ts", F.col("n_files").alias("own_files")), ["repo", "ts"], "left")
+    steps, of_time = cut(steps), [c for c in commits.columns if c == "n_files"]
     ends = commits.groupBy("repo").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count(F.lit(1)).alias("n"))
     ends = ends.select("repo", "lo", "hi", F.ceil((F.col("hi") - F.col("lo") + 1).cast("double") / F.col("n") * SLOT_COMMITS).alias("width"))
     slot = lambda t: F.floor((t - F.col("lo")) / F.col("width"))
-    got = ["s", *windows]
+    got = ["s", *windows, *(["file"] if carried else []), *(["place"] if moments is not None else [])]
     last = F.least(F.coalesce(F.col("until") - F.col("changed").cast("int"), F.col("hi")), F.col("hi"))
     spans = steps.join(ends, "repo").withColumn("last", last).where("at < last").select("repo", "path", "at", "last", *got, F.explode(F.sequence(slot(F.col("at") + 1), slot(F.col("last")))).alias("slot"))
-    placed = commits.join(ends, "repo").select("repo", "sha", "ts", slot(F.col("ts")).alias("slot"))
-    between = spans.join(placed, ["repo", "slot"]).where("ts > at and ts <= last").select("repo", "sha", "ts", "path", F.lit(0).alias("label"), *got)
+    placed = commits.join(ends, "repo").select("repo", "sha", "ts", *of_time, slot(F.col("ts")).alias("slot"))
+    between = spans.join(placed, ["repo", "slot"]).where("ts > at and ts <= last").select("repo", "sha", "ts", "path", F.lit(0).alias("label"), *got, *of_time)
     border = steps.where("changed").select("repo", "path", F.col("until").alias("ts"), *got).join(commits, ["repo", "ts"])
-    own = timed.join(paths, ["repo", "path"], "left_semi").select("repo", "sha", "ts", "path").distinct().withColumn("own", F.lit(1))
-    border = border.join(own, ["repo", "sha", "ts", "path"], "full").select("repo", "sha", "ts", "path", F.coalesce("own", F.lit(0)).alias("label"), *got)
+    border = border.join(own.withColumn("own", F.lit(1)), ["repo", "sha", "ts", "path"], "full")
+    filled = {"file": F.coalesce("file", "own_file"), "n_files": F.coalesce("n_files", "own_files")}
+    border = border.select("repo", "sha", "ts", "path", F.coalesce("own", F.lit(0)).alias("label"), *[filled[c].alias(c) if c in filled else c for c in [*got, *of_time]])
     rows = between.unionByName(border)
     zero = lambda c, n: F.coalesce(F.col(c), F.lit(0)).alias(n)
     more = ["s.first_ts", "s.last_ts", zero("week_changes", "week_changes")] if times else []
+    more += [*[f"file.{c}" for c in carried], *of_time, *(["place"] if moments is not None else [])]
     return rows.select("repo", "sha", "ts", "path", "label", *[zero(f"s.{n}", n) for n in STATE if n not in ("first_ts", "last_ts")], (F.col("ts") - F.col("s.last_ts")).alias("time_since_last_change_secs"), (zero("recent", "recent") / float(window)).alias("recent_change_frequency"), *more)
 
 

@@ -149,16 +149,16 @@ def full_dataset(commits: DataFrame, changed: DataFrame, edges: DataFrame, struc
     commits of one time do not see each other. A file that none of the lists of a time
     holds has zeros, and no mean delay, for its temporal features.
     """
-    rows = features.dataset(changed, structural, window, times=True)
     times = changed.where("ts is not null").select("repo", F.col("ts").alias("t")).distinct()
     lists = cut(temporal_features(commits, changed, edges, times))
-    order = cut(numbered(times, "t").select("repo", F.col("t").alias("last_ts"), F.col("_i").cast("bigint").alias("place")))
-    rows = rows.join(lists.withColumnRenamed("t", "ts").withColumn("listed", F.lit(True)), ["repo", "ts", "path"], "left").join(known_files(changed, times).withColumnRenamed("t", "ts"), ["repo", "ts"], "left")
-    rows = rows.join(order, ["repo", "last_ts"], "left")
+    order = numbered(times, "t").select("repo", F.col("t").alias("last_ts"), F.col("_i").cast("bigint").alias("place"))
+    moments = cut(known_files(changed, times).join(order.withColumnRenamed("last_ts", "t"), ["repo", "t"]).withColumnRenamed("t", "ts"))
+    rows = features.dataset(changed, structural, window, times=True, moments=moments)
+    rows = rows.join(lists.withColumnRenamed("t", "ts").withColumn("listed", F.lit(True)), ["repo", "ts", "path"], "left")
     n = F.col("previous_change_count")
     zero = lambda c: F.coalesce(F.when(F.col("listed"), c), F.lit(0)).cast("bigint")
     same = [c for c in structural.columns if c not in ("repo", "path")]
-    return rows.join(structural, ["repo", "path"]).select(
+    return rows.select(
         "repo", "sha", "ts", "path", "label", *same, "previous_change_count", "historical_churn", "contributor_count", "time_since_last_change_secs", "recent_change_frequency", "historical_cochange_frequency",
         zero(F.col("recent_change_sequence_count")).alias("recent_change_sequence_count"),
         zero(F.col("n_files") - F.col("last_ts").isNotNull().cast("int")).alias("previous_files_changed_count"),
