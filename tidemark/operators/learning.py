@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from itertools import chain
+
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.prediction import FEATURES, HISTORICAL, STRUCTURAL, TEMPORAL, confusion, ranking
+from tidemark.operators.trees import GBTClassifier, RandomForestClassifier, average_precision, filled, in_tasks, scored
 from tidemark.session import cut, ship
 
 KINDS = ("logistic_regression", "random_forest", "gradient_boosting")
@@ -51,19 +53,19 @@ class Model:
     def __init__(self, kind: str, features: list[str] | None = None, trees: int = 200, seed: int = 42):
         self.kind, self.features, self.trees, self.seed = kind, features or FEATURES, trees, seed
 
-    def fit(self, train: DataFrame) -> "Model":
-        self.fill = medians(train, self.features)
-        filled = impute(train, self.fill)
-        self.by = scaling(filled, self.features)
-        data = balanced(scale(filled, self.by)).withColumn("label", F.col("label").cast("double"))
-        n = data.count()
+    def fit(self, train: DataFrame, fill: dict[str, float] | None = None) -> "Model":
+        """Train; ``fill`` are the medians of train, where they are known."""
+        self.fill = fill or medians(train, self.features)
         if self.kind == "logistic_regression":
+            filled = impute(train, self.fill)
+            self.by = scaling(filled, self.features)
+            data = balanced(scale(filled, self.by)).withColumn("label", F.col("label").cast("double"))
+            n = data.count()
             learner = LogisticRegression(weightCol="weight", regParam=1.0 / max(1, n), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-6)
-        elif self.kind == "random_forest":
-            learner = RandomForestClassifier(numTrees=self.trees, maxDepth=10, seed=self.seed, weightCol="weight")
+            self.model = learner.fit(VectorAssembler(inputCols=self.features, outputCol="features").transform(data))
         else:
-            learner = GBTClassifier(maxIter=self.trees, seed=self.seed, weightCol="weight")
-        self.model = learner.fit(VectorAssembler(inputCols=self.features, outputCol="features").transform(data))
+            learner = RandomForestClassifier(numTrees=self.trees, maxDepth=10, seed=self.seed) if self.kind == "random_forest" else GBTClassifier(maxIter=self.trees, seed=self.seed)
+            self.model = learner.fit(train, self.features, self.fill)
         return self
 
     def score(self, rows: DataFrame) -> DataFrame:
@@ -76,16 +78,13 @@ class Model:
                 z = z + (F.coalesce(F.col(c), F.lit(m)) - mean) / sd * k
             out = rows.select(*keep, *self.features, (1.0 / (1.0 + F.exp(-z))).alias("probability"))
         else:
-            raw = {c: f"_raw_{i}" for i, c in enumerate(self.features)}
-            data = scale(impute(rows.withColumns({r: F.col(c) for c, r in raw.items()}), self.fill), self.by)
-            out = self.model.transform(VectorAssembler(inputCols=self.features, outputCol="features").transform(data))
-            out = out.select(*keep, *[F.col(r).alias(c) for c, r in raw.items()], vector_to_array("probability")[1].alias("probability"))
+            out = scored(self.model, rows, self.features, self.fill).select(*keep, *self.features, "probability")
         return out.withColumn("predicted", (F.col("probability") >= 0.5).cast("int"))
 
     def importance(self) -> list[tuple[str, float]]:
         """(feature, weight), heaviest first: absolute coefficients or impurity."""
-        values = self.model.coefficients if self.kind == "logistic_regression" else self.model.featureImportances
-        return sorted(((f, abs(float(v))) for f, v in zip(self.features, values.toArray())), key=lambda x: (-x[1], x[0]))
+        values = self.model.coefficients.toArray() if self.kind == "logistic_regression" else self.model.featureImportances
+        return sorted(((f, abs(float(v))) for f, v in zip(self.features, values)), key=lambda x: (-x[1], x[0]))
 
 
 def metrics(scored: DataFrame, name: str) -> DataFrame:
@@ -98,9 +97,9 @@ def metrics(scored: DataFrame, name: str) -> DataFrame:
 def compare(train: DataFrame, test: DataFrame, kinds: tuple[str, ...] = KINDS, trees: int = 200) -> DataFrame:
     """The metrics of each kind of model, of as many trees or rounds, trained on train and tested on test."""
     train, test = cut(train), cut(test)
-    out = None
+    out, fill = None, medians(train)
     for kind in kinds:
-        m = metrics(Model(kind, trees=trees).fit(train).score(test), kind)
+        m = metrics(cut(Model(kind, trees=trees).fit(train, fill).score(test).select("label", "probability", "predicted")), kind)
         out = m if out is None else out.unionByName(m)
     return out
 
@@ -132,22 +131,44 @@ def calibrated(sigmoid: tuple[float, float], scored: DataFrame) -> DataFrame:
 
 
 PERMUTATION_REPEATS, BLOCK_ROWS = 5, 50_000
+#: Rows that go to a task together.
+PIECE_ROWS = 1000
 
 
-def _permuted(features: list[str], repeats: int, seed: int):
-    """A function that adds to a block's rows, sorted by row_id, each feature's values dealt out anew, as many times as asked."""
+def _dealt(model: Model, names: list[str], repeats: int, seed: int):
+    """A function from a block's rows to pieces (labels, values, dealt) of them, in the order of row_id.
 
-    def deal(table):
-        import numpy as np
+    Each name's values are dealt out anew as many times as asked. Trees get the bins of
+    the rows and of the dealt values, a logistic regression is applied at once.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    features, fill, grown = model.features, model.fill, None if model.kind == "logistic_regression" else model.model
+    linear = export(model) if grown is None else None
 
+    def deal(table):
         table = table.sort_by("row_id")
-        block = table.column("_b")[0].as_py()
-        for k, feature in enumerate(features):
-            values = table.column(feature).combine_chunks()
-            for r in range(repeats):
-                order = np.random.default_rng([seed, block, k, r]).permutation(len(table))
-                table = table.append_column(f"_p{k}_{r}", values.take(order))
-        return table
+        block, n = table.column("_b")[0].as_py(), len(table)
+        columns = filled([table], features, fill)
+        orders = lambda k: (np.random.default_rng([seed, block, k, r]).permutation(n) for r in range(repeats))
+        if grown is None:
+            terms = [(c - m) / sd * k for c, m, sd, k in zip(columns, linear["mean"], linear["scale"], linear["coefficient"])]
+
+            def probability(moved=None, order=None):
+                z = np.full(n, linear["intercept"])
+                for c, x in zip(features, terms):
+                    z = z + (x[order] if c == moved else x)
+                return 1.0 / (1.0 + np.exp(-z))
+
+            values = probability()[:, None]
+            dealt = np.array([probability(c, o) for k, c in enumerate(names) for o in orders(k)]).T
+        else:
+            values = grown.bins(columns).T
+            dealt = np.array([values[o, features.index(c)] for k, c in enumerate(names) for o in orders(k)]).T
+        labels = table.column("label").to_numpy().astype(np.uint8)
+        pieces = [slice(i, i + PIECE_ROWS) for i in range(0, n, PIECE_ROWS)]
+        return pa.table({name: pa.array([np.ascontiguousarray(x[p]).tobytes() for p in pieces], pa.binary()) for name, x in (("labels", labels), ("values", values), ("dealt", dealt))})
 
     return deal
 
@@ -156,21 +177,39 @@ def permutation_importance(model: Model, test: DataFrame, features: list[str] |
     """(feature, loss): how much average precision falls when a feature's values are dealt out anew, on average over seeded repeats.
 
     Values move within blocks of about 50,000 rows of like hash (all rows where there are
-    fewer), so no sort of all rows is needed; all features and repeats are scored in one job.
+    fewer), so no sort of all rows is needed. All features and repeats are scored in one job, whose
+    first task ranks the scores of one of them at a time.
     """
+    import numpy as np
+    import pyarrow as pa
+
     names, spark = features or model.features, test.sparkSession
     rows = test.select("row_id", "label", *model.features)
-    base = ranking(model.score(rows).withColumn("g", F.lit(1)), ["g"]).collect()[0]["average_precision"]
     blocks = -(-test.count() // BLOCK_ROWS) or 1
-    cells = [f"_p{k}_{r}" for k in range(len(names)) for r in range(repeats)]
     rows = rows.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), "row_id"), F.lit(blocks)))
-    kinds = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), *(f"{c} double" for c in cells)])
     ship(spark)
-    dealt = rows.groupBy("_b").applyInArrow(_permuted(names, repeats, seed), kinds)
-    each = dealt.select("label", *model.features, F.posexplode(F.array(*cells)).alias("_g", "_v"))
-    moved = {c: F.when(F.floor(F.col("_g") / repeats) == k, F.col("_v")).otherwise(F.col(c)) for k, c in enumerate(names)}
-    ap = {r["_g"]: r["average_precision"] or 0.0 for r in ranking(model.score(each.withColumns(moved).drop("_v")), ["_g"]).collect()}
-    losses = [(c, float((base or 0.0) - sum(ap.get(k * repeats + r, 0.0) for r in range(repeats)) / repeats)) for k, c in enumerate(names)]
+    pieces = rows.groupBy("_b").applyInArrow(_dealt(model, names, repeats, seed), "labels binary, values binary, dealt binary")
+    grown, width, cells = None if model.kind == "logistic_regression" else model.model, len(model.features), len(names) * repeats
+    places = [model.features.index(c) for c in names]
+
+    def rank(tasks, batches):
+        read = lambda name, kind, w: np.concatenate([np.empty((0, w), kind), *[np.frombuffer(x, kind).reshape(-1, w) for b in batches for x in b.column(name).to_pylist()]])
+        label = read("labels", np.uint8, 1)[:, 0]
+        if grown is None:
+            base, dealt = read("values", np.float64, 1)[:, 0], np.ascontiguousarray(read("dealt", np.float64, cells).T)
+        else:
+            base, dealt = grown.totals_dealt(read("values", np.uint8, width), np.ascontiguousarray(read("dealt", np.uint8, cells).T), places, repeats)
+            base, dealt = grown.probability(base), (grown.probability(x) for x in dealt)
+        labels, found = np.concatenate([np.empty(0, np.uint8), *tasks.gather(label)]), []
+        for scores in chain([base], dealt):
+            every = list(tasks.gather(scores))
+            if tasks.rank == 0:
+                found.append(average_precision(np.concatenate(every), labels))
+        if tasks.rank == 0:
+            yield pa.RecordBatch.from_arrays([pa.array(range(-1, cells), pa.int32()), pa.array(found, pa.float64())], ["g", "ap"])
+
+    ap = {r["g"]: r["ap"] or 0.0 for r in in_tasks(pieces, rank, "g int, ap double").collect()}
+    losses = [(c, float(ap[-1] - sum(ap[k * repeats + r] for r in range(repeats)) / repeats)) for k, c in enumerate(names)]
     return spark.createDataFrame(losses, "feature string, loss double")
 
 
