@@ -96,3 +96,20 @@ def test_one_class_only(spark):
     df = spark.createDataFrame([(i, 1, float(i)) for i in range(20)], "row_id bigint, label int, churn double")
     for kind in KINDS:
         assert learning.Model(kind, ["churn"], trees=3).fit(df).score(df).where("probability < 0.99").count() == 0
+
+
+def test_windows_scores_are_few_jobs_and_those_of_their_models(spark, rows, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import prediction
+
+    monkeypatch.setattr(learning, "FEATURES", NAMES)
+    d = rows.select("*", F.lit("r").alias("repo"), F.format_string("c%03d", F.floor(F.col("row_id") / 5)).alias("commit_sha"), F.col("row_id").alias("timestamp"))
+    windows = prediction.time_windows(d)
+    got, n = jobs(spark, "windows", lambda: {(r["fold"], r["model"]): r for r in learning.cross_validate(d, windows, KINDS, trees=12).collect()})
+    assert set(got) == {(k, m) for k in (1, 2, 3) for m in KINDS} and n < 100
+    both = d.join(windows.where("fold = 2"), ["repo", "commit_sha"]).drop("repo", "commit_sha", "fold")
+    for kind in KINDS:
+        model = learning.Model(kind, NAMES, trees=12).fit(both.where("part = 'train'"))
+        want = learning.metrics(model.score(both.where("part = 'test'")), kind).collect()[0].asDict()
+        assert {c: got[2, kind][c] for c in want} == pytest.approx(want)
