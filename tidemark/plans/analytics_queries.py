@@ -99,7 +99,8 @@ def _calibration(w: World) -> DataFrame:
 
 def _importance(w: World) -> DataFrame:
     train, test = (cut(x) for x in _train_test(w))
-    each = [learning.permutation_importance(learning.Model(kind).fit(train), test).select(F.lit(kind).alias("model"), "feature", "loss") for kind in learning.KINDS]
+    fill = learning.medians(train)
+    each = [learning.permutation_importance(learning.Model(kind).fit(train, fill), test).select(F.lit(kind).alias("model"), "feature", "loss") for kind in learning.KINDS]
     return reduce(DataFrame.unionByName, each)
 
 
