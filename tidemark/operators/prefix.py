@@ -1,6 +1,8 @@
 """What a history looked like strictly before each of its commits: lists of the best so far, and features from them.
 
-Plan. Nothing is replayed. What can be in a list is a step: an item with a key, seen by
+Plan. A repository whose pairs fit a task is one group of rows, and its lists come from memory
+(``replay``): only its commits, references and times move. For all others nothing is
+replayed. What can be in a list is a step: an item with a key, seen by
 the times after ``at`` up to ``until``. Keys of an item only get better, so the k-th
 best key of the steps of one span of time bounds all later lists: a step behind the bound
 when it starts, or from a later span on, is dropped before it meets any time. The few
@@ -12,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import features
+from tidemark.operators import features, replay
 from tidemark.operators.history import MONTH, TWO_WEEKS, WEEK, fix_pairs, linked_pairs, links, numbered, same_file_pairs, with_files, with_flags, within
-from tidemark.session import cut
+from tidemark.session import cut, ship, tasks
 
+#: Pairs of files that a task goes through for one repository, of all commits and of one commit, and pairs of files that one repository's commits hold.
+MOST_PAIRS, MOST_OF_ONE, MOST_TOGETHER = 2**31, 2**22, 2**22
 #: Seconds of a span, and the time before all others.
 SPAN, EVER = 28 * 86_400, -(2**62)
 
@@ -120,11 +124,45 @@ def known_files(changed: DataFrame, times: DataFrame) -> DataFrame:
     return both.withColumn("own", own).where("t is not null").join(start, ["repo", "span"]).select("repo", "t", (F.col("start") + F.col("own")).cast("bigint").alias("n_files"))
 
 
-def temporal_features(commits: DataFrame, changed: DataFrame, edges: DataFrame, times: DataFrame) -> DataFrame:
+def _rows(commits: DataFrame, changed: DataFrame, edges: DataFrame, times: DataFrame) -> DataFrame:
+    """The rows of ``replay.INPUT``: a repository's commits with a time and files, changes with a time, references and times."""
+    none = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in replay.INPUT.split(", ")}
+    row = lambda df, kind, **have: df.select(*[(F.lit(kind).cast("tinyint") if c == "kind" else have.get(c, n)).alias(c) for c, n in (none | {"repo": F.col("repo")}).items()])
+    c = with_flags(commits)
+    return (
+        row(c, replay.COMMIT, ts=F.col("ts"), sha=F.col("sha"), fix=F.col("fix"), files=F.col("files")).unionByName(row(changed.where("ts is not null"), replay.CHANGE, ts=F.col("ts"), sha=F.col("sha"), path=F.col("path")))
+        .unionByName(row(edges, replay.EDGE, sha=F.col("source"), path=F.col("target"))).unionByName(row(times.where("t is not null"), replay.TIME, ts=F.col("t")))).where("repo is not null")
+
+
+def _large(rows: DataFrame, most: tuple[int, int, int]) -> DataFrame:
+    """Repositories of which a task does not go through the pairs: bounds of their number from sums by slots of two weeks."""
+    slot = F.floor(F.col("ts") / TWO_WEEKS).alias("slot")
+    size = rows.where(F.col("kind") == replay.COMMIT).select("repo", slot, F.size("files").cast("bigint").alias("n"))
+    own = size.groupBy("repo", "slot").agg(F.sum("n").alias("all"), F.max("n").alias("most"))
+    last = Window.partitionBy("repo").orderBy("slot")
+    met = own.withColumn("met", F.col("all") + F.when(F.lag("slot").over(last) == F.col("slot") - 1, F.lag("all").over(last)).otherwise(0))
+    pairs = met.groupBy("repo").agg(F.sum(F.col("all") * F.col("met")).alias("pairs"), F.max(F.col("most") * F.col("met")).alias("one"))
+    held = rows.where(F.col("kind") == replay.CHANGE).groupBy("repo", "sha").agg(F.count(F.lit(1)).alias("n")).groupBy("repo").agg(F.sum(F.expr("n * (n - 1) div 2")).alias("together"))
+    return pairs.join(held, "repo", "full").where((F.col("pairs") > most[0]) | (F.col("one") > most[1]) | (F.col("together") > most[2])).select("repo")
+
+
+def temporal_features(commits: DataFrame, changed: DataFrame, edges: DataFrame, times: DataFrame, most: tuple[int, int, int] = (MOST_PAIRS, MOST_OF_ONE, MOST_TOGETHER)) -> DataFrame:
     """(repo, t, path, four frequencies) of the files that the lists of each time (repo, t) hold.
 
-    The frequencies are those of ``features.temporal``, from what came strictly before t.
+    The frequencies are those of ``features.temporal``, from what came strictly before t. Repositories
+    beyond one of the bounds ``most`` go by joins, all others each in a task.
     """
+    ship(commits.sparkSession)
+    rows = cut(_rows(commits, changed, edges, times))
+    large = cut(_large(rows, most))
+    some = not large.isEmpty()
+    small = rows.join(large, "repo", "left_anti") if some else rows
+    lists = small.repartition(2 * tasks(commits.sparkSession), "repo").groupBy("repo").applyInArrow(replay.replayed(50, 100, WEEK, TWO_WEEKS), replay.SCHEMA)
+    return lists.unionByName(joined_features(*[d.join(large, "repo", "left_semi") for d in (commits, changed, edges, times)])) if some else lists
+
+
+def joined_features(commits: DataFrame, changed: DataFrame, edges: DataFrame, times: DataFrame) -> DataFrame:
+    """What ``temporal_features`` gives, by joins: no repository has to fit a task."""
     edges, times, cochanged = cut(edges), cut(times), cut(cochange_at(changed))
     pairs = cut(temporal_before(commits, times))
     strong = propagation_before(cochanged, edges, pairs, times)
