@@ -125,12 +125,13 @@ def known_files(changed: DataFrame, times: DataFrame) -> DataFrame:
 
 
 def _rows(commits: DataFrame, changed: DataFrame, edges: DataFrame, times: DataFrame) -> DataFrame:
-    """The rows of ``replay.INPUT``: a repository's commits with a time and files, changes with a time, references and times."""
+    """The rows of ``replay.INPUT``: a repository's commits with a time and files, their changes if several, references and times."""
     none = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in replay.INPUT.split(", ")}
     row = lambda df, kind, **have: df.select(*[(F.lit(kind).cast("tinyint") if c == "kind" else have.get(c, n)).alias(c) for c, n in (none | {"repo": F.col("repo")}).items()])
     c = with_flags(commits)
+    together = changed.where("ts is not null").groupBy("repo", "sha", "ts").agg(F.collect_list("path").alias("paths")).where(F.size("paths") > 1)
     return (
-        row(c, replay.COMMIT, ts=F.col("ts"), sha=F.col("sha"), fix=F.col("fix"), files=F.col("files")).unionByName(row(changed.where("ts is not null"), replay.CHANGE, ts=F.col("ts"), sha=F.col("sha"), path=F.col("path")))
+        row(c, replay.COMMIT, ts=F.col("ts"), sha=F.col("sha"), fix=F.col("fix"), files=F.col("files")).unionByName(row(together, replay.CHANGE, ts=F.col("ts"), files=F.col("paths")))
         .unionByName(row(edges, replay.EDGE, sha=F.col("source"), path=F.col("target"))).unionByName(row(times.where("t is not null"), replay.TIME, ts=F.col("t")))).where("repo is not null")
 
 
@@ -142,7 +143,7 @@ def _large(rows: DataFrame, most: tuple[int, int, int]) -> DataFrame:
     last = Window.partitionBy("repo").orderBy("slot")
     met = own.withColumn("met", F.col("all") + F.when(F.lag("slot").over(last) == F.col("slot") - 1, F.lag("all").over(last)).otherwise(0))
     pairs = met.groupBy("repo").agg(F.sum(F.col("all") * F.col("met")).alias("pairs"), F.max(F.col("most") * F.col("met")).alias("one"))
-    held = rows.where(F.col("kind") == replay.CHANGE).groupBy("repo", "sha").agg(F.count(F.lit(1)).alias("n")).groupBy("repo").agg(F.sum(F.expr("n * (n - 1) div 2")).alias("together"))
+    held = rows.where(F.col("kind") == replay.CHANGE).select("repo", F.size("files").cast("bigint").alias("n")).groupBy("repo").agg(F.sum(F.expr("n * (n - 1) div 2")).alias("together"))
     return pairs.join(held, "repo", "full").where((F.col("pairs") > most[0]) | (F.col("one") > most[1]) | (F.col("together") > most[2])).select("repo")
 
 
@@ -154,8 +155,9 @@ def temporal_features(commits: DataFrame, changed: DataFrame, edges: DataFrame,
     """
     ship(commits.sparkSession)
     rows = cut(_rows(commits, changed, edges, times))
-    large = cut(_large(rows, most))
+    large = _large(rows, most)
     some = not large.isEmpty()
+    large = cut(large) if some else large
     small = rows.join(large, "repo", "left_anti") if some else rows
     lists = small.repartition(2 * tasks(commits.sparkSession), "repo").groupBy("repo").applyInArrow(replay.replayed(50, 100, WEEK, TWO_WEEKS), replay.SCHEMA)
     return lists.unionByName(joined_features(*[d.join(large, "repo", "left_semi") for d in (commits, changed, edges, times)])) if some else lists

@@ -18,10 +18,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Times of a block, pairs of files made at once, and pairs whose totals are held at once.
-BLOCK, MADE, HELD = 16, 400_000, 8_000_000
+BLOCK, MADE, HELD = 32, 400_000, 8_000_000
 EVER = -(2**62)
 COMMIT, CHANGE, EDGE, TIME = range(4)
-INPUT = "repo string, kind tinyint, ts bigint, sha string, path string, fix boolean, files array<string>"
+INPUT = "repo string, kind tinyint, ts bigint, sha string, path string, fix boolean, files array<string>"  # a change is a commit's files, each as often as it names it
 SCHEMA = "repo string, t bigint, path string, recent_change_sequence_count bigint, propagation_frequency bigint, followup_frequency bigint, historical_rework_frequency bigint"
 OUTPUT = pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in SCHEMA.split(", ")])
 
@@ -122,11 +122,12 @@ class Replay:
         self.times = np.unique(times.to_numpy())
         ts, sha, fix, files = part(COMMIT, "ts", "sha", "fix", "files")
         source, target = part(EDGE, "sha", "path")
-        c_ts, c_sha, c_path = part(CHANGE, "ts", "sha", "path")
-        self.names = _sorted_names(files.flatten(), source, target, c_path)
+        c_ts, c_files = part(CHANGE, "ts", "files")
+        self.names = _sorted_names(files.flatten(), source, target, c_files.flatten())
         self.n = max(len(self.names), 1)
         self._commits(ts.to_numpy(), _codes(sha, _sorted_names(sha)), fix.to_numpy(zero_copy_only=False).astype(bool), files)
-        self._steady(c_ts.to_numpy(), _codes(c_sha, _sorted_names(c_sha)), _codes(c_path, self.names), _codes(source, self.names), _codes(target, self.names), pc.starts_with(target, "$").to_numpy(zero_copy_only=False).astype(bool))
+        c_of = np.repeat(np.arange(len(c_ts)), pc.list_value_length(c_files).to_numpy())
+        self._steady(c_ts.to_numpy()[c_of], c_of, _codes(c_files.flatten(), self.names), _codes(source, self.names), _codes(target, self.names), pc.starts_with(target, "$").to_numpy(zero_copy_only=False).astype(bool))
 
     def seen(self, at: np.ndarray) -> np.ndarray:
         """The first of the times that sees what happened at a time."""
@@ -142,12 +143,12 @@ class Replay:
         self.files = _codes(listed.flatten(), self.names)
         self.owner = np.repeat(np.arange(len(self.ts)), self.sizes)
 
-    def _steady(self, at, sha, path, source, target, unresolved) -> None:
+    def _steady(self, at, commit, path, source, target, unresolved) -> None:
         """Co-changes and references: when the times see them, and since when files are linked."""
-        order = np.lexsort((path, sha))
-        at, sha, path = at[order], sha[order], path[order]
-        last = np.searchsorted(sha, sha, side="right")
-        b, a = _ranges(np.arange(1, len(sha) + 1), last)
+        order = np.lexsort((path, commit))
+        at, commit, path = at[order], commit[order], path[order]
+        last = np.searchsorted(commit, commit, side="right")
+        b, a = _ranges(np.arange(1, len(commit) + 1), last)
         key, since = path[a] * self.n + path[b], at[a]  # the places of a commit are sorted by name
         real = (source != target) & ~unresolved
         always = source[real] * self.n + target[real]
@@ -294,7 +295,8 @@ class Replay:
         events: list = []
         turn = iter(ends)
         upto = 0
-        files_of = lambda e: np.unique(np.concatenate([self.files[self.off[i] : self.off[i + 1]] for i in e[3:5]])).tolist()
+        files, off = self.files.tolist(), self.off.tolist()
+        files_of = lambda e: {f for i in e[3:5] for f in files[off[i] : off[i + 1]]}
         for b, n, columns, totals, mask in self.walk(wanted=self.relevant()):
             if b >= upto:
                 first, upto = next(turn)
@@ -333,23 +335,24 @@ class Replay:
         strongest = _in_lists(strength, self.k)
         row_t, col_t = np.nonzero(mask)
         row_s, col_s = np.nonzero(strongest)
-        ends_t, ends_s = np.divmod(columns[col_t], self.n), np.divmod(every[col_s], self.n)
+        ends_t, ends_s = np.divmod(columns, self.n), np.divmod(every, self.n)
         moved = [np.array(m, np.int64).reshape(-1, 3) for _, m in quick]
-        paths = np.unique(np.concatenate([*ends_t, *ends_s, *[q.paths for q, _ in quick], *[m[:, 1] for m in moved]]))
+        met = [e[m.any(axis=0)] for ends, m in ((ends_t, mask), (ends_s, strongest)) for e in ends]
+        paths = np.unique(np.concatenate([*met, *[q.paths for q, _ in quick], *[m[:, 1] for m in moved]]))
         m = len(paths)
-        place = lambda row, path: row * m + np.searchsorted(paths, path)
+        find = lambda path: np.searchsorted(paths, path)
         of_pairs, of_strong = np.zeros(n * m, np.int64), np.zeros(n * m, np.int64)
         listed = np.zeros(n * m, bool)
         for ends in ends_t:
-            listed[place(row_t, ends)] = True
-        np.add.at(of_pairs, place(row_t, ends_t[0]), totals[row_t, col_t])
+            listed[row_t * m + find(ends)[col_t]] = True
+        np.add.at(of_pairs, row_t * m + find(ends_t[0])[col_t], totals[row_t, col_t])
         for ends in ends_s:
-            np.add.at(of_strong, place(row_s, ends), strength[row_s, col_s])
+            np.add.at(of_strong, row_s * m + find(ends)[col_s], strength[row_s, col_s])
         often = []
         for (q, gone), change in zip(quick, moved):
             d = np.zeros((n, m), np.int64)
-            d[0, np.searchsorted(paths, q.paths)] = q.counts
-            np.add.at(d.reshape(-1), place(change[:, 0], change[:, 1]), change[:, 2])
+            d[0, find(q.paths)] = q.counts
+            np.add.at(d.reshape(-1), change[:, 0] * m + find(change[:, 1]), change[:, 2])
             often.append(np.cumsum(d, axis=0).reshape(-1))
             q.settle(gone)
         got = np.flatnonzero(listed | (of_strong > 0) | (often[0] > 0) | (often[1] > 0))

@@ -11,6 +11,7 @@ from tidemark.functions import paths, text
 from tidemark.operators import dependencies as dep
 from tidemark.operators import features, prefix, scoring, structure
 from tidemark.operators import history as h
+from tidemark.session import cut
 from tidemark.sources.history import BASE_SQL, IGNORED_SQL, changes, commit_files, load, table
 
 
@@ -143,8 +144,10 @@ def _measured(w: World) -> DataFrame:
 
 def _temporal_prefix(w: World) -> DataFrame:
     """The frequencies of temporal features as they were strictly before each commit."""
-    times = w.changes.where("ts is not null").select("repo", F.col("ts").alias("t")).distinct()
-    return prefix.temporal_features(w.commit_files, w.changes, w.edges, times)
+    commits = cut(w.commits.select("repo", "sha", "ts", "t0", "who", "message", "files"))
+    changed = changes(commits)
+    times = changed.where("ts is not null").select("repo", F.col("ts").alias("t")).distinct()
+    return prefix.temporal_features(commit_files(commits), changed, w.edges, times)
 
 
 def _first(df: DataFrame, n: int, *order) -> DataFrame:
