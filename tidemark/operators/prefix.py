@@ -159,7 +159,7 @@ def temporal_features(commits: DataFrame, changed: DataFrame, edges: DataFrame,
     some = not large.isEmpty()
     large = cut(large) if some else large
     small = rows.join(large, "repo", "left_anti") if some else rows
-    lists = small.repartition(2 * tasks(commits.sparkSession), "repo").groupBy("repo").applyInArrow(replay.replayed(50, 100, WEEK, TWO_WEEKS), replay.SCHEMA)
+    lists = small.repartition(2 * tasks(commits.sparkSession), "repo").groupBy("repo").applyInArrow(replay.replayed(50, 100, WEEK, TWO_WEEKS), replay.SPANS).withColumn("t", F.explode("t"))
     return lists.unionByName(joined_features(*[d.join(large, "repo", "left_semi") for d in (commits, changed, edges, times)])) if some else lists
 
 

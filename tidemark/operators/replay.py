@@ -23,7 +23,8 @@ EVER = -(2**62)
 COMMIT, CHANGE, EDGE, TIME = range(4)
 INPUT = "repo string, kind tinyint, ts bigint, sha string, path string, fix boolean, files array<string>"  # a change is a commit's files, each as often as it names it
 SCHEMA = "repo string, t bigint, path string, recent_change_sequence_count bigint, propagation_frequency bigint, followup_frequency bigint, historical_rework_frequency bigint"
-OUTPUT = pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in SCHEMA.split(", ")])
+SPANS = SCHEMA.replace(" t bigint", " t array<bigint>")  # the times at which a file's frequencies are these
+OUTPUT = pa.schema([(c.split()[0], {"string": pa.string(), "bigint": pa.int64()}.get(c.split()[1], pa.list_(pa.int64()))) for c in SPANS.split(", ")])
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -285,7 +286,7 @@ class Replay:
         return found[0]
 
     def lists(self) -> Iterator[tuple[np.ndarray, ...]]:
-        """(time's place, file, four frequencies) of all files of the lists of each time, a block at a time."""
+        """(times' places, where spans of them begin, file and four frequencies of each span) of all files of the lists, a block at a time."""
         if not len(self.times):
             return
         follow, rework, strong = _Quickest(self.k), _Quickest(self.k), _Best(self.k)
@@ -353,14 +354,19 @@ class Replay:
             d = np.zeros((n, m), np.int64)
             d[0, find(q.paths)] = q.counts
             np.add.at(d.reshape(-1), change[:, 0] * m + find(change[:, 1]), change[:, 2])
-            often.append(np.cumsum(d, axis=0).reshape(-1))
+            often.append(np.cumsum(d, axis=0))
             q.settle(gone)
-        got = np.flatnonzero(listed | (of_strong > 0) | (often[0] > 0) | (often[1] > 0))
-        return b + got // m if m else got, paths[got % m] if m else got, of_pairs[got], of_strong[got], often[0][got], often[1][got]
+        values = np.stack([of_pairs.reshape(n, m), of_strong.reshape(n, m), *often])
+        there = listed.reshape(n, m) | (values[1:] > 0).any(axis=0)
+        other = there.copy()
+        other[1:] &= ~there[:-1] | (values[:, 1:] != values[:, :-1]).any(axis=0)
+        path, row = np.nonzero(there.T)
+        start = np.flatnonzero(other.T[path, row])
+        return b + row, start, paths[path[start]], *values[:, row[start], path[start]]
 
 
 def replayed(pairs_k: int, k: int, window: int, again: int, rows_out: int = 60_000):
-    """A function of a repository's rows, for ``applyInArrow``."""
+    """A function of a repository's rows, for ``applyInArrow``; its rows are SPANS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches))
@@ -369,8 +375,11 @@ def replayed(pairs_k: int, k: int, window: int, again: int, rows_out: int = 60_0
         held, n = [], 0
 
         def out() -> pa.RecordBatch:
-            t, path, *values = (np.concatenate(c) for c in zip(*held))
-            return pa.RecordBatch.from_arrays([pa.repeat(repo, len(t)), pa.array(replay.times[t]), replay.names.take(pa.array(path)), *map(pa.array, values)], schema=OUTPUT)
+            begin = np.cumsum([0, *[len(h[0]) for h in held]])
+            t, start, path, *values = (np.concatenate(c) for c in zip(*held))
+            start += np.repeat(begin[:-1], [len(h[1]) for h in held])
+            times = pa.ListArray.from_arrays(pa.array(np.append(start, len(t)), pa.int32()), pa.array(replay.times[t]))
+            return pa.RecordBatch.from_arrays([pa.repeat(repo, len(path)), times, replay.names.take(pa.array(path)), *map(pa.array, values)], schema=OUTPUT)
 
         for block in replay.lists():
             held.append(block)

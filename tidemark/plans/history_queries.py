@@ -147,7 +147,8 @@ def _temporal_prefix(w: World) -> DataFrame:
     commits = cut(w.commits.select("repo", "sha", "ts", "t0", "who", "message", "files"))
     changed = changes(commits)
     times = changed.where("ts is not null").select("repo", F.col("ts").alias("t")).distinct()
-    return prefix.temporal_features(commit_files(commits), changed, w.edges, times)
+    edges = dep.resolve(cut(dep.references(w.sources)), w.raw_sources).select("repo", "source", "target")
+    return prefix.temporal_features(commit_files(commits), changed, edges, times)
 
 
 def _first(df: DataFrame, n: int, *order) -> DataFrame:
